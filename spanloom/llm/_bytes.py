@@ -52,8 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes: a polynomial from prefix sums, then mixed with the length."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     n = len(data)
     if len(_powers[0]) <= n:
         size = max(1 << 21, 2 * n)
@@ -63,9 +62,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             _powers[k] = np.cumprod(p)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=prefix[1:])
+    return prefix
+
+
+def spans_of(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes: a polynomial from prefix sums, then mixed with the length."""
     return mix((prefix[ends] - prefix[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return spans_of(prefix_sums(data), starts, ends)
+
+
 _word = np.zeros(256, np.uint8)
 for _c in range(256):
     if 48 <= _c < 58 or 97 <= _c < 123 or _c >= 128:
@@ -74,8 +82,8 @@ for _c in range(256):
         _word[_c] = _c + 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words: runs of ASCII letters, digits and bytes from 128, ASCII lower case."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of the words: runs of ASCII letters, digits and bytes from 128."""
     low = _word[data]
     inside = low != 0
     before = np.zeros(len(data) + 1, bool)
@@ -84,8 +92,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.zeros(len(data) + 1, bool)
     after[:-1] = inside
     after[offsets] = False
-    starts = np.flatnonzero(inside & ~before[:-1])
-    ends = np.flatnonzero(inside & ~after[1:]) + 1
+    return low, np.flatnonzero(inside & ~before[:-1]), np.flatnonzero(inside & ~after[1:]) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words."""
+    low, starts, ends = word_spans(data, offsets)
     return starts, ends, span_hashes(low, starts, ends)
 
 

@@ -1,11 +1,12 @@
 """Toxicity: multiple-instance learning over sentences.
 
-A document is a bag of sentences.  A sentence scores sigmoid(bias + sum of word
-weights); the document's score is their noisy-or, 1 - prod(1 - score).  Weights
+A document is a bag of sentences.  A sentence scores sigmoid(bias + sum of the
+weights of its words and of their beginnings of ``BEGINNINGS`` bytes, so that
+inflected and compound forms share weights); the document's score is their noisy-or, 1 - prod(1 - score).  Weights
 are learned from document labels only, by Adam with soft thresholding on the
 noisy-or's likelihood, over a bounded sample: at most ``SAMPLE`` labelled rows of
 each label with texts of at most ``SAMPLE_BYTES``, taken by a hash of the id.
-Only words in ``MIN_DOCS`` sample documents get a weight.  Scoring reads whole
+Only features in ``MIN_DOCS`` sample documents get a weight.  Scoring reads whole
 texts; ``offending`` returns the sentences that carry a document's score.
 
 Defined cases: null and empty texts have no sentence and score 0; a text without
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import batches, rows_of, words
+from ._bytes import batches, prefix_sums, rows_of, spans_of, word_spans
 from ._common import bound_batches, fold
 
 SAMPLE = 3000
 SAMPLE_BYTES = 16_384
 MIN_DOCS = 4
+BEGINNINGS = (4, 5, 6)
 
 _ends = np.zeros(256, bool)
 _ends[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
@@ -65,10 +67,17 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, sentence) of each word; (start, row) of each sentence."""
+    """(hash, sentence) of each feature; (start, row) of each sentence."""
     at, row = sentences(data, offsets)
-    starts, _, h = words(data, offsets)
-    return h, np.searchsorted(at, starts, "right") - 1, at, row
+    low, starts, ends = word_spans(data, offsets)
+    sums = prefix_sums(low)
+    place = np.searchsorted(at, starts, "right") - 1
+    hashes, places = [spans_of(sums, starts, ends)], [place]
+    for n in BEGINNINGS:
+        longer = np.flatnonzero(ends - starts > n)
+        hashes.append(spans_of(sums, starts[longer], starts[longer] + n) ^ np.uint64(n))
+        places.append(place[longer])
+    return np.concatenate(hashes), np.concatenate(places), at, row
 
 
 def _log_safe(z: np.ndarray) -> np.ndarray:
