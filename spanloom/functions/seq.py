@@ -20,14 +20,10 @@ def translate(s: Column) -> Column:
 
     A codon's place in the code is 16 i + 4 j + k for the places of its bases.
     """
-    at = lambda i, k: F.instr(F.lit(_BASES), F.substring(s, i * 3 + k, F.lit(1)))
-
-    def amino(i: Column) -> Column:
-        a, b, c = (at(i, F.lit(k)) for k in (1, 2, 3))
-        return F.when((a > 0) & (b > 0) & (c > 0), F.substring(F.lit(_CODE), (a - 1) * 16 + (b - 1) * 4 + c, F.lit(1))).otherwise("X")
-
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n > 0, F.concat_ws("", F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), amino))).otherwise("")
+    # codons are cut once: a substring of a long text is found by counting from its start
+    codes = F.create_map(*[F.lit(x) for k, amino in enumerate(_CODE) for x in (_BASES[k // 16] + _BASES[k // 4 % 4] + _BASES[k % 4], amino)])
+    codons = F.regexp_extract_all(s, F.lit("(.{3})"), 1)
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(codes, c), F.lit("X"))), "")
 
 
 def splice_class(donor: Column, acceptor: Column) -> Column:

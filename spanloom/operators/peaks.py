@@ -32,22 +32,15 @@ def moving_mean(keys: list[str], order: str, value: str, before: int = 5, after:
     return F.sum(value).over(w) / (before + after + 1)
 
 
-def null_moments(n: int, p: float) -> tuple[float, float]:
-    """Mean and variance of x log p - log x! for x binomial(n, p)."""
-    if p <= 0:
-        return 0.0, 0.0
-    if p >= 1:
-        v = -math.lgamma(n + 1)
-        return v, 0.0
-    mean = square = mass = 0.0
-    log_q = math.log1p(-p)
-    for x in range(n + 1):
-        w = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * log_q)
-        v = x * math.log(p) - math.lgamma(x + 1)
-        mean, square, mass = mean + w * v, square + w * v * v, mass + w
-        if x > n * p and w < 1e-12:
-            break
-    return mean, max(square - mean * mean, 0.0)
+def null_moments(n: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of x log p - log x! for x binomial(n, p), for each p."""
+    x = np.arange(n + 1)
+    fact = np.array([math.lgamma(k + 1) for k in x])
+    q = np.clip(p, 1e-300, 1 - 1e-16)[:, None]
+    value = x * np.log(q) - fact
+    mass = np.exp(fact[-1] - fact - fact[::-1] + x * np.log(q) + (n - x) * np.log1p(-q))
+    mean = (mass * value).sum(1)
+    return mean, np.maximum((mass * value * value).sum(1) - mean * mean, 0)
 
 
 def _significant(signal, control, mu, var, n: int, lo: int, hi: int, alpha: float) -> bool:
@@ -69,9 +62,9 @@ def noise_regions(signal, control, noise_frac: float, rules: PeakRules) -> np.nd
     if not len(on):
         return ~noise
     n = int(noise_frac * signal.sum()) + 1
-    cached: dict[float, tuple[float, float]] = {}
-    both = [cached.setdefault(p, null_moments(n, p)) if p not in cached else cached[p] for p in control.tolist()]
-    mu, var = np.array([b[0] for b in both]), np.array([b[1] for b in both])
+    one, back = np.unique(control, return_inverse=True)
+    parts = [null_moments(n, one[k : k + 256]) for k in range(0, len(one), 256)]
+    mu, var = (np.concatenate([x[k] for x in parts])[back] for k in (0, 1))
     alpha = rules.alpha / (2 * size)
     test = lambda a, b: _significant(signal, control, mu, var, n, a, b, alpha)
     lo, hi = int(on[0]), int(on[-1]) + 1

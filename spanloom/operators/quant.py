@@ -70,7 +70,7 @@ def estimate(bins: DataFrame, gene: str = "gene") -> DataFrame:
         import pandas as pd
 
         e = pdf.pivot_table(index="bin", columns="transcript", values="expected", fill_value=0.0)
-        o = pdf.groupby("bin").observed.first().loc[e.index].to_numpy(float)
+        o = pdf.groupby("bin")["observed"].first().loc[e.index].to_numpy(float)
         m = e.to_numpy(float)
         m = m / np.maximum(m.sum(0), 1e-12)
         return pd.DataFrame({gene: key[0], "transcript": e.columns, "freq": mle(m, o)})

@@ -68,7 +68,8 @@ def pair_posteriors(df: DataFrame) -> DataFrame:
     a = df.where("mate % 2 = 1").select("qname", "strand", F.col("start").alias("start1"), F.col("stop").alias("stop1"), F.col("weight").alias("w1"))
     b = df.where("mate % 2 = 0").select("qname", "strand", F.col("start").alias("start2"), F.col("stop").alias("stop2"), F.col("weight").alias("w2"))
     both = a.join(b, ["qname", "strand"])
-    return both.withColumn("posterior", F.col("w1") * F.col("w2") / F.sum(F.col("w1") * F.col("w2")).over(Window.partitionBy("qname")))
+    both = both.withColumn("total", F.sum(F.col("w1") * F.col("w2")).over(Window.partitionBy("qname")))
+    return both.withColumn("posterior", F.col("w1") * F.col("w2") / F.col("total"))
 
 
 def fragment_length(s1: str = "start1", e1: str = "stop1", s2: str = "start2", e2: str = "stop2") -> Column:
@@ -85,12 +86,13 @@ def noise_ratios(jn: DataFrame) -> DataFrame:
 def drop_noise(jn: DataFrame, fraction: float = 0.01, max_intron: int = MAX_INTRON) -> DataFrame:
     """Keep junctions whose share among those of a start (and of a stop) isn't clearly under ``fraction``, and above the other strand."""
     import pandas as pd
+    from pyspark.sql.pandas.functions import PandasUDFType
 
     from spanloom.functions.stats import beta_ppf
 
-    @F.pandas_udf("double")
-    def low(c: pd.Series, m: pd.Series) -> pd.Series:
+    def quantile(c, m):
         return pd.Series(beta_ppf(0.01, c.to_numpy(float) + 1, m.to_numpy(float) + 1))
 
+    low = F.pandas_udf(quantile, "double", PandasUDFType.SCALAR)
     r = noise_ratios(jn).where((F.coalesce("anti", F.lit(0)) < F.col("cnt")) & (F.col("stop") - F.col("start") + 1 <= max_intron))
     return r.where((low("cnt", "max_start") >= fraction) & (low("cnt", "max_stop") >= fraction))
