@@ -335,7 +335,7 @@ def peak_trim(spark, d):
 
 @query()
 def peak_call_full(spark, d):
-    r = rd(spark, d).groupBy("contig", "strand", F.expr("start div 8").alias("pos")).agg(F.count(F.when(F.col("sample") == "N", 1)).cast("double").alias("signal"), F.count(F.lit(1)).cast("double").alias("control"))
+    r = rd(spark, d).groupBy("contig", "strand", F.expr("start div 8").alias("pos")).agg(F.count(F.when((F.col("sample") == "R") & (F.expr("start div 8") % 40 < 2), 1)).cast("double").alias("signal"), F.count(F.lit(1)).cast("double").alias("control"))
     return peaks.peaks_by_gene(r, ["contig", "strand"], peaks.PeakRules(min_reads=2, min_size=1))
 
 
@@ -582,9 +582,9 @@ def cds_frame(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.coalesce(F.sum(F.col("l_quantity").cast("long")).over(w), F.lit(0)) % 3).alias("frame"))
 
 
-@query("SELECT l_orderkey, md5(string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey)) AS chain, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, md5(string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity)) AS chain, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey")
 def exact_structure(spark, d):
-    e = F.struct("l_linenumber", "l_partkey", F.concat_ws(":", F.col("l_linenumber"), F.col("l_quantity").cast("long")).alias("x"))
+    e = F.struct("l_linenumber", "l_partkey", "l_quantity", F.concat_ws(":", F.col("l_linenumber"), F.col("l_quantity").cast("long")).alias("x"))
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(e)).alias("a"), F.count(F.lit(1)).alias("n"))
     return g.select("l_orderkey", F.md5(F.array_join(F.transform("a", lambda x: x["x"]), ",")).alias("chain"), "n")
 
