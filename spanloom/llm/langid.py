@@ -32,6 +32,7 @@ from ._common import bound_batches, fold
 
 WINDOW = 256
 SAMPLE = 1500
+SALTS = 4
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
@@ -161,8 +162,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     raw = F.col(text_col)
     place = F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.greatest(F.length(raw) - WINDOW, F.lit(0)) + 1).cast("int") + 1
     cuts = seen.select(F.col(lang_col).alias("lang"), raw.substr(place, F.lit(WINDOW)).alias("piece"), order.alias("order"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    rows = cuts.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "piece").toArrow()
+    # a few salts each, so that tasks drop what can't be in the sample before the exchange
+    cuts = cuts.withColumn("salt", F.pmod("order", F.lit(SALTS)))
+    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("order"))
+    rows = cuts.withColumn("rank", rank).where(F.col("rank") <= max(1, sample // SALTS)).select("lang", "piece").toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     if not langs:
         return None

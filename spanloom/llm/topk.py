@@ -14,7 +14,8 @@ Arithmetic is exact: 32-bit floats while all sums stay under 2**24, 64-bit under
 2**53, else Python integers.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take
-no part; only vectors of the same length are compared; a null id takes no part;
+no part; only vectors of the same length are compared; a null id takes no part; a
+score over 64 bits fails the query and never wraps;
 rows that repeat an id are separate candidates, but a query never gets a row of
 its own id; an empty table gives an empty result; extra columns are not read.
 """

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ._bytes import batches, prefix_sums, rows_of, spans_of, word_spans
 from ._common import bound_batches, fold
 
-SAMPLE = 3000
+SAMPLE = 2000
+SALTS = 8
 SAMPLE_BYTES = 16_384
 MIN_DOCS = 4
 BEGINNINGS = (4, 5, 6)
@@ -86,19 +87,27 @@ def _log_safe(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: pa.Array, toxic: np.ndarray, steps: int = 200, rate: float = 0.1, sparse: float = 2e-4) -> WordBag:
-    hs, ss, rows, n_sent = [], [], [], 0
-    for lo, hi, data, offsets in batches(texts, 4 << 20):
+    hs, ss, rows, once, n_sent = [], [], [], [np.zeros(0, np.uint64)], 0
+    for lo, hi, data, offsets in batches(texts, 2 << 20):
         h, s, _, row = _parse(data, offsets)
         hs.append(h)
-        ss.append(s + n_sent)
+        ss.append((s + n_sent).astype(np.int32))
         rows.append(row + lo)
+        doc = row[s]
+        order = np.lexsort((h, doc))
+        x, d = h[order], doc[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
+        once.append(x[new])
         n_sent += len(row)
-    h, s, row = np.concatenate(hs), np.concatenate(ss), np.concatenate(rows)
-    pairs = np.unique(np.stack([h, row[s].astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-    vocab, docs_with = np.unique(pairs[:, 0], return_counts=True)
+    row = np.concatenate(rows)
+    vocab, docs_with = np.unique(np.concatenate(once), return_counts=True)
     bag = WordBag(vocab[docs_with >= MIN_DOCS], np.zeros(0), -3.0)
-    w = bag.lookup(h)
-    s, w = s[w >= 0], w[w >= 0]
+    del once, vocab, docs_with
+    found = [bag.lookup(h).astype(np.int32) for h in hs]
+    s = np.concatenate([x[f >= 0] for x, f in zip(ss, found)])
+    w = np.concatenate([f[f >= 0] for f in found])
+    del hs, ss, found
     weights, bias = np.zeros(len(bag.hashes)), -6.0
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     n_docs = len(toxic)
@@ -124,8 +133,10 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = 200, rate: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> WordBag | None:
     """Learn from labels whose crc32 fold modulo 5 isn't 0."""
     seen = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).where("_lid is not null and _y in (0, 1)").where(fold("_lid", 5) != 0)
-    rank = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(7), "_lid")))
-    few = seen.withColumn("_r", rank).where(F.col("_r") <= sample).select("_lid", "_y")  # at most two samples of two numbers
+    # a few salts each, so that tasks drop what can't be in the sample before the exchange
+    seen = seen.withColumn("_o", F.xxhash64(F.lit(7), "_lid")).withColumn("_salt", F.pmod("_o", F.lit(SALTS)))
+    rank = F.row_number().over(Window.partitionBy("_y", "_salt").orderBy("_o"))
+    few = seen.withColumn("_r", rank).where(F.col("_r") <= max(1, sample // SALTS)).select("_lid", "_y")  # at most two samples of two numbers
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
     got = rows.join(F.broadcast(few), F.col("_id") == F.col("_lid")).select("_lid", "_text", "_y").toArrow().sort_by("_lid")
     y = got.column("_y").to_numpy()
