@@ -218,7 +218,7 @@ def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col(id_col), held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows whose text has a learned language with a score of ``least`` at least."""
     out = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col, carry=True)
     return out.where((F.col("_lang") != "und") & (F.col("_score") >= least)).drop("_lang", "_score")
