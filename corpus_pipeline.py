@@ -10,7 +10,7 @@ from spanloom.llm._common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language isn't identified (no letters, or a score under 0.5) go."""
+    """Documents whose language isn't identified (no letters, or a score under 0.3) go."""
     return langid.keep_identified(docs)
 
 
