@@ -48,8 +48,8 @@ def cigar_blocks(df: DataFrame) -> DataFrame:
 
 def junctions(df: DataFrame, flank: int = MIN_FLANK, intron: int = MIN_INTRON) -> DataFrame:
     """Reads with exactly one intron inside long enough flanks, no insertion or deletion: start and stop of the intron."""
-    op = lambda k: F.element_at("cigar", k)["op"]
-    size = lambda k: F.element_at("cigar", k)["len"].cast("long")
+    op = lambda k: F.try_element_at("cigar", F.lit(k))["op"]
+    size = lambda k: F.try_element_at("cigar", F.lit(k))["len"].cast("long")
     core = df.withColumn("cigar", F.filter("cigar", lambda c: ~c["op"].isin(4, 5)))
     ok = core.where(F.size("cigar") == 3).where((op(1) == 0) & (op(2) == 3) & (op(3) == 0) & (size(1) >= flank) & (size(3) >= flank) & (size(2) >= intron))
     begin = F.col("pos") + size(1)

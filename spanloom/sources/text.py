@@ -74,7 +74,9 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     code = lambda o: F.when(o.isin("=", "X"), 0).otherwise(F.instr(F.lit("MIDNSHP"), o) - 1)
     cigar = F.zip_with(sizes, ops, lambda n, o: F.struct(code(o).alias("op"), n.cast("int").alias("len")))
     tag = lambda name: F.regexp_extract(F.concat_ws("\t", F.slice("f", 12, 100)), rf"\b{name}:\w:([^\t]+)", 1)
-    out = lines.select(f(0).alias("qname"), f(1).cast("int").alias("flag"), f(2).alias("contig"), (f(3).cast("long") - 1).alias("pos"), f(4).cast("int").alias("mapq"), cigar.alias("cigar"), F.nullif(tag("RG"), F.lit("")).alias("rg"), tag("NH").try_cast("int").alias("nh"), tag("XP").try_cast("double").alias("xp"), F.length(f(9)).alias("read_len"))
+    out = lines.select(f(0).alias("qname"), f(1).cast("int").alias("flag"), f(2).alias("contig"), (f(3).cast("long") - 1).alias("pos"), f(4).cast("int").alias("mapq"), cigar.alias("cigar"), F.nullif(tag("RG"), F.lit("")).alias("rg"), tag("NH").try_cast("int").alias("nh"), tag("XP").try_cast("double").alias("xp"), f(9).alias("seq"))
+    inferred = F.aggregate("cigar", F.lit(0), lambda a, c: a + F.when(c["op"].isin(0, 1, 4), c["len"]).otherwise(0))
+    out = out.withColumn("read_len", F.when(F.col("seq") == "*", inferred).otherwise(F.length("seq"))).drop("seq")
     moved = F.aggregate("cigar", F.lit(0).cast("long"), lambda a, c: a + F.when(c["op"].isin(0, 2, 3), c["len"]).otherwise(0))
     return out.withColumn("aend", F.col("pos") + moved)
 
