@@ -576,9 +576,9 @@ def merge_tss(spark, d):
     return g.groupBy("contig", "stop", "grp").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n")).drop("grp")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST((coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 3 AS BIGINT) AS frame FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CAST((coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 3 AS BIGINT) AS frame FROM lineitem")
 def cds_frame(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.coalesce(F.sum(F.col("l_quantity").cast("long")).over(w), F.lit(0)) % 3).alias("frame"))
 
 
