@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", tex
                 for lo, hi, data, offsets in batches(text, 1 << 20):
                     x, row, used = windows(data, offsets)
                     p = _softmax(pooled(x, tables) @ model.out + model.out_bias) * used[:, None]
-                    total = np.stack([np.bincount(row, p[:, k], hi - lo) for k in range(p.shape[1])], 1)
+                    total = np.stack([np.bincount(row, p[:, k], hi - lo).astype(float) for k in range(p.shape[1])], 1)
                     total /= np.maximum(np.diff(offsets), 1)[:, None]
                     best, ok = total.argmax(1), lettered[lo:hi]
                     lang[lo:hi][ok] = np.array(model.langs, object)[best][ok]
