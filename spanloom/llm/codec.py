@@ -1,18 +1,20 @@
 """Token-id files: an adaptive context-mixing range coder over independent blocks.
 
-A block holds up to ``BLOCK`` ids of 16 bits.  Order 2, order 1 and order 0 each
-predict one id: what followed the last two ids, what followed the last id, and
-the block's majority id.  A context of their confidences and agreements selects
-adaptive frequencies of four events (order 2, 1, 0 is right, none is); an id that
-none predicts is spelled by adaptive order-0 frequencies of its high byte and an
-even low byte.  The product is one interval of 2**30 for each id, which drives a
-carry-less range coder with 16-bit output.  Every block starts from nothing and
-has a crc32 of its ids, so blocks decode alone and in any order.
+A block holds up to ``BLOCK`` ids of 16 bits.  Order 2 and order 1 each predict
+one id: what last followed the last two ids, and what last followed the last id.
+How often each was right in its context and whether both agree selects adaptive
+frequencies of three events (order 2 is right, order 1 is, neither is); an id that
+neither predicts is spelled by adaptive order-0 frequencies of its high byte and
+an even low byte.  The product is one interval of 2**28 for each id, which drives
+a range coder with 16-bit output.  Every block starts from nothing and has a crc32
+of its ids, so blocks decode alone and in any order.
 
 Blocks are coded side by side: one numpy lane for each block, one step for each
-id.  All arithmetic is on integers, so any machine decodes what another wrote.
+id.  Predictions change at each id; frequencies are made again from all counts of
+their block after the steps in ``_due``.  All arithmetic is on integers, so any
+machine decodes what another wrote.
 
-Segment format (little endian): magic ``SLT1``; u32 documents, u32 blocks, u64
+Segment format (little endian): magic ``SLT2``; u32 documents, u32 blocks, u64
 ids; per document i64 count of ids; per block u32 ids, u32 bytes, u32 crc32;
 then the blocks' bytes.  Document ids travel in a column beside the segment.
 """
@@ -32,208 +34,207 @@ from pyspark.sql import functions as F
 from ._chunks import encoder
 from ._common import bound_batches, fresh_path, running_offsets
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 1024
+LANES = 4096
 SEGMENT_IDS = BLOCK * LANES
-MAGIC = b"SLT1"
+MAGIC = b"SLT2"
 
 _U = np.uint64
-_TABLE = 1024
-_TOP, _TOPBIT, _BOT, _FULL = _U(46), _U(1 << 46), _U(1 << 30), _U((1 << 62) - 1)
-_REBUILD = 64
-_STEP, _LIMIT = 24, 1000
-_SHARE = (1020 << 16) // np.maximum(np.arange(4 * (_LIMIT + _STEP) + 1), 1)
+_SLOTS = 512  # places of a lane's table of predictions
+_CONTEXTS = 32
+_EVERY = 256
+_SHIFT, _LEAST = _U(16), _U(1 << 48)
+#: ceilings of 2**38 / n and 2**28 / n: exact reciprocals for the dividends that ``find`` meets
+_BY_NONE = -(-(1 << 38) // np.maximum(np.arange(1025), 1))
+_BY_HIGH = -(-(1 << 28) // np.maximum(np.arange(1025), 1))
+
+
+def _due(step: int) -> bool:
+    """After 8 steps, and whenever their number has about doubled, up to each ``_EVERY``."""
+    return step % _EVERY == 0 or step in (8, 32, 96)
 
 
 class _Model:
-    """State of all lanes: predicts events and their frequencies, then learns each id.
+    """State of all lanes: predicts ids and their intervals, then learns each id.
 
-    Counts of the four events are the 16-bit fields of one integer, and a high
-    byte's cumulative frequency and frequency share one too, so a step costs few
-    gathers.  High bytes are counted at the rebuilds, from the ids since the last.
+    A prediction is kept as ``id << 2 | whether it was right the last two times``.
     """
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, decodes: bool):
         at = np.arange(lanes)
-        self.row, self.row64, self.row256 = at * _TABLE, at * 64, at * 256
-        self.one = np.zeros(lanes * _TABLE, np.uint32)  # id | confidence << 16
-        self.two = np.zeros(lanes * _TABLE, np.uint32)
-        self.last = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)
-        self.zero = np.zeros(lanes, np.uint32)
-        self.votes = np.zeros(lanes, np.int32)
-        self.event = np.full(lanes * 64, 1 | 1 << 16 | 1 << 32 | 4 << 48, np.int64)
-        self.high = np.ones(lanes * 256, np.int64)
-        self.new: list[np.ndarray] = []
-        self.steps = 0
-        self._spread()
-
-    def _spread(self) -> None:
-        """Frequencies of the high bytes, 4096 in all, and their inverse."""
-        if self.new:
-            places = (np.stack(self.new) >> np.uint32(8)) + self.row256
-            self.high += 8 * np.bincount(places.ravel(), minlength=len(self.high))
-            self.new = []
-        counts = self.high.reshape(-1, 256)
-        f = 1 + counts * (4096 - 256) // counts.sum(1, keepdims=True)
-        f[np.arange(len(f)), counts.argmax(1)] += 4096 - f.sum(1)
-        below = np.cumsum(f, 1) - f
-        self.spelled = (below << 16 | f).ravel()
-        self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(f)), f.ravel())
-        self.row4096 = np.arange(len(f)) * 4096
+        self.decodes, self.size = decodes, np.int64(lanes * _CONTEXTS)
+        self.row, self.row_ctx, self.row_high, self.row_inverse = at * _SLOTS, at * _CONTEXTS, at * 256, at * 1024
+        self.one = np.zeros(lanes * _SLOTS, np.int32)
+        self.two = np.zeros(lanes * _SLOTS, np.int32)
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)  # the id before the last, times its hash factor
+        self.events = np.repeat(np.array([[1], [1], [2]]), lanes * _CONTEXTS, 1)
+        self.high = np.ones((lanes, 256), np.int64)
+        self.log_event = np.zeros((_EVERY, lanes), np.int64)
+        self.log_high = np.zeros((_EVERY, lanes), np.int64)
+        self.log_spelled = np.zeros((_EVERY, lanes), bool)
+        self.step = self.logged = 0
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Frequencies from the counts: 1024 for a context's events, 1024 for a lane's high bytes."""
+        if self.logged:
+            done, self.logged = slice(self.logged), 0
+            self.events += np.bincount(self.log_event[done].ravel(), minlength=self.events.size).reshape(self.events.shape)
+            high = self.log_high[done][self.log_spelled[done]]
+            self.high += (np.bincount(high, minlength=self.high.size) << 2).reshape(self.high.shape)
+        a, b, c = self.events
+        share = (1021 << 20) // (a + b + c)
+        t0 = 1 + (a * share >> 20)
+        self.thresholds = (t0 | (t0 + 1 + (b * share >> 20)) << 16).astype(np.int32)
+        high = self.high.astype(np.int32)
+        f = 1 + (high * ((768 << 16) // high.sum(1, dtype=np.int32, keepdims=True)) >> 16)
+        f[np.arange(len(f)), high.argmax(1)] += 1024 - f.sum(1, dtype=np.int32)
+        below = np.cumsum(f, 1, dtype=np.int32)
+        below -= f
+        self.spelling = (below << 16 | f).ravel()
+        if self.decodes:
+            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(f)), f.ravel())
 
     def predict(self) -> None:
-        """p2, p1, zero: the ids of order 2, 1 and 0; t0, t1, t2: the events' cumulative frequencies, 1024 in all."""
-        h = self.last * np.uint32(40503)
-        self.k1 = self.row + ((h >> np.uint32(4)) & np.uint32(_TABLE - 1))
-        self.k2 = self.row + (((h + self.before * np.uint32(30011)) >> np.uint32(5)) & np.uint32(_TABLE - 1))
-        e1, e2 = self.one.take(self.k1), self.two.take(self.k2)
-        self.p1, self.p2 = e1 & np.uint32(0xFFFF), e2 & np.uint32(0xFFFF)
-        self.c1, self.c2 = e1 >> np.uint32(16), e2 >> np.uint32(16)
-        flags = (self.c2 << np.uint32(4)) | (self.c1 << np.uint32(2)) | ((self.p1 == self.p2) << np.uint32(1)) | (self.zero == self.p1)
-        self.ctx = self.row64 + flags
-        self.seen = e = self.event.take(self.ctx)
-        a, b, c, d = e & 0xFFFF, (e >> 16) & 0xFFFF, (e >> 32) & 0xFFFF, e >> 48
-        scale = _SHARE.take(a + b + c + d)
-        self.t0 = 1 + (a * scale >> 16)
-        self.t1 = self.t0 + 1 + (b * scale >> 16)
-        self.t2 = self.t1 + 1 + (c * scale >> 16)
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        e = self.seen + (_STEP << (event << 4))
-        full = ((e >> (event << 4)) & 0xFFFF) > _LIMIT
-        if full.any():
-            e = np.where(full, (e >> 1) & 0x7FFF7FFF7FFF7FFF, e)
-        self.event[self.ctx] = e
-        for table, key, old, trust in ((self.one, self.k1, self.p1, self.c1), (self.two, self.k2, self.p2, self.c2)):
-            right = old == ids
-            trust = np.where(right, np.minimum(trust + np.uint32(1), np.uint32(3)), trust >> np.uint32(1))
-            table[key] = np.where(right | (trust > 0), old, ids) | trust << np.uint32(16)
-        self.votes += np.where(self.zero == ids, np.int32(1), np.int32(-1))
-        lost = self.votes < 0
-        self.zero = np.where(lost, ids, self.zero)
-        self.votes = np.maximum(self.votes, 0)
-        self.new.append(ids)
-        self.before, self.last = self.last, ids
-        self.steps += 1
-        if self.steps % _REBUILD == 0 or self.steps in (4, 16):
-            self._spread()
-
-    def _bounds(self, event: np.ndarray, fh: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of 2**30: that of the event, or inside the last one that of the spelled id."""
-        none, spelled = 1024 - self.t2, event == 3
-        start = np.where(event == 0, 0, np.where(event == 1, self.t0, np.where(event == 2, self.t1, self.t2)))
-        stop = np.where(event == 0, self.t0, np.where(event == 1, self.t1, self.t2))
-        low = (start << 20) + np.where(spelled, none * inner, 0)
-        return low.astype(_U), np.where(spelled, none * fh, (stop - start) << 20).astype(_U)
-
-    def events(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(ids == self.zero, 2, 3)))
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.predict()
-        event = self.events(ids)
-        s = self.spelled.take(self.row256 + (ids >> np.uint32(8)))
-        fh = s & 0xFFFF
-        return *self._bounds(event, fh, ((s >> 16) << 8) + (ids & np.uint32(255)) * fh), event
-
-    def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose interval holds ``place``, its interval and its event."""
-        self.predict()
-        big = place >> 20
-        event = (big >= self.t0).astype(np.int64) + (big >= self.t1) + (big >= self.t2)
-        inner = np.clip((place - (self.t2 << 20)) // (1024 - self.t2), 0, (1 << 20) - 1)
-        hi = self.inverse.take(self.row4096 + (inner >> 8)).astype(np.int64)
-        s = self.spelled.take(self.row256 + hi)
-        fh, ch = s & 0xFFFF, (s >> 16) << 8
-        lo = (inner - ch) // fh
-        ids = np.where(event == 0, self.p2, np.where(event == 1, self.p1, np.where(event == 2, self.zero, (hi << 8 | lo).astype(np.uint32))))
-        return ids, *self._bounds(event, fh, ch + lo * fh), event
-
-
-def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that must shift 16 bits; cuts spans where the top bits would never settle."""
-    settled = (low ^ (low + span)) < _TOPBIT
-    small = ~settled & (span < _BOT)
-    if small.any():
-        cutting = np.flatnonzero(small)
-        span[cutting] = (~low[cutting] + _U(1)) & (_BOT - _U(1))
-        settled |= small
-    return np.flatnonzero(settled)
-
-
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """Blocks' bytes.  ids: (lanes, longest), lengths descending."""
-    lanes = len(lengths)
-    model, width = _Model(lanes), 2 * ids.shape[1] + 8
+        h = self.last * 40503
+        self.k1 = ((h >> 4) & (_SLOTS - 1)) + self.row
+        self.k2 = (((h + self.before) >> 5) & (_SLOTS - 1)) + self.row
+        e1, e2 = (table.take(k, mode="wrap").astype(np.int64) for table, k in ((self.one, self.k1), (self.two, self.k2)))
+        self.p1, self.p2, self.c1, self.c2 = e1 >> 2, e2 >> 2, (e1 & 3) << 1, (e2 & 3) << 1
+        self.ctx = ((self.c2 << 2) | self.c1 | (self.p1 == self.p2)) + self.row_ctx
+        t = self.thresholds.take(self.ctx, mode="wrap").astype(np.int64)
+        self.t0, self.t1 = t & 0xFFFF, t >> 16
+
+    def _bounds(self, right2: np.ndarray, right1: np.ndarray, none: np.ndarray, inner: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and share of 2**28: the event's, or inside the last event's the spelled id's."""
+        t0, t1 = self.t0 << 18, self.t1 << 18
+        start, share = t1 + none * inner, none * high
+        np.copyto(start, t0, where=right1)
+        np.copyto(share, t1 - t0, where=right1)
+        np.copyto(start, 0, where=right2)
+        np.copyto(share, t0, where=right2)
+        return start.view(_U), share.view(_U)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.place = self.row_high + (ids >> 8)
+        s = self.spelling.take(self.place, mode="wrap").astype(np.int64)
+        high = s & 0xFFFF
+        self.right2, self.right1 = ids == self.p2, ids == self.p1
+        return self._bounds(self.right2, self.right1, 1024 - self.t1, ((s >> 16) << 8) + (ids & 255) * high, high)
+
+    def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose interval holds ``place``, and the interval."""
+        big = place >> 18
+        right2, right1 = big < self.t0, big < self.t1
+        none = 1024 - self.t1
+        inner = np.maximum(place - (self.t1 << 18), 0) * _BY_NONE.take(none, mode="wrap") >> 38
+        byte = self.inverse.take(self.row_inverse + (inner >> 8), mode="wrap")
+        spelled = self.row_high + byte
+        s = self.spelling.take(spelled, mode="wrap").astype(np.int64)
+        high, below = s & 0xFFFF, (s >> 16) << 8
+        low = (inner - below) * _BY_HIGH.take(high, mode="wrap") >> 28
+        bounds = self._bounds(right2, right1, none, below + low * high, high)
+        ids = low | (spelled & 255) << 8  # a lane's row is a multiple of 256
+        np.copyto(ids, self.p1, where=right1)
+        np.copyto(ids, self.p2, where=right2)
+        self.right2, self.right1 = right2, ids == self.p1
+        self.place = self.row_high + (ids >> 8)
+        return ids, *bounds
+
+    def update(self, ids: np.ndarray) -> None:
+        entry = ids << 2
+        self.two[self.k2] = entry | ((self.c2 | self.right2) & 3)
+        self.one[self.k1] = entry | ((self.c1 | self.right1) & 3)
+        known, at = self.right1 | self.right2, self.logged
+        # rows of ``events``: order 2 is right, order 1 is, neither
+        event = 2 - (known.view(np.int8) + self.right2)
+        np.add(self.ctx, event * self.size, out=self.log_event[at])
+        self.log_high[at] = self.place
+        np.logical_not(known, out=self.log_spelled[at])
+        self.before, self.last = self.last * 30011, ids
+        self.logged += 1
+        self.step += 1
+        if _due(self.step):
+            self._refresh()
+
+
+def encode_blocks(ids: np.ndarray, last: int) -> list[bytes]:
+    """Blocks' bytes.  ids: (lanes, steps); the last block has ``last`` ids, the others ``steps``."""
+    lanes, steps = ids.shape
+    model, width = _Model(lanes, False), 2 * steps + 12
     out, used = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
-    low, span = np.zeros(lanes, _U), np.full(lanes, _FULL)
-    turned, shortest = np.ascontiguousarray(ids.T), int(lengths.min())
-    for step in range(ids.shape[1]):
-        token = turned[step]
-        start, share, event = model.interval(token)
-        unit = span >> _U(30)
-        if step < shortest:
-            low += start * unit
-            span = share * unit
-        else:
-            live = lengths > step
-            low = np.where(live, low + start * unit, low)
-            span = np.where(live, share * unit, span)
-        while len(shift := _settle(low, span)):
-            l = low[shift]
-            out[used[shift]] = (l >> _TOP).astype(np.uint16)
-            used[shift] += 1
-            low[shift] = (l << _U(16)) & _FULL
-            span[shift] <<= _U(16)
-        model.update(token, event)
-    for _ in range(4):
-        out[used] = (low >> _TOP).astype(np.uint16)
-        used += 1
-        low = (low << _U(16)) & _FULL
-    return [out[k * width : used[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
-    lanes, longest, shortest = len(blocks), int(lengths.max(initial=0)), int(lengths.min(initial=0))
-    model, width = _Model(lanes), max(map(len, blocks)) // 2 + 8
+    low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
+    ends = np.zeros(lanes, np.int64)
+
+    def finish(lane: slice) -> None:
+        """Write the rest of these lanes; what they code later starts anew behind it."""
+        for _ in range(4):
+            out[used[lane]] = low[lane] >> _U(48)
+            used[lane] += 1
+            low[lane] <<= _SHIFT
+        span[lane] = ~_U(0)
+        ends[lane] = used[lane]
+
+    for step, token in enumerate(np.ascontiguousarray(ids.T, np.int64)):
+        if step == last:
+            finish(slice(lanes - 1, lanes))
+        model.predict()
+        start, share = model.interval(token)
+        unit = span >> _U(28)
+        moved = low + start * unit
+        carry = np.flatnonzero(moved < low)
+        place = used[carry] - 1
+        while len(place):
+            out[place] += np.uint16(1)
+            place = place[out[place] == 0] - 1
+        low, span = moved, share * unit
+        shift = np.flatnonzero(span < _LEAST)
+        while len(shift):
+            l, s, at = low[shift], span[shift] << _SHIFT, used[shift]
+            out[at] = l >> _U(48)
+            used[shift] = at + 1
+            low[shift], span[shift] = l << _SHIFT, s
+            shift = shift[s < _LEAST]
+        model.update(token)
+    finish(slice(lanes - (last < steps)))
+    return [out[k * width : ends[k]].astype("<u2").tobytes() for k in range(lanes)]
+
+
+def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
+    """The first ``steps`` ids of each block: (lanes, steps)."""
+    lanes = len(blocks)
+    model, width = _Model(lanes, True), max(map(len, blocks)) // 2 + 8
     words = np.zeros((lanes, width), np.uint16)
     for k, b in enumerate(blocks):
-        words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    # the state has 62 bits: three words and the upper 14 bits of the fourth; its other two wait in ``spare``
+        words[k, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
     w = words[:, :4].astype(_U)
-    code = w[:, 0] << _U(46) | w[:, 1] << _U(30) | w[:, 2] << _U(14) | w[:, 3] >> _U(2)
-    spare = w[:, 3] & _U(3)
+    code = w[:, 0] << _U(48) | w[:, 1] << _U(32) | w[:, 2] << _U(16) | w[:, 3]
     words, used, behind = words.ravel(), np.arange(lanes) * width + 4, lanes * width - 1
-    low, span = np.zeros(lanes, _U), np.full(lanes, _FULL)
-    out = np.zeros((longest, lanes), np.uint32)
-    for step in range(longest):
-        unit = span >> _U(30)
-        place = np.minimum((code - low) // unit, _U((1 << 30) - 1)).astype(np.int64)
-        ids, start, share, event = model.find(place)
-        if step < shortest:
-            low += start * unit
-            span = share * unit
-        else:  # a finished lane repeats the encoder's padding
-            live = lengths > step
-            ids = np.where(live, ids, np.uint32(0))
-            event = np.where(live, event, model.events(ids))
-            low = np.where(live, low + start * unit, low)
-            span = np.where(live, share * unit, span)
+    span = np.full(lanes, ~_U(0))
+    out = np.zeros((steps, lanes), np.uint32)
+    for step in range(steps):
+        model.predict()
+        unit = span >> _U(28)
+        ids, start, share = model.find(np.minimum(code // unit, _U((1 << 28) - 1)).view(np.int64))
         out[step] = ids
-        while len(shift := _settle(low, span)):
-            w = words[np.minimum(used[shift], behind)].astype(_U)
-            used[shift] += 1
-            code[shift] = ((code[shift] << _U(16)) & _FULL) | (spare[shift] << _U(14)) | (w >> _U(2))
-            spare[shift] = w & _U(3)
-            low[shift] = (low[shift] << _U(16)) & _FULL
-            span[shift] <<= _U(16)
-        model.update(ids, event)
+        code -= start * unit
+        span = share * unit
+        shift = np.flatnonzero(span < _LEAST)
+        while len(shift):
+            s, at = span[shift] << _SHIFT, used[shift]
+            code[shift] = code[shift] << _SHIFT | words[np.minimum(at, behind)]
+            used[shift] = at + 1
+            span[shift] = s
+            shift = shift[s < _LEAST]
+        model.update(ids)
     return out.T
 
 
 def pack_segment(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """One segment: the ids of whole documents and how many each has."""
+    if len(ids) and int(ids.max()) >= 1 << 16:
+        raise ValueError("ids of more than 16 bits")
     n_blocks = -(-len(ids) // BLOCK)
     lengths = np.full(n_blocks, BLOCK)
     if n_blocks:
@@ -241,11 +242,10 @@ def pack_segment(ids: np.ndarray, counts: np.ndarray) -> bytes:
     body, meta = [], []
     for at in range(0, n_blocks, LANES):
         own = lengths[at : at + LANES]
-        matrix = np.zeros((len(own), int(own.max())), np.uint32)
         flat = ids[at * BLOCK : at * BLOCK + int(own.sum())]
-        for k in range(len(own)):
-            matrix[k, : own[k]] = flat[k * BLOCK : k * BLOCK + own[k]]
-        for k, b in enumerate(encode_blocks(matrix, own)):
+        matrix = np.zeros((len(own), int(own.max())), np.uint32)
+        matrix.ravel()[: len(flat)] = flat  # only a segment's last block is shorter
+        for k, b in enumerate(encode_blocks(matrix, int(own[-1]))):
             meta.append((int(own[k]), len(b), zlib.crc32(matrix[k, : own[k]].astype("<u4").tobytes())))
             body.append(b)
     head = MAGIC + struct.pack("<IIQ", len(counts), n_blocks, len(ids))
@@ -267,7 +267,7 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     for first in range(0, n_blocks, LANES):
         own = meta[first : first + LANES]
         blocks = [data[b : b + n] for b, n in zip(begins[first : first + LANES].tolist(), own[:, 1].tolist())]
-        matrix = decode_blocks(blocks, own[:, 0])
+        matrix = decode_blocks(blocks, int(own[:, 0].max()))
         for k, (n, _, crc) in enumerate(own.tolist()):
             ids = np.ascontiguousarray(matrix[k, :n], dtype="<u4")
             if zlib.crc32(ids.tobytes()) != crc:
