@@ -60,7 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller Arrow batches, so that long texts don't fill a worker's memory."""
+    """Smaller Arrow batches, so that long texts don't fill a worker's memory; Spark bounds their bytes besides."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

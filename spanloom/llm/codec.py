@@ -341,7 +341,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    bound_batches(files.sparkSession, 1)
+    bound_batches(files.sparkSession)
     schema = f"`{id_col}` {kind}, _part int, _seg long, _place long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return files.select("_part", "_seg", "_ids", "_payload").mapInArrow(run, schema)
 
