@@ -4,19 +4,27 @@ A text is cut before ASCII white space that follows a visible ASCII or Latin-1
 character.  Both vocabularies used here end a pre-token there whatever stands
 around it, so the ids of a text are the ids of its chunks in order.  Each worker
 keeps the ids of the chunks it has met (up to ``KEEP`` of them, then afresh).
+
+New chunks go to the library ``JOINED`` at a time with a mark between them, as
+each call has a fixed cost.  A mark stands between two such places too, so all
+marks' ids are found behind the chunks they follow; where more are found, chunks
+hold some themselves, and the library gets these chunks one by one.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from ._bytes import batches, span_hashes
 
-KEEP = 1_200_000
+KEEP = 2_000_000
+JOINED = 64
+_MARK = "\n~"
 SLICE = 2 << 20
 
 _white = np.zeros(256, bool)
@@ -45,22 +53,47 @@ class ChunkEncoder:
         self.library.encode_special_tokens = True
         if hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # chunks come once; its cache only costs
+        self.mark = self._alone([_MARK])[0]
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _alone(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one behind the other, and how many each has."""
+        found: list[list[int]] = [[]] * len(texts)
+        apart, joinable = [], []
+        for k, t in enumerate(texts):
+            (joinable if t[0] in " \t\n\v\f\r" and "!" <= t[-1] <= "~" else apart).append(k)
+        groups = [joinable[at : at + JOINED] for at in range(0, len(joinable), JOINED)]
+        for group, ids in zip(groups, self._alone([_MARK.join([texts[k] for k in g]) for g in groups])):
+            flat = np.array(ids, np.uint32)
+            hit = flat[: len(flat) - len(self.mark) + 1] == self.mark[0]
+            for k in range(1, len(self.mark)):
+                hit &= flat[k : k + len(hit)] == self.mark[k]
+            at = np.flatnonzero(hit).tolist()
+            if len(at) != len(group) - 1:
+                apart += group
+                continue
+            for k, a, z in zip(group, [0, *(x + len(self.mark) for x in at)], [*at, len(flat)]):
+                found[k] = ids[a:z]
+        for k, ids in zip(apart, self._alone([texts[k] for k in apart])):
+            found[k] = ids
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encoded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(count.sum()))
+        """``keys``: ascending, none of them known."""
+        ids, count = self._ids(texts)
         slot = len(self.first) + np.arange(len(keys))
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
         self.count, self.pool = np.concatenate([self.count, count]), np.concatenate([self.pool, ids])
-        keys, slot = np.concatenate([self.keys, keys]), np.concatenate([self.slot, slot])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slot = keys[order], slot[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slot)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row behind the last, ids of these rows, offsets of the rows in them)."""
