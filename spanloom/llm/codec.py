@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from ._chunks import encoder
 from ._common import bound_batches, fresh_path, running_offsets
 
-BLOCK = 1024
-LANES = 4096
+BLOCK = 2048
+LANES = 2048
 SEGMENT_IDS = BLOCK * LANES
 MAGIC = b"SLT2"
 
 _U = np.uint64
 _SLOTS = 512  # places of a lane's table of predictions
 _CONTEXTS = 32
-_EVERY = 256
+_EVERY = 512
 _SHIFT, _LEAST = _U(16), _U(1 << 48)
 #: ceilings of 2**38 / n and 2**28 / n: exact reciprocals for the dividends that ``find`` meets
 _BY_NONE = -(-(1 << 38) // np.maximum(np.arange(1025), 1))
@@ -51,7 +51,7 @@ _BY_HIGH = -(-(1 << 28) // np.maximum(np.arange(1025), 1))
 
 def _due(step: int) -> bool:
     """After 8 steps, and whenever their number has about doubled, up to each ``_EVERY``."""
-    return step % _EVERY == 0 or step in (8, 32, 96)
+    return step % _EVERY == 0 or step in (8, 32, 96, 224)
 
 
 class _Model:
