@@ -86,9 +86,18 @@ def test_chunks_equal_the_library():
         assert got == [e.library.encode(t or "", add_special_tokens=False).ids for _, t in ODD]
 
 
+def test_chunks_that_hold_the_mark():
+    texts = ["one two\n~ three\n~", " ~ \n~\n~ x", "\n~", *(f"w{k} v{k}\n~ ~{k}" for k in range(200))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = ChunkEncoder(P.path(name))
+        for _ in range(2):  # new chunks, then known ones
+            got = [i[o[k] : o[k + 1]].tolist() for lo, hi, i, o in e.encode(pa.array(texts)) for k in range(hi - lo)]
+            assert got == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_codec_round_trip():
     rng = np.random.default_rng(3)
-    for n in (0, 1, 4096, 4097, 9000):
+    for n in (0, 1, 2047, 2048, 2049, 4096, 4097, 9000):
         ids = (rng.zipf(1.2, n) % 49408).astype(np.uint32)
         data = codec.pack_segment(ids, np.array([n]))
         assert (codec.unpack_segment(data)[0] == ids).all()
@@ -155,6 +164,12 @@ def test_signatures_estimate_similarity():
     assert exact == pytest.approx(696 / 896, abs=1e-9) and abs((sig[0] == sig[1]).mean() - exact) < 0.2
 
 
+def test_language_of_only_empty_texts(spark):
+    model = langid.train([b"one two three four", b"eins zwei drei vier"], np.array([0, 1]), ["a", "b"], steps=2)
+    rows = langid.identify(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1), model).collect()
+    assert {(r.doc_id, r._lang, r._score) for r in rows} == {(1, "und", 0.0), (2, "und", 0.0)}
+
+
 def test_models(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     lang = langid.language_of(docs).join(docs, "doc_id")
