@@ -12,10 +12,12 @@ weight, doubled for texts that leave a coordinate empty, so that the work is
 about k ln k darts and not k hashes for each element.
 
 Joining: equal texts are one node.  Nodes that share a band of ``ROWS``
-coordinates are candidates.  In buckets of up to ``SMALL`` nodes all pairs are;
-in larger ones each node is paired with the bucket's first, and the bucket is
-split by a second band (``SECOND`` different ones, each again all pairs or the
-first), so that no bucket emits more than a fixed number of pairs for each node.
+coordinates are candidates.  In buckets of up to ``SMALL`` nodes all pairs are
+checked at once; in larger ones first each node with the bucket's first.  Large
+buckets whose nodes aren't all in one class by then are compared in full, by
+blocks of about ``BLOCK`` nodes: two rounds check each node's ``NEAREST`` nodes
+of other classes, a last one every pair of nodes of different classes that is
+left.  Only pairs inside a class, which can't change it, are passed over.
 Candidates whose signatures agree enough are checked exactly on their texts, and
 links of similarity ``least`` or more are merged into classes.
 
@@ -42,7 +44,9 @@ LEAST = 0.8
 COORDINATES = 128
 ROWS = 4
 SMALL = 16
-SECOND = (1, 5, 14)
+#: nodes of a block of a large bucket, and nodes of other classes that each node is checked with in the first rounds
+BLOCK = 1024
+NEAREST = 4
 #: agreeing coordinates of 128 under which a pair isn't checked: five deviations under 0.8
 AGREE = 79
 BROADCAST_NODES = 2_000_000
@@ -194,22 +198,63 @@ def _bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small.unionByName(large.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))), large
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to check first, and (key, node) of the buckets over ``SMALL``."""
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node").select("key", "node")
     pairs, large = _bucket_pairs(members)
-    wide = large.select("key", "band", "node").join(nodes.select("node", "bands"), "node")
-    n_bands = COORDINATES // ROWS
-    other = F.array(*[F.element_at("bands", (F.col("band") + s) % n_bands + 1) for s in SECOND])
-    second = wide.select("node", F.col("key").alias("old"), F.posexplode(other).alias("nth", "new"))
-    again, _ = _bucket_pairs(second.select("node", F.xxhash64("old", "nth", "new").alias("key")))
-    return pairs.unionByName(again).where("a != b").distinct()
-
-
-def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """Pairs of different texts (nodes a < b) of similarity ``least`` or more that join the classes."""
-    nodes = _nodes(docs, text_col)
+    return pairs.where("a != b").distinct(), large.select("key", "node")
+
+
+def agreeing(sa: np.ndarray, sb: np.ndarray, ra: np.ndarray, rb: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different classes that agree enough: all, or each row's ``nearest``."""
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ta, tb = np.ascontiguousarray(sa.T), np.ascontiguousarray(sb.T)
+    for lo in range(0, len(sa), 256):
+        same = np.zeros((len(sa[lo : lo + 256]), len(sb)), np.uint8)
+        for k in range(COORDINATES):
+            same += ta[k, lo : lo + 256, None] == tb[k]
+        same[(same < AGREE) | (ra[lo : lo + 256, None] == rb)] = 0
+        if nearest is None or nearest >= len(sb):
+            x, y = np.nonzero(same)
+        else:
+            best = np.argpartition(same, len(sb) - nearest, axis=1)[:, -nearest:]
+            x, n = np.nonzero(np.take_along_axis(same, best, 1))
+            y = best[x, n]
+        xs.append(x + lo)
+        ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _open_pairs(opened: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
+    """Agreeing pairs of different classes in large buckets (key, node, root, n), by blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = opened.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(nodes.select("node", "sig"), "node")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        node, own = t.column("node").combine_chunks(), t.column("own").to_numpy()
+        root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        u, v = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = agreeing(sig[u], sig[v], root[u], root[v], nearest)
+        x, y = u[x], v[y]
+        if i == j and nearest is None:
+            x, y = x[x < y], y[x < y]
+        elif i != j and nearest is not None:
+            y2, x2 = agreeing(sig[v], sig[u], root[v], root[u], nearest)
+            x, y = np.concatenate([x, u[x2]]), np.concatenate([y, v[y2]])
+        return pa.table({"a": node.take(pa.array(x)), "b": node.take(pa.array(y))})
+
+    found = rows.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree enough."""
     sig = nodes.select("node", "sig")
-    both = candidate_pairs(nodes).join(sig.withColumnRenamed("node", "a").withColumnRenamed("sig", "sa"), "a")
+    both = pairs.join(sig.withColumnRenamed("node", "a").withColumnRenamed("sig", "sa"), "a")
     both = both.join(sig.withColumnRenamed("node", "b").withColumnRenamed("sig", "sb"), "b").select("a", "b", "sa", "sb")
 
     def agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +263,11 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
             keep = pa.array(np.flatnonzero((x == y).sum(1) >= AGREE))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    likely = cut(both.mapInArrow(agree, "a binary, b binary"))
+    return both.mapInArrow(agree, "a binary, b binary")
+
+
+def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) -> DataFrame:
+    """The pairs whose texts have similarity ``least`` or more."""
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
     n_wanted = wanted.count()
@@ -236,6 +285,28 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
     return cut(met.mapInArrow(check, "a binary, b binary, similarity double"))
 
 
+def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """node -> root (its class's smallest node), for the nodes of classes of two and more texts."""
+    nodes = _nodes(docs, text_col)
+    pairs, large = candidate_pairs(nodes)
+    large = cut(large)
+    links = _checked(docs, text_col, cut(_likely(pairs, nodes)), least)
+    found = components(links)
+    for nearest in (NEAREST, NEAREST, None):
+        named = large.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        sums = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
+        large = cut(named.join(sums, "key"))
+        if large.isEmpty():
+            break
+        likely = cut(_open_pairs(large, nodes, nearest))
+        large = large.select("key", "node")
+        if likely.isEmpty():
+            break  # no pair of different classes agrees enough, so the last round has none either
+        links = cut(links.select("a", "b").unionByName(_checked(docs, text_col, likely, least).select("a", "b")))
+        found = components(links)
+    return found
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node -> root (its component's smallest node), for nodes with an edge.
 
@@ -266,7 +337,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, carry: list[str] | None = None) -> DataFrame:
     """Every row with _id, _class (smallest id of its class), _size, _kept, and the columns named in ``carry``."""
-    found = components(links(docs, text_col, least))
+    found = classes(docs, text_col, least)
     n_found = found.count()
     nodes = docs.select(F.col(id_col).alias("_id"), node_of(F.col(text_col)).alias("_node"))
     root = F.broadcast(found) if n_found <= BROADCAST_NODES else found

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -155,6 +156,43 @@ def test_near_dedup(spark, odd, empty):
     assert minhash.near_dedup(empty).isEmpty()
 
 
+def brute_classes(texts):
+    """Each text's class by all pairs: the first place of its component at similarity 0.8."""
+    grams = []
+    for t in texts:
+        w, seen = re.findall("[a-z0-9]+", t.lower()), Counter()
+        shingles = [tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))] if w else []
+        grams.append({(x, seen.update([x]) or seen[x]) for x in shingles} or {t})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j]:
+                both = len(grams[i] & grams[j])
+                if both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [1024, 100])
+def test_near_dedup_of_a_base_and_its_edits(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    texts = []
+    # 4 to 6 changes: 0.88 to 0.82 to the base, mostly under 0.8 to each other; 8 changes are under 0.8 to the base
+    for n in (6, 6, 6, 5, 4) * 66 + (8,) * 60:
+        edit = list(base)
+        for k in rng.choice(np.arange(5, 290, 6), n, replace=False):
+            edit[k] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(edit))
+    texts.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_dedup(docs).collect()}
+    want = brute_classes(texts)
+    assert max(Counter(want).values()) > 300 and len(set(want)) > 20
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     a = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 800))
