@@ -65,13 +65,14 @@ def exon_edges(exons: DataFrame, introns: DataFrame) -> DataFrame:
     return left.join(jn, ["contig", "strand", "l_stop"]).join(right, ["contig", "strand", "r_start"])
 
 
-def exon_runs(segments: DataFrame, floor: float, keys: list[str], span: int = 8) -> DataFrame:
+def exon_runs(segments: DataFrame, floor: float, keys: list[str]) -> DataFrame:
     """From each segment that opens, the runs that stay at ``floor`` or more up to a segment that closes.
 
-    segments: keys, nth, value, opens, closes; a run is at most ``span`` segments.
+    segments: keys, nth, value, opens, closes; only a segment under the floor or a gap in nth ends a run.
     """
     run = Window.partitionBy(*keys, "first").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    heads = segments.where("opens").select(*keys, F.explode(F.expr(f"sequence(nth, nth + {span - 1})")).alias("nth"), F.col("nth").alias("first"))
-    path = heads.join(segments, [*keys, "nth"]).withColumn("least", F.min("value").over(run)).withColumn("len", F.count(F.lit(1)).over(run))
-    whole = F.col("len") == F.col("nth") - F.col("first") + 1
-    return path.where(whole & (F.col("least") >= floor) & F.col("closes")).select(*keys, "first", F.col("nth").alias("last"), "least")
+    high = segments.where(F.coalesce(F.col("value") >= floor, F.lit(True)))
+    high = high.withColumn("island", F.col("nth") - F.row_number().over(Window.partitionBy(*keys).orderBy("nth")))
+    heads = high.where("opens").select(*keys, "island", F.col("nth").alias("first"))
+    path = heads.join(high, [*keys, "island"]).where("nth >= first").withColumn("least", F.min("value").over(run))
+    return path.where((F.col("least") >= floor) & F.col("closes")).select(*keys, "first", F.col("nth").alias("last"), "least")

@@ -33,6 +33,16 @@ def test_coverage(spark):
     assert got == [(0, 1, 1), (2, 4, 2), (5, 6, 1)]
 
 
+def test_exon_runs_have_no_longest_span(spark):
+    rng = np.random.default_rng(6)
+    value = [int(x) for x in rng.integers(10, 100, 60)]
+    value[25] = value[41] = 5
+    segments = [("c", k, value[k], k % 3 == 0, k % 4 == 1) for k in range(60) if k != 50]
+    got = rows(graph.exon_runs(spark.createDataFrame(segments, "contig string, nth long, value long, opens boolean, closes boolean"), 10, ["contig"]), "first", "last", "least")
+    want = [(i, j, min(value[i : j + 1])) for i in range(0, 60, 3) for j in range(i, 60) if j % 4 == 1 and min(value[i : j + 1]) >= 10 and not i <= 50 <= j]
+    assert got == want and max(b - a for a, b, _ in got) > 20
+
+
 def test_cigar_blocks_and_junctions(spark):
     op = {"M": 0, "I": 1, "D": 2, "N": 3}
     cases = {"12M50N12M": [(12, "M"), (50, "N"), (12, "M")], "11M50N12M": [(11, "M"), (50, "N"), (12, "M")], "12M39N12M": [(12, "M"), (39, "N"), (12, "M")]}
