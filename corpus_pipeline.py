@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("toxicity", drop_toxic), ("exact_dedup", drop_exact), ("minhash_near_dedup", drop_near), ("best_fit_packing", pack)]
 
-#: models and sequence packing aren't SQL; tests hold the stages against brute force
+#: models and sequence packing aren't SQL
 ORACLE_SQL = None
 
 
