@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_ALL = (1 << 64) - 1
+#: spans are hashed in windows of so many bytes, so that tables and sums stay small whatever a text's size
+WINDOW = 1 << 18
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +54,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    n = len(data)
-    if len(_powers[0]) <= n:
-        size = max(1 << 21, 2 * n)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=prefix[1:])
-    return prefix
+def _cumulated(base: int) -> np.ndarray:
+    p = np.full(WINDOW + 1, base, np.uint64)
+    p[0] = 1
+    return np.cumprod(p)
+
 
+_forth, _back = _cumulated(_BASE), _cumulated(_INVERSE)
 
-def spans_of(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes: a polynomial from prefix sums, then mixed with the length."""
-    return mix((prefix[ends] - prefix[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
+def _prefix(data: np.ndarray) -> np.ndarray:
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _forth[: len(data)], out=prefix[1:])
+    return prefix
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_of(prefix_sums(data), starts, ends)
+
+def _finished(polynomial: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(polynomial + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _long_span(data: np.ndarray) -> int:
+    total, shift = 0, 1
+    for at in range(0, len(data), WINDOW):
+        total = total + int(_prefix(data[at : at + WINDOW])[-1]) * shift & _ALL
+        shift = shift * pow(_BASE, WINDOW, 1 << 64) & _ALL
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, beginnings: tuple[int, ...] = ()):
+    """64-bit hash of each span's bytes: a polynomial from prefix sums, then mixed with the length.
+
+    Starts and ends ascend.  With ``beginnings``: also, for each number n of them,
+    the places of the spans of over n bytes and the hashes of their first n bytes.
+    """
+    out, begun = np.empty(len(starts), np.uint64), [([], []) for _ in beginnings]
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + WINDOW, "right"))
+        whole = to > at
+        to = max(to, at + 1)
+        s, e = starts[at:to] - base, ends[at:to] - base
+        window = data[base : base + min(int(e[-1]), WINDOW)]
+        prefix = _prefix(window)
+        if whole:
+            out[at:to] = _finished((prefix[e] - prefix[s]) * _back[s], e - s)
+        else:
+            out[at] = _finished(np.array([_long_span(data[base : base + int(e[0])])], np.uint64), e)[0]
+        for n, (places, hashes) in zip(beginnings, begun):
+            longer = np.flatnonzero(e - s > n)
+            places.append(longer + at)
+            hashes.append(_finished((prefix[s[longer] + n] - prefix[s[longer]]) * _back[s[longer]], np.full(len(longer), n)))
+        at = to
+    if not beginnings:
+        return out
+    none = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    return out, [(np.concatenate(none[0] + p), np.concatenate(none[1] + h)) for p, h in begun]
 
 
 _word = np.zeros(256, np.uint8)
@@ -95,11 +133,40 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, np.flatnonzero(inside & ~before[:-1]), np.flatnonzero(inside & ~after[1:]) + 1
 
 
+def word_pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets) of pieces of about ``size`` bytes that no word straddles; a long word stays whole."""
+    if len(data) <= size:
+        yield 0, data, offsets
+        return
+    at = 0
+    while at < len(data):
+        to = min(at + size, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(_word[data[at:to][::-1][:65536]] == 0)
+            if len(gap):
+                to -= int(gap[0])
+                break
+            to = min(to + size, len(data))
+        inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")]
+        yield at, data[at:to], np.concatenate([[at], inner, [to]]) - at
+        at = to
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words."""
     low, starts, ends = word_spans(data, offsets)
     return starts, ends, span_hashes(low, starts, ends)
 
 
+def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and their rows; long data in pieces."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for at, piece, inner in word_pieces(data, offsets):
+        starts, _, h = words(piece, inner)
+        hashes.append(h)
+        rows.append(rows_of(offsets, starts + at).astype(np.int32))
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
 def rows_of(offsets: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, places, "right") - 1

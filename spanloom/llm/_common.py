@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+HOT_GROUPS = 1000
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -65,6 +66,48 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def rowed(docs: DataFrame) -> Column:
+    """All columns in one struct ``_row``, so that their names clash with nothing."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("_row")
+
+
+def unrowed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
+def attached(rows: DataFrame, key: str, light: DataFrame, light_key: str, n_light: int, most: int) -> DataFrame:
+    """Left join with a light table of unique keys (strings or bytes).
+
+    It is broadcast while it has at most ``most`` rows.  Beyond that only the rows
+    of the ``HOT_GROUPS`` most frequent keys are broadcast; all others are joined by
+    shuffle, so that no key with many rows meets in one task.
+    """
+    values = [c for c in light.columns if c != light_key]
+    if n_light <= most:
+        return rows.join(F.broadcast(light), F.col(key) == F.col(light_key), "left").drop(light_key)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_often")).orderBy(F.desc("_often"), key).limit(HOT_GROUPS).select(F.col(key).alias("_hk"))
+    hot = light.join(F.broadcast(hot), F.col(light_key) == F.col("_hk"), "right").select("_hk", F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h{c}") for c in values])
+    out = rows.join(F.broadcast(cut(hot)), F.col(key) == F.col("_hk"), "left")
+    # rows that are served already get a key of their own: they spread, and what they match isn't read
+    alone = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")).cast(dict(rows.dtypes)[key])
+    out = out.withColumn("_jk", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(alone))
+    out = out.join(light, F.col("_jk") == F.col(light_key), "left")
+    return out.select(*[F.col(c) for c in rows.columns], *[F.when(F.col("_hot").isNull(), F.col(c)).otherwise(F.col(f"_h{c}")).alias(c) for c in values])
+
+
+def once(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """Leave ``flag`` true in one row only of those that agree in ``keys``; at most one row of each task meets the others."""
+    one = F.row_number().over(Window.partitionBy(*keys, "_task").orderBy(F.lit(0)))
+    out = rows.withColumn("_task", F.spark_partition_id()).withColumn("_nth", F.when(F.col(flag), one))
+    out = out.withColumn("_apart", F.when(F.col("_nth") == 1, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    two = F.row_number().over(Window.partitionBy(*keys, "_apart").orderBy("_task"))
+    return out.withColumn(flag, F.col(flag) & (F.col("_nth") == 1) & (two == 1)).drop("_task", "_nth", "_apart")
+
+
 def fold(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     c = F.col(col) if isinstance(col, str) else col

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import encoder
-from ._common import bound_batches, cut
+from ._common import bound_batches, cut, quoted
 
 CAPACITY = 1024
 PARTITION_ROWS = 65_536
@@ -105,7 +105,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(raw, pa.binary())] if with_ids else []), names=["_uid", "_id", "_n", "_crcs"] + ["_ids"] * with_ids)
 
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    src = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     return src.mapInArrow(run, f"_uid long, _id {src.dtypes[0][1]}, _n long, _crcs array<long>" + ", _ids binary" * with_ids)
 
 
