@@ -1,26 +1,29 @@
 """Token-id files: an adaptive context-mixing range coder over independent blocks.
 
-A block holds up to ``BLOCK`` ids of 16 bits.  Order 2 and order 1 each predict
-one id: what last followed the last two ids, and what last followed the last id.
-How often each was right in its context and whether both agree selects adaptive
-frequencies of three events (order 2 is right, order 1 is, neither is); an id that
-neither predicts is spelled by adaptive order-0 frequencies of its high byte and
-an even low byte.  The product is one interval of 2**28 for each id, which drives
-a range coder with 16-bit output.  Every block starts from nothing and has a crc32
+A block holds up to ``BLOCK`` ids of 16 bits.  Ids are named by their order of
+appearance in the block.  Order 2 and order 1 each predict what last followed the
+last two ids and the last id.  Whether such a candidate comes is a binary event:
+orders 2, 1 and 0 each give a probability for it (by how often the prediction was
+right in its context, and by the candidate's own frequency), and a logistic
+mixer blends them with weights that it learns online.  A second candidate, where
+orders 2 and 1 differ, gets an event of its own.  Other ids are coded by adaptive
+order-0 frequencies of the ids seen so far, with an escape to ids not yet seen:
+adaptive frequencies of their high six bits and even low bits.  All this narrows
+one interval of a range coder with 16-bit output.  Every block starts from nothing and has a crc32
 of its ids, so blocks decode alone and in any order.
 
 Blocks are coded side by side: one numpy lane for each block, one step for each
-id.  Predictions change at each id; frequencies are made again from all counts of
-their block after the steps in ``_due``.  All arithmetic is on integers, so any
+id; all state is adapted after each id.  All arithmetic is on integers, so any
 machine decodes what another wrote.
 
-Segment format (little endian): magic ``SLT2``; u32 documents, u32 blocks, u64
+Segment format (little endian): magic ``SLT3``; u32 documents, u32 blocks, u64
 ids; per document i64 count of ids; per block u32 ids, u32 bytes, u32 crc32;
 then the blocks' bytes.  Document ids travel in a column beside the segment.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,137 +35,191 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import encoder
-from ._common import bound_batches, fresh_path, running_offsets
+from ._common import bound_batches, fresh_path, quoted, running_offsets
 
 BLOCK = 2048
 LANES = 2048
 SEGMENT_IDS = BLOCK * LANES
-MAGIC = b"SLT2"
+MAGIC = b"SLT3"
 
 _U = np.uint64
-_SLOTS = 512  # places of a lane's table of predictions
-_CONTEXTS = 32
-_EVERY = 512
 _SHIFT, _LEAST = _U(16), _U(1 << 48)
-#: ceilings of 2**38 / n and 2**28 / n: exact reciprocals for the dividends that ``find`` meets
-_BY_NONE = -(-(1 << 38) // np.maximum(np.arange(1025), 1))
-_BY_HIGH = -(-(1 << 28) // np.maximum(np.arange(1025), 1))
-
-
-def _due(step: int) -> bool:
-    """After 8 steps, and whenever their number has about doubled, up to each ``_EVERY``."""
-    return step % _EVERY == 0 or step in (8, 32, 96, 224)
+_HEAVY = 1 << 18  # of a weight, where 1 << 16 is one
+_WIDE_BITS, _WIDE = 6, 64  # names of a group of order-0 frequencies, and classes of ids not yet seen
+_GROUPS = BLOCK // _WIDE
+#: what a name (rows 0 to 63) and a new one (the other rows) add to the sums behind it
+_ABOVE = np.array([[more * (k > place) for k in range(_WIDE)] for more in (2, 1) for place in range(_WIDE)], np.int16)
+_ABOVE_GROUP = _ABOVE[:, :_GROUPS].copy()
+_ABOVE_CLASS = np.array([[4 * (high < k <= _WIDE) for k in range(_WIDE + 8)] for high in range(_WIDE)], np.int32)
+#: log odds in units of 1 / 256 of probabilities in units of 1 / 4096, and back from log odds + 2048
+_STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)])
+_SQUASH = np.array([min(4080, max(16, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)])
+#: log2 of a number, whole part
+_LOG = np.array([max(n, 1).bit_length() - 1 for n in range(1 << 14)])
+
+#: first probabilities, of 65536: by order 2 (none, then its run of right predictions), by order 1 (none, runs where it agrees, runs where it differs) and by order 0 (log2 of one over the share)
+_FIRST = (
+    np.array([20000, 24000, 40000, 52000, 60000]),
+    np.array([12000, 26000, 42000, 54000, 61000, 16000, 14000, 12000, 10000]),
+    np.clip(60000 - 5000 * np.arange(16), 2000, None),
+)
+#: for the second candidate: by order 1's run and order 2's, and by order 0
+_SECOND = (np.repeat([7000, 14000, 22000, 30000], 4), np.clip(40000 - 4000 * np.arange(16), 1500, None))
+
+
+def _true(rows: np.ndarray) -> np.ndarray:
+    """How many of each row are true; the rows' length is a multiple of eight."""
+    return np.bitwise_count(rows.view(_U)).sum(1, dtype=np.int64)
+
+
+def _add_rows(to: np.ndarray, rows: np.ndarray, more: np.ndarray) -> None:
+    """``to[rows] += more`` of whole rows, all different."""
+    more += to.take(rows, 0, mode="clip")
+    kind = f"V{to.dtype.itemsize * to.shape[1]}"
+    to.view(kind).ravel()[rows] = more.view(kind).ravel()
+
+
+class _Event:
+    """Mixer of adaptive probabilities: for each order a table and a weight in every lane."""
+
+    def __init__(self, lanes: int, first: tuple[np.ndarray, ...], weight: int):
+        self.table = np.concatenate([np.tile(t, lanes) for t in first]).astype(np.int64)
+        sizes = [len(t) for t in first]
+        self.base = np.array([np.arange(lanes) * n + lanes * sum(sizes[:k]) for k, n in enumerate(sizes)])
+        self.weights = np.full((len(first), lanes), weight, np.int64)
+
+    def mixed(self, contexts: np.ndarray) -> np.ndarray:
+        """Probabilities of 4096; contexts: (orders, lanes)."""
+        contexts += self.base
+        self.at = contexts
+        self.old = self.table.take(contexts, mode="wrap")
+        self.odds = _STRETCH.take(self.old >> 4, mode="wrap")
+        dot = (self.odds * self.weights).sum(0)
+        dot >>= 16
+        dot += 2048
+        self.p = _SQUASH.take(dot, mode="clip")
+        return self.p
+
+    def learn(self, right: np.ndarray, counts: np.ndarray) -> None:
+        """Lanes whose ``counts`` is 0 didn't have the event."""
+        target = (right * 65535 - self.old) * counts
+        target >>= 4
+        target += self.old
+        self.table[self.at] = target
+        error = ((right << 12) - self.p) * (counts * 6)
+        step = self.odds * error
+        step += 32768
+        step >>= 16
+        step += self.weights
+        np.minimum(step, _HEAVY, out=step)
+        self.weights = np.maximum(step, -_HEAVY, out=step)
 
 
 class _Model:
-    """State of all lanes: predicts ids and their intervals, then learns each id.
-
-    A prediction is kept as ``id << 2 | whether it was right the last two times``.
-    """
-
-    def __init__(self, lanes: int, decodes: bool):
-        at = np.arange(lanes)
-        self.decodes, self.size = decodes, np.int64(lanes * _CONTEXTS)
-        self.row, self.row_ctx, self.row_high, self.row_inverse = at * _SLOTS, at * _CONTEXTS, at * 256, at * 1024
-        self.one = np.zeros(lanes * _SLOTS, np.int32)
-        self.two = np.zeros(lanes * _SLOTS, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)  # the id before the last, times its hash factor
-        self.events = np.repeat(np.array([[1], [1], [2]]), lanes * _CONTEXTS, 1)
-        self.high = np.ones((lanes, 256), np.int64)
-        self.log_event = np.zeros((_EVERY, lanes), np.int64)
-        self.log_high = np.zeros((_EVERY, lanes), np.int64)
-        self.log_spelled = np.zeros((_EVERY, lanes), bool)
-        self.step = self.logged = 0
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Frequencies from the counts: 1024 for a context's events, 1024 for a lane's high bytes."""
-        if self.logged:
-            done, self.logged = slice(self.logged), 0
-            self.events += np.bincount(self.log_event[done].ravel(), minlength=self.events.size).reshape(self.events.shape)
-            high = self.log_high[done][self.log_spelled[done]]
-            self.high += (np.bincount(high, minlength=self.high.size) << 2).reshape(self.high.shape)
-        a, b, c = self.events
-        share = (1021 << 20) // (a + b + c)
-        t0 = 1 + (a * share >> 20)
-        self.thresholds = (t0 | (t0 + 1 + (b * share >> 20)) << 16).astype(np.int32)
-        high = self.high.astype(np.int32)
-        f = 1 + (high * ((768 << 16) // high.sum(1, dtype=np.int32, keepdims=True)) >> 16)
-        f[np.arange(len(f)), high.argmax(1)] += 1024 - f.sum(1, dtype=np.int32)
-        below = np.cumsum(f, 1, dtype=np.int32)
-        below -= f
-        self.spelling = (below << 16 | f).ravel()
-        if self.decodes:
-            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(f)), f.ravel())
+    """State of all lanes: names ids, predicts names, and learns each name."""
+
+    def __init__(self, lanes: int):
+        self.lanes = np.arange(lanes)
+        self.row, self.group_row = self.lanes * BLOCK, self.lanes * _GROUPS
+        self.behind = lanes * BLOCK
+        self.followers = np.zeros(2 * lanes * BLOCK, np.int16)  # by order 1, then by order 2: (name + 1) << 2 | run of right predictions
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.place = np.zeros((2, lanes), np.int64)
+        self.count = np.zeros(lanes * BLOCK, np.int16)
+        self.groups = np.full((lanes, _GROUPS), 1 << 14, np.int16)  # sums of all smaller groups, where a group is open
+        self.inside = np.zeros((lanes * _GROUPS, _WIDE), np.int16)  # sums of all smaller names of the group
+        self.total = np.zeros(lanes, np.int64)
+        self.names = np.zeros(lanes, np.int64)
+        self.classes = np.tile(np.append(np.arange(_WIDE + 1), [1 << 30] * 7).astype(np.int32), (lanes, 1))  # sums of all smaller classes, and of all
+        self.first, self.second = _Event(lanes, _FIRST, 30000), _Event(lanes, _SECOND, 40000)
 
     def predict(self) -> None:
-        h = self.last * 40503
-        self.k1 = ((h >> 4) & (_SLOTS - 1)) + self.row
-        self.k2 = (((h + self.before) >> 5) & (_SLOTS - 1)) + self.row
-        e1, e2 = (table.take(k, mode="wrap").astype(np.int64) for table, k in ((self.one, self.k1), (self.two, self.k2)))
-        self.p1, self.p2, self.c1, self.c2 = e1 >> 2, e2 >> 2, (e1 & 3) << 1, (e2 & 3) << 1
-        self.ctx = ((self.c2 << 2) | self.c1 | (self.p1 == self.p2)) + self.row_ctx
-        t = self.thresholds.take(self.ctx, mode="wrap").astype(np.int64)
-        self.t0, self.t1 = t & 0xFFFF, t >> 16
-
-    def _bounds(self, right2: np.ndarray, right1: np.ndarray, none: np.ndarray, inner: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First place and share of 2**28: the event's, or inside the last event's the spelled id's."""
-        t0, t1 = self.t0 << 18, self.t1 << 18
-        start, share = t1 + none * inner, none * high
-        np.copyto(start, t0, where=right1)
-        np.copyto(share, t1 - t0, where=right1)
-        np.copyto(start, 0, where=right2)
-        np.copyto(share, t0, where=right2)
-        return start.view(_U), share.view(_U)
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.place = self.row_high + (ids >> 8)
-        s = self.spelling.take(self.place, mode="wrap").astype(np.int64)
-        high = s & 0xFFFF
-        self.right2, self.right1 = ids == self.p2, ids == self.p1
-        return self._bounds(self.right2, self.right1, 1024 - self.t1, ((s >> 16) << 8) + (ids & 255) * high, high)
-
-    def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose interval holds ``place``, and the interval."""
-        big = place >> 18
-        right2, right1 = big < self.t0, big < self.t1
-        none = 1024 - self.t1
-        inner = np.maximum(place - (self.t1 << 18), 0) * _BY_NONE.take(none, mode="wrap") >> 38
-        byte = self.inverse.take(self.row_inverse + (inner >> 8), mode="wrap")
-        spelled = self.row_high + byte
-        s = self.spelling.take(spelled, mode="wrap").astype(np.int64)
-        high, below = s & 0xFFFF, (s >> 16) << 8
-        low = (inner - below) * _BY_HIGH.take(high, mode="wrap") >> 28
-        bounds = self._bounds(right2, right1, none, below + low * high, high)
-        ids = low | (spelled & 255) << 8  # a lane's row is a multiple of 256
-        np.copyto(ids, self.p1, where=right1)
-        np.copyto(ids, self.p2, where=right2)
-        self.right2, self.right1 = right2, ids == self.p1
-        self.place = self.row_high + (ids >> 8)
-        return ids, *bounds
-
-    def update(self, ids: np.ndarray) -> None:
-        entry = ids << 2
-        self.two[self.k2] = entry | ((self.c2 | self.right2) & 3)
-        self.one[self.k1] = entry | ((self.c1 | self.right1) & 3)
-        known, at = self.right1 | self.right2, self.logged
-        # rows of ``events``: order 2 is right, order 1 is, neither
-        event = 2 - (known.view(np.int8) + self.right2)
-        np.add(self.ctx, event * self.size, out=self.log_event[at])
-        self.log_high[at] = self.place
-        np.logical_not(known, out=self.log_spelled[at])
-        self.before, self.last = self.last * 30011, ids
-        self.logged += 1
-        self.step += 1
-        if _due(self.step):
-            self._refresh()
+        """Both candidates and their probabilities of 4096 (0: none)."""
+        np.add(self.row, self.last, out=self.place[0])
+        np.add(((self.last * 40503 + self.before * 30011) >> 4) & (BLOCK - 1), self.row + self.behind, out=self.place[1])
+        e = self.followers.take(self.place, mode="wrap").astype(np.int64)
+        self.run, has = e & 3, (e > 0).astype(np.int64)
+        e >>= 2
+        e -= 1
+        self.guess = e
+        (one, two), (n1, n2), (has1, has2) = e, self.run, has
+        self.one = one
+        self.cand = np.where(has2, two, one)
+        differ = (one != two) & has2
+        self.has, self.both = has1 | has2, differ & has1
+        near = self.count.take(np.array([self.cand, one]) + self.row, mode="wrap")
+        share = _LOG.take(self.total, mode="wrap") - _LOG.take(near, mode="wrap")
+        self.pa = self.first.mixed(np.array([(n2 + 1) * has2, (n1 + 1 + 4 * differ) * has1, share[0]])) * self.has
+        self.pb = self.second.mixed(np.array([n1 * 4 + n2, share[1]])) * self.both
+
+    def frequencies(self, lanes: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and share of names in order 0; of names not yet seen, the escape's."""
+        new = name == self.names[lanes]
+        at = np.minimum(name, BLOCK - 1)
+        self.group, self.inner = self.group_row[lanes] + (at >> _WIDE_BITS), at & (_WIDE - 1)
+        start = self.groups.ravel().take(self.group).astype(np.int64) + self.inside.ravel().take((self.group << _WIDE_BITS) + self.inner)
+        share = self.count.take(self.row[lanes] + at)
+        return np.where(new, self.total[lanes], start).view(_U), np.where(new, self.names[lanes] + 1, share).view(_U)
+
+    def find(self, lanes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Names whose order-0 interval holds ``place``."""
+        small = place.astype(np.int16)
+        group = _true(self.groups.take(lanes, 0) <= small[:, None]) - 1
+        at = self.group_row[lanes] + group
+        small -= self.groups.ravel().take(at)
+        inner = _true(self.inside.take(at, 0) <= small[:, None])
+        return np.where(place >= self.total[lanes], self.names[lanes], group * _WIDE + inner - 1)
+
+    def update(self, name: np.ndarray, right: np.ndarray, right_second: np.ndarray, rest: np.ndarray) -> None:
+        self.first.learn(right.astype(np.int64), self.has)
+        self.second.learn(right_second.astype(np.int64), self.both & ~right)
+        entry = ((name + 1) << 2) + np.minimum(self.run + 1, 3) * (self.guess == name)
+        self.followers[self.place] = entry.astype(np.int16)
+        self.before, self.last = self.last, name
+        # order 0 learns what reached it: 2 more for a name, 1 for a new one
+        x, n = name[rest], self.names[rest]
+        new = x == n
+        if new.any():
+            opens = rest[new & (self.inner == 0)]
+            self.groups[opens, name[opens] >> _WIDE_BITS] = self.total[opens]
+        more = np.subtract(2, new, dtype=np.int16)
+        self.count[self.row[rest] + x] += more
+        kind = new * _WIDE
+        _add_rows(self.groups, rest, _ABOVE_GROUP.take((x >> _WIDE_BITS) + kind, 0, mode="clip"))
+        _add_rows(self.inside, self.group, _ABOVE.take(self.inner + kind, 0, mode="clip"))
+        self.total[rest] += more
+        self.names[rest] = n + new
+
+    def class_frequencies(self, lanes: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = lanes * (_WIDE + 8) + high
+        start, behind = self.classes.ravel().take(np.array([at, at + 1])).astype(np.int64)
+        return start.view(_U), (behind - start).view(_U)
+
+    def class_total(self, lanes: np.ndarray) -> np.ndarray:
+        return self.classes[lanes, _WIDE].astype(np.int64)
+
+    def find_class(self, lanes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return _true(self.classes.take(lanes, 0) <= place.astype(np.int32)[:, None]) - 1
+
+    def update_class(self, lanes: np.ndarray, high: np.ndarray) -> None:
+        _add_rows(self.classes, lanes, _ABOVE_CLASS.take(high, 0))
+
+
+def _names(ids: np.ndarray) -> np.ndarray:
+    """Each id's order of first appearance in its row."""
+    lanes, steps = ids.shape
+    key = (np.arange(lanes)[:, None] << 16 | ids).ravel()
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    new = np.zeros(lanes * steps, bool)
+    new[first] = True
+    nth = np.cumsum(new.reshape(lanes, steps), 1).ravel() - 1
+    return nth[first][back].reshape(lanes, steps)
 
 
 def encode_blocks(ids: np.ndarray, last: int) -> list[bytes]:
     """Blocks' bytes.  ids: (lanes, steps); the last block has ``last`` ids, the others ``steps``."""
     lanes, steps = ids.shape
-    model, width = _Model(lanes, False), 2 * steps + 12
+    model, width = _Model(lanes), 2 * steps + 12
     out, used = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     ends = np.zeros(lanes, np.int64)
@@ -176,27 +233,52 @@ def encode_blocks(ids: np.ndarray, last: int) -> list[bytes]:
         span[lane] = ~_U(0)
         ends[lane] = used[lane]
 
-    for step, token in enumerate(np.ascontiguousarray(ids.T, np.int64)):
-        if step == last:
-            finish(slice(lanes - 1, lanes))
-        model.predict()
-        start, share = model.interval(token)
-        unit = span >> _U(28)
-        moved = low + start * unit
-        carry = np.flatnonzero(moved < low)
-        place = used[carry] - 1
+    def move(where: np.ndarray, over: np.ndarray, left: np.ndarray) -> None:
+        """Carry, for lanes whose low ends ran over, and write what is settled of lanes of small spans."""
+        place = used[where[over]] - 1
         while len(place):
             out[place] += np.uint16(1)
             place = place[out[place] == 0] - 1
-        low, span = moved, share * unit
-        shift = np.flatnonzero(span < _LEAST)
+        shift = where[left < _LEAST]
         while len(shift):
             l, s, at = low[shift], span[shift] << _SHIFT, used[shift]
             out[at] = l >> _U(48)
             used[shift] = at + 1
             low[shift], span[shift] = l << _SHIFT, s
             shift = shift[s < _LEAST]
-        model.update(token)
+
+    tokens = np.ascontiguousarray(ids.T, np.int64)
+    for step, name in enumerate(np.ascontiguousarray(_names(ids.astype(np.int64)).T)):
+        if step == last:
+            finish(slice(lanes - 1, lanes))
+        model.predict()
+        part = (span >> _U(12)) * model.pa.view(_U)
+        right = (name == model.cand) & (model.has > 0)
+        to, left = low + part * ~right, np.where(right, part, span - part)
+        right_second = (name == model.one) & (model.both > 0)
+        part = (left >> _U(12)) * (model.pb * ~right).view(_U)
+        to += part * ~right_second
+        left = np.where(right_second, part, left - part)
+        rest = np.flatnonzero(~(right | right_second))
+        own = name[rest]
+        start, share = model.frequencies(rest, own)
+        unit = left[rest] // (model.total[rest] + model.names[rest] + 1).view(_U)
+        to[rest] += unit * start
+        left[rest] = unit * share
+        over, low, span = to < low, to, left
+        move(model.lanes, over, left)
+        new = rest[own == model.names[rest]]
+        if len(new):
+            token = tokens[step, new]
+            start, share = model.class_frequencies(new, token >> 10)
+            unit = span[new] // model.class_total(new).view(_U)
+            fine = unit * share >> _U(10)
+            before = low[new]
+            to = before + unit * start + fine * (token & 1023).view(_U)
+            low[new], span[new] = to, fine
+            move(new, to < before, fine)
+            model.update_class(new, token >> 10)
+        model.update(name, right, right_second, rest)
     finish(slice(lanes - (last < steps)))
     return [out[k * width : ends[k]].astype("<u2").tobytes() for k in range(lanes)]
 
@@ -204,7 +286,7 @@ def encode_blocks(ids: np.ndarray, last: int) -> list[bytes]:
 def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     """The first ``steps`` ids of each block: (lanes, steps)."""
     lanes = len(blocks)
-    model, width = _Model(lanes, True), max(map(len, blocks)) // 2 + 8
+    model, width = _Model(lanes), max(map(len, blocks)) // 2 + 8
     words = np.zeros((lanes, width), np.uint16)
     for k, b in enumerate(blocks):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
@@ -212,22 +294,53 @@ def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     code = w[:, 0] << _U(48) | w[:, 1] << _U(32) | w[:, 2] << _U(16) | w[:, 3]
     words, used, behind = words.ravel(), np.arange(lanes) * width + 4, lanes * width - 1
     span = np.full(lanes, ~_U(0))
+    named = np.zeros(lanes * BLOCK, np.uint16)
     out = np.zeros((steps, lanes), np.uint32)
-    for step in range(steps):
-        model.predict()
-        unit = span >> _U(28)
-        ids, start, share = model.find(np.minimum(code // unit, _U((1 << 28) - 1)).view(np.int64))
-        out[step] = ids
-        code -= start * unit
-        span = share * unit
-        shift = np.flatnonzero(span < _LEAST)
+
+    def move(where: np.ndarray, left: np.ndarray) -> None:
+        shift = where[left < _LEAST]
         while len(shift):
             s, at = span[shift] << _SHIFT, used[shift]
             code[shift] = code[shift] << _SHIFT | words[np.minimum(at, behind)]
             used[shift] = at + 1
             span[shift] = s
             shift = shift[s < _LEAST]
-        model.update(ids)
+
+    for step in range(steps):
+        model.predict()
+        part = (span >> _U(12)) * model.pa.view(_U)
+        right = code < part
+        code, span = code - part * ~right, np.where(right, part, span - part)
+        part = (span >> _U(12)) * (model.pb * ~right).view(_U)
+        right_second = code < part
+        code -= part * ~right_second
+        span = np.where(right_second, part, span - part)
+        name = np.where(right_second, model.one, model.cand)
+        # where neither event was possible both parts are 0
+        rest = np.flatnonzero(~(right | right_second))
+        total = model.total[rest] + model.names[rest] + 1
+        unit = span[rest] // total.view(_U)
+        own = model.find(rest, np.minimum((code[rest] // unit).view(np.int64), total - 1))
+        name[rest] = own
+        start, share = model.frequencies(rest, own)
+        code[rest] -= unit * start
+        span[rest] = unit * share
+        move(model.lanes, span)
+        new = rest[own == model.names[rest]]
+        if len(new):
+            total = model.class_total(new)
+            unit = span[new] // total.view(_U)
+            high = model.find_class(new, np.minimum((code[new] // unit).view(np.int64), total - 1))
+            start, share = model.class_frequencies(new, high)
+            fine = unit * share >> _U(10)
+            inner = code[new] - unit * start
+            lower = np.minimum(inner // fine, _U(1023))
+            code[new], span[new] = inner - fine * lower, fine
+            move(new, fine)
+            named[model.row[new] + np.minimum(name[new], BLOCK - 1)] = high << 10 | lower.view(np.int64)
+            model.update_class(new, high)
+        out[step] = named.take(model.row + name, mode="wrap")
+        model.update(name, right, right_second, rest)
     return out.T
 
 
@@ -315,9 +428,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, *, end_id: in
             yield flush()
 
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # the second key splits an id that many rows share; the first alone orders
-    src = src.withColumn("_tie", F.xxhash64("_text")).repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").select("_id", "_text")
+    src = docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
+    # the other keys split an id, or a row, that repeats many times; the first alone orders
+    src = src.withColumn("_tie", F.xxhash64("_text")).withColumn("_nth", F.monotonically_increasing_id())
+    src = src.repartitionByRange("_id", "_tie", "_nth").sortWithinPartitions("_id", "_tie", "_nth").select("_id", "_text")
     kind = src.dtypes[0][1]
     src.mapInArrow(run, f"_part int, _seg long, _ids array<{kind}>, _tokens long, _payload binary").write.parquet(path)
 
