@@ -2,16 +2,21 @@
 
 A document is a bag of sentences.  A sentence scores sigmoid(bias + sum of the
 weights of its words and of their beginnings of ``BEGINNINGS`` bytes, so that
-inflected and compound forms share weights); the document's score is their noisy-or, 1 - prod(1 - score).  Weights
+inflected and compound forms share weights), less what any sentence scores: p
+counts as (p - ``FLOOR``) / (1 - ``FLOOR``), and as 0 under ``FLOOR``.  So thousands of clean
+sentences don't add up, and a long text scores by its sentences, not by its
+length.  The document's score is the noisy-or, 1 - prod(1 - score).  Weights
 are learned from document labels only, by Adam with soft thresholding on the
-noisy-or's likelihood, over a bounded sample: at most ``SAMPLE`` labelled rows of
-each label with texts of at most ``SAMPLE_BYTES``, taken by a hash of the id.
+likelihood of the plain noisy-or, over a bounded sample: at most ``SAMPLE`` labelled
+rows of each label with texts of at most ``SAMPLE_BYTES``, taken by a hash of the id.
 Only features in ``MIN_DOCS`` sample documents get a weight.  Scoring reads whole
-texts; ``offending`` returns the sentences that carry a document's score.
+texts, long ones in pieces; ``offending`` returns the sentences that carry a
+document's score.
 
 Defined cases: null and empty texts have no sentence and score 0; a text without
 known words scores the noisy-or of the bias; without labels of both kinds every
-score is 0; repeated label rows count once for each; extra columns are not read.
+score is 0; repeated label rows count once for each; extra columns are not read,
+or carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import batches, prefix_sums, rows_of, spans_of, word_spans
-from ._common import bound_batches, fold
+from ._bytes import batches, rows_of, span_hashes, word_pieces, word_spans
+from ._common import bound_batches, fold, quoted, rowed, unrowed
 
 SAMPLE = 2000
 SALTS = 8
 SAMPLE_BYTES = 16_384
 MIN_DOCS = 4
 BEGINNINGS = (4, 5, 6)
+FLOOR = 0.1
 
 _ends = np.zeros(256, bool)
 _ends[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
@@ -70,14 +77,16 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, sentence) of each feature; (start, row) of each sentence."""
     at, row = sentences(data, offsets)
-    low, starts, ends = word_spans(data, offsets)
-    sums = prefix_sums(low)
-    place = np.searchsorted(at, starts, "right") - 1
-    hashes, places = [spans_of(sums, starts, ends)], [place]
-    for n in BEGINNINGS:
-        longer = np.flatnonzero(ends - starts > n)
-        hashes.append(spans_of(sums, starts[longer], starts[longer] + n) ^ np.uint64(n))
-        places.append(place[longer])
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for base, piece, inner in word_pieces(data, offsets):
+        low, starts, ends = word_spans(piece, inner)
+        whole, begun = span_hashes(low, starts, ends, BEGINNINGS)
+        place = np.searchsorted(at, starts + base, "right") - 1
+        hashes.append(whole)
+        places.append(place)
+        for n, (longer, h) in zip(BEGINNINGS, begun):
+            hashes.append(h ^ np.uint64(n))
+            places.append(place[longer])
     return np.concatenate(hashes), np.concatenate(places), at, row
 
 
@@ -114,7 +123,7 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = 200, rate: float = 0.
     share = np.where(toxic == 1, 0.5 / max((toxic == 1).sum(), 1), 0.5 / max((toxic == 0).sum(), 1)) * 0.5 + 0.5 / n_docs
     for step in range(1, steps + 1):
         z = bias + np.bincount(s, weights[w], n_sent)
-        p = 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         clean = np.bincount(row, _log_safe(z), n_docs)  # log of the chance that no sentence offends
         hit = np.maximum(-np.expm1(clean), 1e-9)
         g_doc = np.where(toxic == 1, -np.exp(clean) / hit, 1.0) * share
@@ -137,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = seen.withColumn("_o", F.xxhash64(F.lit(7), "_lid")).withColumn("_salt", F.pmod("_o", F.lit(SALTS)))
     rank = F.row_number().over(Window.partitionBy("_y", "_salt").orderBy("_o"))
     few = seen.withColumn("_r", rank).where(F.col("_r") <= max(1, sample // SALTS)).select("_lid", "_y")  # at most two samples of two numbers
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
     got = rows.join(F.broadcast(few), F.col("_id") == F.col("_lid")).select("_lid", "_text", "_y").toArrow().sort_by("_lid")
     y = got.column("_y").to_numpy()
     if len(set(y.tolist())) < 2:
@@ -145,26 +154,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(got.column("_text").combine_chunks(), y)
 
 
+def sentence_odds(bag: WordBag, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds, starts and rows of all sentences."""
+    h, s, at, row = _parse(data, offsets)
+    w = bag.lookup(h)
+    known = w >= 0
+    return bag.bias + np.bincount(s[known], bag.weights[w[known]], len(row)), at, row
+
+
+def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Scores of n bags from their sentences' log odds, less the floor."""
+    p = np.maximum(1 / (1 + np.exp(-np.clip(z, -60, 60))) - FLOOR, 0) / (1 - FLOOR)
+    return np.clip(0.0 - np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), n)), 0, 1)
+
+
 def document_scores(bag: WordBag, text: pa.Array) -> np.ndarray:
     out = np.zeros(len(text))
     for lo, hi, data, offsets in batches(text, 1 << 20):
-        h, s, _, row = _parse(data, offsets)
-        w = bag.lookup(h)
-        known = w >= 0
-        z = bag.bias + np.bincount(s[known], bag.weights[w[known]], len(row))
-        out[lo:hi] = -np.expm1(np.bincount(row, _log_safe(z), hi - lo))
-    return np.clip(out, 0, 1)
+        z, _, row = sentence_odds(bag, data, offsets)
+        out[lo:hi] = noisy_or(z, row, hi - lo)
+    return out
 
 
 def scored(docs: DataFrame, bag: WordBag | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """id (or all columns) and _score of every whole text."""
-    columns = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col)]
-    src = docs.select(*columns, F.col(text_col).alias("_text"))
+    """_id (or all columns in _row) and _score of every whole text."""
+    src = docs.select(rowed(docs)) if carry else docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+    place = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            score = document_scores(bag, b.column(b.num_columns - 1)) if bag is not None else np.zeros(len(b))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "_score"])
+            text = pc.struct_field(b.column(0), [place]) if carry else b.column(1)
+            score = document_scores(bag, text) if bag is not None else np.zeros(len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=[b.schema.names[0], "_score"])
 
     bound_batches(docs.sparkSession)
     return src.mapInArrow(run, src.drop("_text").schema.add("_score", "double"))
@@ -178,10 +199,7 @@ def offending(docs: DataFrame, bag: WordBag, least: float = 0.5, id_col: str = "
             out: list[tuple] = []
             ids = b.column(0).to_pylist()
             for lo, _, data, offsets in batches(b.column(1), 1 << 20):
-                h, s, at, row = _parse(data, offsets)
-                w = bag.lookup(h)
-                known = w >= 0
-                z = bag.bias + np.bincount(s[known], bag.weights[w[known]], len(row))
+                z, at, row = sentence_odds(bag, data, offsets)
                 ends, raw = np.append(at[1:], len(data)), data.tobytes()
                 for k in np.flatnonzero(z >= np.log(least / (1 - least))).tolist():
                     a, e = int(at[k]), int(ends[k])
@@ -191,16 +209,16 @@ def offending(docs: DataFrame, bag: WordBag, least: float = 0.5, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=[id_col, "start", "length", "sentence", "score"])
 
     bound_batches(docs.sparkSession)
-    src = docs.select(id_col, text_col)
+    src = docs.select(quoted(id_col), quoted(text_col))
     return src.mapInArrow(run, f"`{id_col}` {src.dtypes[0][1]}, start long, length long, sentence string, score double")
 
 
 def toxicity_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     out = scored(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
-    held = F.coalesce(fold(id_col, 5) == 0, F.lit(False))
-    return out.select(F.col(id_col), held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    held = F.coalesce(fold("_id", 5) == 0, F.lit(False))
+    return out.select(F.col("_id").alias(id_col), held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows that score under ``least``."""
-    return scored(docs, fit(docs, labels, id_col, text_col), id_col, text_col, carry=True).where(F.col("_score") < least).drop("_score")
+    return unrowed(scored(docs, fit(docs, labels, id_col, text_col), id_col, text_col, carry=True).where(F.col("_score") < least), docs.columns)
