@@ -17,19 +17,18 @@ group that holds a third of all rows doesn't meet in one task.
 
 Defined cases: null ids count as larger than any id; of rows that repeat both
 the text and the smallest id exactly one is kept; an empty table gives an empty
-result; columns other than the id and the text are not read.
+result; extra columns are not read, or carried along whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import attached, cut, once, quoted, rowed, unrowed
 
-HOT_GROUPS = 1000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -60,61 +59,37 @@ def marked(
     text_col: str = "text",
     *,
     salts: int = 32,
-    broadcast_rows: int = 500_000,
+    broadcast_rows: int = 100_000,
     digest: Callable[[Column], Column] = sha256_hex,
-    carry: list[str] | None = None,
+    carry: bool = False,
 ) -> DataFrame:
-    """Every row with ``_id _digest _keep _size _kept``, and the columns named in ``carry``."""
-    ids = docs.select(F.col(id_col).alias("_id"))
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
+    """Every row with ``_id _digest _keep _size _kept``, and all its columns in ``_row`` where ``carry``."""
+    rows = docs.select(quoted(id_col).alias("_id"), normalised(quoted(text_col)).alias("_norm"), *[rowed(docs)] * carry)
     rows = rows.withColumn("_digest", digest(F.col("_norm")))
-    texts = combine(rows, salts)
-    light = texts.groupBy("_digest").agg(
+    plain = rows.select("_id", "_norm", "_digest")
+    light = combine(plain, salts).groupBy("_digest").agg(
         F.count(F.lit(1)).alias("_texts"), F.min("_keep").alias("_keep"), F.max("_size").alias("_size")
     )
     many = cut(light.where("_size > 1 or _texts > 1"))
     n_many, n_clash = many.agg(F.count(F.lit(1)), F.count(F.when(F.col("_texts") > 1, 1))).first()
-    repeated = not ids.groupBy("_id").count().where("count > 1").isEmpty()
+    repeated = not rows.groupBy("_id").count().where("count > 1").isEmpty()
 
-    carried = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry or [])]
-    out = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"), *carried)
-    out = out.withColumn("_digest", digest(F.col("_norm")))
-    single = many.where("_texts = 1").select(F.col("_digest").alias("_d"), F.col("_keep").alias("_k"), F.col("_size").alias("_s"))
-    clash = None
+    out, own = rows, None
     if n_clash:
         collided = many.where("_texts > 1").select("_digest")
-        clash = combine(rows.join(collided, "_digest", "left_semi"), salts)
-        own = out.join(collided, "_digest", "left_semi").join(clash, ["_digest", "_norm"])
-        out = out.join(collided, "_digest", "left_anti")
-    out = out.drop("_norm")
-    if n_many <= broadcast_rows:
-        out = out.join(F.broadcast(single), out["_digest"] == single["_d"], "left")
-    else:
-        hot = single.orderBy(F.desc("_s"), "_d").limit(HOT_GROUPS).select(
-            F.col("_d").alias("_hd"), F.col("_k").alias("_hk"), F.col("_s").alias("_hs")
-        )
-        out = out.join(F.broadcast(hot), out["_digest"] == hot["_hd"], "left")
-        # rows that are served already get a key of their own: they spread and match nothing
-        out = out.withColumn(
-            "_key", F.when(F.col("_hd").isNull(), F.col("_digest")).otherwise(F.concat(F.lit("~"), F.xxhash64("_id", F.spark_partition_id()).cast("string")))
-        )
-        out = out.join(single, out["_key"] == single["_d"], "left")
-        out = out.withColumn("_k", F.coalesce("_hk", "_k")).withColumn("_s", F.coalesce("_hs", "_s"))
-    out = out.select(
-        "_id", "_digest", *[f"_c{k}" for k in range(len(carried))],
-        F.when(F.col("_s").isNull(), F.col("_id")).otherwise(F.col("_k")).alias("_keep"),
-        F.coalesce("_s", F.lit(1)).cast("long").alias("_size"), F.lit("").alias("_norm"),
-    )
-    if clash is not None:
+        clash = combine(plain.join(collided, "_digest", "left_semi"), salts)
+        own = rows.join(collided, "_digest", "left_semi").join(clash, ["_digest", "_norm"])
+        out = rows.join(collided, "_digest", "left_anti")
+    single = many.where("_texts = 1").select(F.col("_digest").alias("_d"), "_keep", "_size")
+    out = attached(out.drop("_norm"), "_digest", single, "_d", n_many, broadcast_rows).withColumn("_norm", F.lit(""))
+    out = out.withColumn("_keep", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep")))
+    out = out.withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long"))
+    if own is not None:
         out = out.unionByName(own.select(*out.columns))
     out = out.withColumn("_kept", F.col("_id").eqNullSafe(F.col("_keep")))
     if repeated:
-        w = Window.partitionBy("_digest", "_norm", "_id").orderBy(F.lit(0))
-        out = out.withColumn("_kept", F.col("_kept") & (F.row_number().over(w) == 1))
-    out = out.drop("_norm")
-    for k, c in enumerate(carry or []):
-        out = out.withColumnRenamed(f"_c{k}", c)
-    return out
+        out = once(out, ["_digest", "_norm", "_id"], "_kept")
+    return out.drop("_norm")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -127,4 +102,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that stay, with all their columns."""
-    return marked(docs, id_col, text_col, carry=docs.columns, **options).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unrowed(marked(docs, id_col, text_col, carry=True, **options).where("_kept"), docs.columns)

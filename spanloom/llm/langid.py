@@ -13,7 +13,8 @@ two rows.
 
 Defined cases: ``und`` with score 0 where the text is null, empty or has no
 letter; ties go to the smaller language name; if no labelled row can be learned
-from, every text is ``und``; extra columns are not read.
+from, every text is ``und``; extra columns are not read, or carried along whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import batches
-from ._common import bound_batches, fold
+from ._common import bound_batches, fold, quoted, rowed, unrowed
 
 WINDOW = 256
 SAMPLE = 1500
@@ -157,11 +158,12 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], steps: int =
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteCnn | None:
     """Learn from rows with a language that aren't held out (crc32 of the id modulo 4 is 2)."""
-    seen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.coalesce(fold(id_col, 4) != 2, F.lit(True)))
-    order = F.xxhash64(F.lit(11), F.col(id_col))
-    raw = F.col(text_col)
-    place = F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.greatest(F.length(raw) - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    cuts = seen.select(F.col(lang_col).alias("lang"), raw.substr(place, F.lit(WINDOW)).alias("piece"), order.alias("order"))
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"), quoted(lang_col).alias("_lang"))
+    seen = rows.where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}") & F.coalesce(fold("_id", 4) != 2, F.lit(True)))
+    order = F.xxhash64(F.lit(11), F.col("_id"))
+    raw = F.col("_text")
+    place = F.pmod(F.xxhash64(F.lit(13), F.col("_id")), F.greatest(F.length(raw) - WINDOW, F.lit(0)) + 1).cast("int") + 1
+    cuts = seen.select(F.col("_lang").alias("lang"), raw.substr(place, F.lit(WINDOW)).alias("piece"), order.alias("order"))
     # a few salts each, so that tasks drop what can't be in the sample before the exchange
     cuts = cuts.withColumn("salt", F.pmod("order", F.lit(SALTS)))
     rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("order"))
@@ -186,14 +188,14 @@ def tables_of(model: ByteCnn) -> list:
 
 
 def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Whole documents -> id (or all columns), _lang, _score."""
-    columns = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col)]
-    src = docs.select(*columns, F.col(text_col).alias("_text"))
+    """Whole documents -> _id (or all columns in _row), _lang, _score."""
+    src = docs.select(rowed(docs)) if carry else docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+    place = docs.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None if model is None else tables_of(model)
         for b in it:
-            text = b.column(b.num_columns - 1)
+            text = pc.struct_field(b.column(0), [place]) if carry else b.column(1)
             lang, score = np.full(len(b), "und", object), np.zeros(len(b))
             if model is not None:
                 lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -205,7 +207,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", tex
                     best, ok = total.argmax(1), lettered[lo:hi]
                     lang[lo:hi][ok] = np.array(model.langs, object)[best][ok]
                     score[lo:hi][ok] = np.clip(total[np.arange(hi - lo), best][ok], 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names[:-1], "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=[b.schema.names[0], "_lang", "_score"])
 
     bound_batches(docs.sparkSession)
     schema = src.drop("_text").schema.add("_lang", "string").add("_score", "double")
@@ -214,11 +216,11 @@ def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", tex
 
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     out = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
-    held = F.coalesce(fold(id_col, 4) == 2, F.lit(False))
-    return out.select(F.col(id_col), held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    held = F.coalesce(fold("_id", 4) == 2, F.lit(False))
+    return out.select(F.col("_id").alias(id_col), held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows whose text has a learned language with a score of ``least`` at least."""
     out = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col, carry=True)
-    return out.where((F.col("_lang") != "und") & (F.col("_score") >= least)).drop("_lang", "_score")
+    return unrowed(out.where((F.col("_lang") != "und") & (F.col("_score") >= least)), docs.columns)
