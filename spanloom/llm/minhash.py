@@ -18,13 +18,15 @@ buckets whose nodes aren't all in one class by then are compared in full, by
 blocks of about ``BLOCK`` nodes: two rounds check each node's ``NEAREST`` nodes
 of other classes, a last one every pair of nodes of different classes that is
 left.  Only pairs inside a class, which can't change it, are passed over.
-Candidates whose signatures agree enough are checked exactly on their texts, and
-links of similarity ``least`` or more are merged into classes.
+Candidates whose signatures agree enough are checked on the shingles of their whole
+texts (as 64-bit hashes), and links of similarity ``least`` or more are merged into
+classes.  Nodes with many candidates are salted before their texts are joined.
 
 Defined cases: null and empty texts and texts without words have no shingles;
 they form a class only with equal texts (null equals empty); null ids are larger
 than any id; of a class the smallest id stays, of rows that repeat it one; an
-empty table gives an empty result; extra columns are not read, or carried along.
+empty table gives an empty result; extra columns are not read, or carried along
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import batches, mix, rows_of, words
-from ._common import bound_batches, cut
+from ._bytes import batches, mix, word_rows
+from ._common import HOT_GROUPS, attached, bound_batches, cut, once, quoted, rowed, unrowed
 
 SHINGLE = 5
 LEAST = 0.8
@@ -49,7 +51,13 @@ BLOCK = 1024
 NEAREST = 4
 #: agreeing coordinates of 128 under which a pair isn't checked: five deviations under 0.8
 AGREE = 79
-BROADCAST_NODES = 2_000_000
+#: rows of a broadcast table of nodes, of at most about 100 bytes each
+BROADCAST_NODES = 200_000
+#: candidates of a node from which on they are salted, and salts
+BUSY = 128
+SALTS = 64
+#: shingles that are worked on at once
+AT_ONCE = 1 << 19
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -57,33 +65,41 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of all shingles with repeats, in text order."""
-    starts, _, h = words(data, offsets)
-    row = rows_of(offsets, starts)
+    h, row = word_rows(data, offsets)
     n = len(h)
     count = np.bincount(row, minlength=len(offsets) - 1)
     last = np.cumsum(count)  # behind the row's last word
-    at = np.arange(n)
-    first = at == (last - count)[row] if n else np.zeros(0, bool)
-    begin = np.flatnonzero((at + SHINGLE <= last[row]) | (first & (count[row] < SHINGLE)))
-    out = np.zeros(len(begin), np.uint64)
-    end = last[row[begin]]
-    for k in range(SHINGLE):
-        i = begin + k
-        inside = i < end
-        out = out * _STEP + np.where(inside, h[np.minimum(i, max(n - 1, 0))] if n else 0, np.uint64(k + 1))
-    return mix(out), row[begin]
+    out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for lo in range(0, n, AT_ONCE):
+        at = np.arange(lo, min(lo + AT_ONCE, n))
+        own = row[at]
+        end = last[own]
+        some = (at + SHINGLE <= end) | ((at == end - count[own]) & (count[own] < SHINGLE))
+        at, end = at[some], end[some]
+        made = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            made = made * _STEP + np.where(at + k < end, h[np.minimum(at + k, n - 1)], np.uint64(k + 1))
+        out.append(mix(made))
+        rows.append(own[some])
+    return np.concatenate(out), np.concatenate(rows)
 
 
 def elements(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Unit regions: the n-th occurrence of a shingle in its row is an element of its own."""
-    order = np.lexsort((h, row))
-    x, r = h[order], row[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
-    begin = np.flatnonzero(new)
-    nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
     out = np.empty_like(h)
-    out[order] = x + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    parts = -(-len(h) // (4 * AT_ONCE))
+    group = h % np.uint64(parts) if parts > 1 else None
+    for part in range(parts):
+        own = slice(None) if group is None else np.flatnonzero(group == part)
+        x, r = h[own], row[own]
+        order = np.lexsort((x, r))
+        x, r = x[order], r[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
+        begin = np.flatnonzero(new)
+        nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+        x += nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        out[order if group is None else own[order]] = x
     return out
 
 
@@ -95,15 +111,17 @@ def darts(element: np.ndarray, row: np.ndarray, n_rows: int, k: int = COORDINATE
     limit = (k * np.log(k) + 2 * k) / np.maximum(weight, 1)
     best = np.full(n_rows * k, _NONE)
     while len(element):
-        arrival, live, turn = np.zeros(len(element)), np.arange(len(element)), 0
-        while len(live):
-            turn += 1
-            dart = mix(element[live] + np.uint64(turn * int(_STEP) & (1 << 64) - 1))
-            arrival[live] -= np.log(((dart & low).astype(np.float64) + 0.5) / float(int(low) + 1))
-            inside = arrival[live] < limit[row[live]]
-            live, dart = live[inside], dart[inside]
-            rank = arrival[live].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
-            np.minimum.at(best, row[live] * k + (dart >> shift).astype(np.int64), rank | (mix(dart) >> np.uint64(33)))
+        for at in range(0, len(element), AT_ONCE):
+            e, r = element[at : at + AT_ONCE], row[at : at + AT_ONCE].astype(np.int64)
+            arrival, live, turn = np.zeros(len(e)), np.arange(len(e)), 0
+            while len(live):
+                turn += 1
+                dart = mix(e[live] + np.uint64(turn * int(_STEP) & (1 << 64) - 1))
+                arrival[live] -= np.log(((dart & low).astype(np.float64) + 0.5) / float(int(low) + 1))
+                inside = arrival[live] < limit[r[live]]
+                live, dart = live[inside], dart[inside]
+                rank = arrival[live].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+                np.minimum.at(best, r[live] * k + (dart >> shift).astype(np.int64), rank | (mix(dart) >> np.uint64(33)))
         empty = (best.reshape(n_rows, k) == _NONE).any(1) & (weight > 0)
         limit = limit * 2
         again = empty[row]
@@ -114,7 +132,7 @@ def darts(element: np.ndarray, row: np.ndarray, n_rows: int, k: int = COORDINATE
 def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Signature matrix and the number of shingles of each text."""
     out, count = [np.zeros((0, COORDINATES), np.uint32)], [np.zeros(0, np.int64)]
-    for lo, hi, data, offsets in batches(column, 2 << 20):
+    for lo, hi, data, offsets in batches(column, 1 << 20):
         h, row = shingles(data, offsets)
         out.append(darts(elements(h, row), row, hi - lo))
         count.append(np.bincount(row, minlength=hi - lo))
@@ -131,7 +149,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def weighted_jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Exact similarity of the texts of two columns, row by row; 0 where a side has no shingles."""
+    """Similarity of the shingles' 64-bit hashes of two columns' texts, row by row; 0 where a side has no shingles."""
     out = np.zeros(len(a))
     limit = 0
     sizes = np.diff(np.concatenate([[0], np.cumsum([len(x.as_py() or "") + len(y.as_py() or "") for x, y in zip(a, b)])]))
@@ -143,20 +161,22 @@ def weighted_jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
             to += 1
         side = []
         for col in (a, b):
-            es, rs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for lo, _, data, offsets in batches(col.slice(at, to - at), 1 << 30):
+            es, rs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for lo, _, data, offsets in batches(col.slice(at, to - at), 1 << 20):
                 h, row = shingles(data, offsets)
                 es.append(elements(h, row))
-                rs.append(row + lo)
+                rs.append(row + np.int32(lo))
             side.append((np.concatenate(es), np.concatenate(rs)))
-        (ea, ra), (eb, rb) = side
         n = to - at
-        e, r = np.concatenate([ea, eb]), np.concatenate([ra, rb])
-        order = np.lexsort((e, r))
-        e, r = e[order], r[order]
-        both = np.bincount(r[1:][(e[1:] == e[:-1]) & (r[1:] == r[:-1])], minlength=n)
-        total = np.bincount(r, minlength=n) - both
-        out[at:to] = both / np.maximum(total, 1)
+        both, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        parts = max(1, -(-(len(side[0][0]) + len(side[1][0])) // (8 * AT_ONCE)))
+        for part in range(parts):
+            e, r = (np.concatenate([x[k] if parts == 1 else x[k][x[0] % np.uint64(parts) == part] for x in side]) for k in (0, 1))
+            order = np.lexsort((e, r))
+            e, r = e[order], r[order]
+            both += np.bincount(r[1:][(e[1:] == e[:-1]) & (r[1:] == r[:-1])], minlength=n)
+            total += np.bincount(r, minlength=n)
+        out[at:to] = both / np.maximum(total - both, 1)
         at = to
     return out
 
@@ -178,7 +198,7 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), bands, pa.array(raw, pa.binary())], names=["node", "bands", "sig"])
 
     bound_batches(docs.sparkSession)
-    src = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("_text"))
+    src = docs.select(node_of(quoted(text_col)).alias("node"), quoted(text_col).alias("_text"))
     rows = src.mapInArrow(run, "node binary, bands array<long>, sig binary")
     return cut(rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
 
@@ -251,11 +271,28 @@ def _open_pairs(opened: DataFrame, nodes: DataFrame, nearest: int | None) -> Dat
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _met(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+    """a, b, and the ``value`` of both nodes.
+
+    A node with over ``BUSY`` pairs (of the ``HOT_GROUPS`` with most) has its pairs
+    salted and its value copied once for each salt that occurs, so that the pairs
+    of one node don't meet in one task.
+    """
+    out = pairs
+    for side, other, named in (("a", "b", "_va"), ("b", "a", "_vb")):
+        busy = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUSY).orderBy(F.desc("_n"), side).limit(HOT_GROUPS)
+        busy = cut(busy.select(F.col(side).alias("_busy")))
+        salt = F.when(F.col("_busy").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS))).cast("int")
+        out = out.join(F.broadcast(busy), F.col(side) == F.col("_busy"), "left").withColumn("_salt", salt).drop("_busy")
+        copies = busy.withColumn("_salts", F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        values = nodes.select(F.col("node").alias("_node"), F.col(value).alias(named)).join(F.broadcast(copies), F.col("_node") == F.col("_busy"), "left")
+        values = values.select("_node", named, F.explode(F.coalesce("_salts", F.array(F.lit(0)))).alias("_own"))
+        out = out.join(values, (F.col(side) == F.col("_node")) & (F.col("_salt") == F.col("_own"))).drop("_node", "_own", "_salt")
+    return out.select("a", "b", "_va", "_vb")
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose signatures agree enough."""
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.withColumnRenamed("node", "a").withColumnRenamed("sig", "sa"), "a")
-    both = both.join(sig.withColumnRenamed("node", "b").withColumnRenamed("sig", "sb"), "b").select("a", "b", "sa", "sb")
 
     def agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -263,18 +300,15 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = pa.array(np.flatnonzero((x == y).sum(1) >= AGREE))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    return both.mapInArrow(agree, "a binary, b binary")
+    return _met(pairs, nodes, "sig").mapInArrow(agree, "a binary, b binary")
 
 
 def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts have similarity ``least`` or more."""
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    n_wanted = wanted.count()
-    texts = texts.join(F.broadcast(wanted) if n_wanted <= BROADCAST_NODES else wanted, "node", "left_semi")
+    wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("_want")).distinct())
+    texts = docs.select(node_of(quoted(text_col)).alias("node"), quoted(text_col).alias("text"))
+    texts = attached(texts, "node", wanted.withColumn("_in", F.lit(True)), "_want", wanted.count(), BROADCAST_NODES).where("_in")
     texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
-    met = likely.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "ta"), "a")
-    met = met.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -282,7 +316,7 @@ def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) ->
             keep = pa.array(np.flatnonzero(sim >= least - 1e-12))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(sim[keep.to_numpy()])], names=["a", "b", "similarity"])
 
-    return cut(met.mapInArrow(check, "a binary, b binary, similarity double"))
+    return cut(_met(likely, texts, "text").mapInArrow(check, "a binary, b binary, similarity double"))
 
 
 def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -311,7 +345,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """node -> root (its component's smallest node), for nodes with an edge.
 
     Alternates large-star and small-star steps on the edge table; each step is
-    an aggregate and a join, cut by a checkpoint.
+    an aggregate and a join, cut by a checkpoint.  Fails where ``rounds`` don't suffice.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
 
@@ -332,34 +366,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not merged in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, carry: list[str] | None = None) -> DataFrame:
-    """Every row with _id, _class (smallest id of its class), _size, _kept, and the columns named in ``carry``."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, carry: bool = False) -> DataFrame:
+    """Every row with _id, _class (smallest id of its class), _size, _kept, and all its columns in ``_row`` where ``carry``."""
     found = classes(docs, text_col, least)
-    n_found = found.count()
-    nodes = docs.select(F.col(id_col).alias("_id"), node_of(F.col(text_col)).alias("_node"))
-    root = F.broadcast(found) if n_found <= BROADCAST_NODES else found
-    named = nodes.join(root, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
-    sums = named.groupBy("_root").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    rows = docs.select(quoted(id_col).alias("_id"), node_of(quoted(text_col)).alias("_node"), *[rowed(docs)] * carry)
+    # light: one row for each text, then for each text of a class of several rows
+    texts = rows.groupBy("_node").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_size"))
+    texts = texts.join(found, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
+    texts = cut(texts.where("root is not null or _size > 1").select(F.col("_node").alias("_of"), "_root", "_class", "_size"))
+    sums = texts.groupBy("_root").agg(F.min("_class").alias("_class"), F.sum("_size").alias("_size")).withColumnRenamed("_root", "_sum")
     sums = cut(sums)
-    n_sums = sums.count()
-    repeated = not nodes.groupBy("_id").count().where("count > 1").isEmpty()
-    carried = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry or [])]
-    out = docs.select(F.col(id_col).alias("_id"), node_of(F.col(text_col)).alias("_node"), *carried)
-    out = out.join(root, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
-    sums = sums.withColumnRenamed("_root", "_r")
-    out = out.join(F.broadcast(sums) if n_sums <= BROADCAST_NODES else sums, F.col("_root") == F.col("_r"), "left")
+    table = cut(attached(texts.select("_of", "_root"), "_root", sums, "_sum", sums.count(), BROADCAST_NODES))
+    repeated = not rows.groupBy("_id").count().where("count > 1").isEmpty()
+    out = attached(rows, "_node", table, "_of", table.count(), BROADCAST_NODES)
     out = out.withColumn("_class", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_class")))
     out = out.withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long")).withColumn("_kept", F.col("_id").eqNullSafe(F.col("_class")))
     if repeated:
-        w = Window.partitionBy("_root", "_id").orderBy(F.lit(0))
-        out = out.withColumn("_kept", F.col("_kept") & (F.row_number().over(w) == 1))
-    out = out.drop("_node", "_root", "_r")
-    for k, c in enumerate(carry or []):
-        out = out.withColumnRenamed(f"_c{k}", c)
-    return out
+        out = once(out.withColumn("_root", F.coalesce("_root", "_node")), ["_root", "_id"], "_kept")
+    return out.drop("_node", "_root")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -369,4 +398,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One document of each class, with all its columns."""
-    return marked(docs, id_col, text_col, least, carry=docs.columns).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unrowed(marked(docs, id_col, text_col, least, carry=True).where("_kept"), docs.columns)
