@@ -3,8 +3,9 @@
 Pass 1 scatters every row into one of ``ceil(bytes / bucket_bytes)`` buckets by
 a seeded hash of its place in the input, so buckets are uniform whatever keys or
 copies the rows hold.  Pass 2 gathers a bucket (bounded by ``bucket_bytes`` on
-average) in one task, permutes it by a seeded Fisher-Yates shuffle (Spark's
-``shuffle``) and writes it.  Counts are read from the written buckets only, so a
+average; there are as many tasks as buckets, so that none holds many), puts it in
+the order of the input places, so that a second run gives the same, permutes it by
+a seeded Fisher-Yates shuffle (Spark's ``shuffle``) and writes it.  Counts are read from the written buckets only, so a
 task that runs again after a lost executor can't disagree with them.
 
 A row's global place is its bucket's offset plus its place in the bucket; shard
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, running_offsets
+from ._common import fresh_path, quoted, running_offsets
 
 BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 65_536
@@ -34,18 +35,15 @@ def row_size(text: Column) -> Column:
 def shuffled_buckets(docs: DataFrame, text_col: str = "text", *, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """Write the shuffled buckets; the written rows with _bucket and _pos, and the number of buckets."""
     spark = docs.sparkSession
-    total = docs.select(F.sum(row_size(F.col(text_col)))).first()[0] or 0
+    total = docs.select(F.sum(row_size(quoted(text_col)))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     path = fresh_path(spark, "shards")
-    scattered = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).alias("_bucket"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-    )
-    mixed = (
-        scattered.repartition("_bucket").groupBy("_bucket")
-        .agg(F.collect_list("_row").alias("_rows"))
-        .select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_pos", "_row"))
-    )
+    place = F.monotonically_increasing_id()
+    scattered = docs.select(place.alias("_place"), F.struct(*[quoted(c) for c in docs.columns]).alias("_row"))
+    scattered = scattered.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(buckets)))
+    gathered = scattered.repartition(buckets, "_bucket").groupBy("_bucket").agg(F.collect_list(F.struct("_place", "_row")).alias("_rows"))
+    ordered = F.array_sort("_rows", lambda a, b: F.when(a["_place"] < b["_place"], -1).otherwise(1))
+    mixed = gathered.select("_bucket", F.posexplode(F.shuffle(ordered, F.lit(seed))).alias("_pos", "_one")).select("_bucket", "_pos", F.col("_one._row").alias("_row"))
     mixed.select("_bucket", F.col("_pos").cast("long").alias("_pos"), "_row").write.parquet(path)
     return spark.read.parquet(path), buckets
 
@@ -63,15 +61,15 @@ def sharded(docs: DataFrame, shards: int = 8, text_col: str = "text", **options)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, text_col: str = "text", **options) -> None:
-    """One folder ``shard=k`` for each shard, rows with their slot."""
-    out = sharded(docs, shards, text_col, **options).select("_row.*", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    """One folder ``shard=k`` for each shard, each row whole in ``_row``, with its slot."""
+    out = sharded(docs, shards, text_col, **options).select("_row", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
     out.write.partitionBy("shard").parquet(path)
 
 
 def shard_digest(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    text = F.col(f"_row.{text_col}")
-    return sharded(docs.select(id_col, text_col), shards, text_col, **options).select(
-        F.col(f"_row.{id_col}").alias(id_col), row_size(text).alias("size"),
+    text = F.col("_row").getField(text_col)
+    return sharded(docs.select(quoted(id_col), quoted(text_col)), shards, text_col, **options).select(
+        F.col("_row").getField(id_col).alias(id_col), row_size(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
         F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
