@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches
+from ._common import bound_batches, quoted
 
 PART = 100_000
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n\t\r])")
@@ -62,7 +62,7 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     bound_batches(docs.sparkSession)
-    src = docs.select(id_col, text_col)
+    src = docs.select(quoted(id_col), quoted(text_col))
     return src.mapInArrow(run, f"`{id_col}` {src.dtypes[0][1]}, ids array<int>")
 
 
@@ -76,7 +76,7 @@ def decoded(tokens: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=[id_col, "bytes"])
 
     bound_batches(tokens.sparkSession)
-    src = tokens.select(id_col, ids_col)
+    src = tokens.select(quoted(id_col), quoted(ids_col))
     return src.mapInArrow(run, f"`{id_col}` {src.dtypes[0][1]}, bytes binary")
 
 
@@ -98,5 +98,5 @@ def round_trip_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str
             )
 
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col), F.col(text_col))
+    src = docs.select(quoted(id_col), quoted(text_col))
     return src.mapInArrow(run, f"`{id_col}` {src.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,8 @@ classifier that tells positives from unlabelled rows (out of fold).
 The sample is bounded: at most ``POSITIVES`` labelled positives and
 ``UNLABELLED`` others, texts of at most ``SAMPLE_BYTES``, taken by a hash of the id.
 
-Features are counts of neighbouring byte classes over the whole text, the log of
+Features are counts of neighbouring byte classes over the whole text (long ones in
+pieces), the log of
 its length, its share of distinct words and of distinct lines, and mean lengths.
 
 Defined cases: null and empty texts have the features of no bytes and are scored
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import batches, rows_of, span_hashes, words
-from ._common import bound_batches, fold
+from ._bytes import batches, rows_of, span_hashes, word_pieces, words
+from ._common import bound_batches, fold, quoted
 
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -66,20 +67,27 @@ def features(text: pa.Array) -> np.ndarray:
     for lo, hi, data, offsets in batches(text, 1 << 20):
         n = hi - lo
         size = np.diff(offsets)
-        row = np.repeat(np.arange(n), size)
-        cls = _class[data]
-        single = np.bincount(row * CLASSES + cls, minlength=n * CLASSES).reshape(n, CLASSES)
-        inner = row[1:] == row[:-1]
-        pair = np.bincount(((row[:-1] * CLASSES + cls[:-1]) * CLASSES + cls[1:])[inner], minlength=n * CLASSES * CLASSES).reshape(n, -1)
-        starts, ends, h = words(data, offsets)
-        n_words, n_distinct = _distinct(rows_of(offsets, starts), h, n)
-        first = np.zeros(len(data) + 1, bool)
-        first[1:] = data == 10
-        first[offsets] = True
-        first[len(data)] = False
-        line = np.flatnonzero(first)
-        n_lines, lines_distinct = _distinct(rows_of(offsets, line), span_hashes(data, line, np.append(line[1:], len(data))), n)
-        letters = np.bincount(rows_of(offsets, starts), ends - starts, n)
+        pair, single = np.zeros((n, CLASSES * CLASSES), np.int64), np.zeros((n, CLASSES), np.int64)
+        hashes, rows, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        letters = np.zeros(n)
+        for at, piece, inner in word_pieces(data, offsets):
+            cls, own = _class[piece], rows_of(offsets, np.arange(at, at + len(piece))) if n > 1 else np.zeros(len(piece), np.int64)
+            single += np.bincount(own * CLASSES + cls, minlength=n * CLASSES).reshape(n, CLASSES)
+            before = own * CLASSES + (_class[data[at - 1 : at + len(piece) - 1]] if at else np.append(0, cls[:-1]))
+            first = np.zeros(len(piece) + 1, bool)
+            first[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + len(piece), "right")] - at] = True
+            pair += np.bincount((before * CLASSES + cls)[~first[:-1]], minlength=n * CLASSES * CLASSES).reshape(n, -1)
+            starts, ends, h = words(piece, inner)
+            hashes.append(h)
+            rows.append(rows_of(offsets, starts + at).astype(np.int32))
+            letters += np.bincount(rows[-1], ends - starts, n)
+            first[1:] |= piece == 10
+            line.append(np.flatnonzero(first[:-1]) + at)
+            if first[-1] and at + len(piece) < len(data) and piece[-1] == 10:
+                line.append(np.array([at + len(piece)]))
+        n_words, n_distinct = _distinct(np.concatenate(rows), np.concatenate(hashes), n)
+        lines = np.unique(np.concatenate(line))
+        n_lines, lines_distinct = _distinct(rows_of(offsets, lines), span_hashes(data, lines, np.append(lines[1:], len(data))), n)
         some = np.maximum(size, 1)[:, None]
         out[lo:hi, : CLASSES * CLASSES] = np.sqrt(pair / some)
         out[lo:hi, CLASSES * CLASSES : -6] = np.sqrt(single / some)
@@ -173,10 +181,10 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, seed:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network | None:
     """Labels are read only where crc32 of the id modulo 5 isn't 0; other rows of the sample are unlabelled."""
-    seen = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).where("_lid is not null and _y = 1").where(fold("_lid", 5) != 0)
+    seen = labels.select(quoted(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).where("_lid is not null and _y = 1").where(fold("_lid", 5) != 0)
     order = F.xxhash64(F.lit(19), "_lid")
     good = seen.select("_lid").distinct().orderBy(order).limit(POSITIVES)  # at most POSITIVES numbers
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
     fold_in = rows.where(F.coalesce(fold("_id", 5) != 0, F.lit(True)))
     positive = fold_in.join(F.broadcast(good), F.col("_id") == F.col("_lid")).select("_id", "_text").toArrow().sort_by("_id")
     ids = fold_in.select("_id").orderBy(F.xxhash64(F.lit(23), "_id")).limit(UNLABELLED).select(F.col("_id").alias("_lid"))
@@ -190,14 +198,14 @@ def scored(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_co
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             score = net.score(features(b.column(1))) if net is not None else np.ones(len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.asarray(score, np.float64))], names=[id_col, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.asarray(score, np.float64))], names=["_id", "_score"])
 
     bound_batches(docs.sparkSession)
-    src = docs.select(id_col, text_col)
-    return src.mapInArrow(run, f"`{id_col}` {src.dtypes[0][1]}, _score double")
+    src = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+    return src.mapInArrow(run, f"_id {src.dtypes[0][1]}, _score double")
 
 
 def quality_of(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     out = scored(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
-    held = F.coalesce(fold(id_col, 5) == 0, F.lit(False))
-    return out.select(F.col(id_col), held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))
+    held = F.coalesce(fold("_id", 5) == 0, F.lit(False))
+    return out.select(F.col("_id").alias(id_col), held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))
