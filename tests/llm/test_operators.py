@@ -205,7 +205,7 @@ def test_signatures_estimate_similarity():
 def test_language_of_only_empty_texts(spark):
     model = langid.train([b"one two three four", b"eins zwei drei vier"], np.array([0, 1]), ["a", "b"], steps=2)
     rows = langid.identify(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1), model).collect()
-    assert {(r.doc_id, r._lang, r._score) for r in rows} == {(1, "und", 0.0), (2, "und", 0.0)}
+    assert {(r._id, r._lang, r._score) for r in rows} == {(1, "und", 0.0), (2, "und", 0.0)}
 
 
 def test_models(spark, odd, empty):
