@@ -11,16 +11,19 @@ coordinate's earliest dart.  Ranks are drawn only up to a limit set by the total
 weight, doubled for texts that leave a coordinate empty, so that the work is
 about k ln k darts and not k hashes for each element.
 
-Joining: equal texts are one node.  Nodes that share a band of ``ROWS``
-coordinates are candidates.  In buckets of up to ``SMALL`` nodes all pairs are
-checked at once; in larger ones first each node with the bucket's first.  Large
-buckets whose nodes aren't all in one class by then are compared in full, by
-blocks of about ``BLOCK`` nodes: two rounds check each node's ``NEAREST`` nodes
-of other classes, a last one every pair of nodes of different classes that is
-left.  Only pairs inside a class, which can't change it, are passed over.
-Candidates whose signatures agree enough are checked on the shingles of their whole
-texts (as 64-bit hashes), and links of similarity ``least`` or more are merged into
-classes.  Nodes with many candidates are salted before their texts are joined.
+Joining: equal texts are one node.  Nodes that share a band of ``ROWS`` coordinates
+are candidates (a pair of similarity 0.8 shares none with a chance of 5 in 100,000).
+In buckets of up to ``SMALL`` nodes all pairs are candidates, in larger ones first
+each node and the bucket's first.  Candidates whose signatures agree enough are
+checked on the shingles of their whole texts (as 64-bit hashes), and links of
+similarity ``least`` or more are merged into classes: first each node's nearest
+candidate, then the candidates that still are of different classes, since a pair
+inside a class can't change it.  Large buckets that hold several classes then are
+compared in full, by blocks of about ``BLOCK`` nodes: every node outside the bucket's
+largest class with every node of another class, two rounds for its ``NEAREST`` nodes,
+a last one for all.  Nodes with many candidates are salted before their texts are
+joined.  Signatures travel as one byte for each coordinate; that can only make
+pairs agree more.
 
 Defined cases: null and empty texts and texts without words have no shingles;
 they form a class only with equal texts (null equals empty); null ids are larger
@@ -44,10 +47,10 @@ from ._common import HOT_GROUPS, attached, bound_batches, cut, once, quoted, row
 SHINGLE = 5
 LEAST = 0.8
 COORDINATES = 128
-ROWS = 4
+ROWS = 5
 SMALL = 16
 #: nodes of a block of a large bucket, and nodes of other classes that each node is checked with in the first rounds
-BLOCK = 1024
+BLOCK = 4096
 NEAREST = 4
 #: agreeing coordinates of 128 under which a pair isn't checked: five deviations under 0.8
 AGREE = 79
@@ -186,7 +189,7 @@ def node_of(text: Column) -> Column:
 
 
 def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row for each different text with shingles: node, bands, signature."""
+    """One row for each different text with shingles: node, bands, signature (its lowest bytes)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -194,7 +197,7 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
             some = np.flatnonzero(count > 0)
             keys = band_keys(sig[some])
             bands = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel()))
-            raw = [sig[k].tobytes() for k in some]
+            raw = [row.tobytes() for row in sig[some].astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), bands, pa.array(raw, pa.binary())], names=["node", "bands", "sig"])
 
     bound_batches(docs.sparkSession)
@@ -203,8 +206,8 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
     return cut(rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
 
 
-def _bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, node, ...) -> pairs (a, b), and the rows of buckets over ``SMALL``.
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """(key, node) -> pairs (a, b): all of buckets of up to ``SMALL`` nodes, each with the first node of larger ones.
 
     Sizes and first nodes are aggregated before the join, so a large bucket is
     never gathered: its rows only meet one row of sums.
@@ -214,26 +217,24 @@ def _bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))
     small = small.select(F.explode(F.expr("transform(sequence(1, size(all) - 1), i -> struct(all[i] as b, slice(all, 1, i) as before))")).alias("x"))
     small = small.select(F.explode("x.before").alias("a"), F.col("x.b").alias("b"))
-    large = met.where(F.col("n") > SMALL)
-    return small.unionByName(large.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))), large
+    return small.unionByName(met.where(F.col("n") > SMALL).select(F.col("first").alias("a"), F.col("node").alias("b")))
 
 
-def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to check first, and (key, node) of the buckets over ``SMALL``."""
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) to check first."""
     members = nodes.select(F.posexplode("bands").alias("band", "key"), "node").select("key", "node")
-    pairs, large = _bucket_pairs(members)
-    return pairs.where("a != b").distinct(), large.select("key", "node")
+    return _bucket_pairs(members).where("a != b").distinct()
 
 
 def agreeing(sa: np.ndarray, sb: np.ndarray, ra: np.ndarray, rb: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of different classes that agree enough: all, or each row's ``nearest``."""
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ta, tb = np.ascontiguousarray(sa.T), np.ascontiguousarray(sb.T)
-    for lo in range(0, len(sa), 256):
-        same = np.zeros((len(sa[lo : lo + 256]), len(sb)), np.uint8)
+    for lo in range(0, len(sa), 128):
+        same = np.zeros((len(sa[lo : lo + 128]), len(sb)), np.uint8)
         for k in range(COORDINATES):
-            same += ta[k, lo : lo + 256, None] == tb[k]
-        same[(same < AGREE) | (ra[lo : lo + 256, None] == rb)] = 0
+            same += ta[k, lo : lo + 128, None] == tb[k]
+        same[(same < AGREE) | (ra[lo : lo + 128, None] == rb)] = 0
         if nearest is None or nearest >= len(sb):
             x, y = np.nonzero(same)
         else:
@@ -245,29 +246,39 @@ def agreeing(sa: np.ndarray, sb: np.ndarray, ra: np.ndarray, rb: np.ndarray, nea
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def _open_pairs(opened: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
-    """Agreeing pairs of different classes in large buckets (key, node, root, n), by blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = opened.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(nodes.select("node", "sig"), "node")
+def _open_rows(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes of the buckets over ``SMALL`` that hold several classes: key, node, sig, root, major (the largest class), n, few (nodes outside it)."""
+    rooted = attached(nodes, "node", found.withColumnRenamed("node", "_of"), "_of", found.count(), BROADCAST_NODES)
+    rooted = rooted.select("node", "sig", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("key"))
+    shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
+    opened = shares.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    opened = opened.where((F.col("n") > SMALL) & (F.col("classes") > 1)).select(F.col("key").cast("string").alias("_key"), "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
+    opened = cut(opened)
+    rows = rooted.withColumn("key", F.col("key").cast("string"))
+    return attached(rows, "key", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null")
+
+
+def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
+    """Agreeing pairs of different classes of open rows.
+
+    Every node is in one block; nodes outside the largest class are dealt into
+    parts too, and every part meets every block.
+    """
+    blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("few") / BLOCK).cast("int")
+    block, part = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.greatest(count, F.lit(1))).cast("int") for seed, count in ((1, blocks), (2, parts)))
+    every = lambda count: F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)
+    as_row = rows.select("key", block.alias("i"), F.explode(every(parts)).alias("j"), F.lit(False).alias("asks"), "node", "root", "sig")
+    asking = rows.where("root != major").select("key", F.explode(every(blocks)).alias("i"), part.alias("j"), F.lit(True).alias("asks"), "node", "root", "sig")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        node, own = t.column("node").combine_chunks(), t.column("own").to_numpy()
+        node, asks = t.column("node").combine_chunks(), t.column("asks").to_numpy()
         root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        u, v = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        u, v = np.flatnonzero(asks), np.flatnonzero(~asks)
         x, y = agreeing(sig[u], sig[v], root[u], root[v], nearest)
-        x, y = u[x], v[y]
-        if i == j and nearest is None:
-            x, y = x[x < y], y[x < y]
-        elif i != j and nearest is not None:
-            y2, x2 = agreeing(sig[v], sig[u], root[v], root[u], nearest)
-            x, y = np.concatenate([x, u[x2]]), np.concatenate([y, v[y2]])
-        return pa.table({"a": node.take(pa.array(x)), "b": node.take(pa.array(y))})
-
-    found = rows.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+        return pa.table({"a": node.take(pa.array(u[x])), "b": node.take(pa.array(v[y]))})
+
+    found = as_row.unionByName(asking).groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -281,7 +292,7 @@ def _met(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     out = pairs
     for side, other, named in (("a", "b", "_va"), ("b", "a", "_vb")):
         busy = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUSY).orderBy(F.desc("_n"), side).limit(HOT_GROUPS)
-        busy = cut(busy.select(F.col(side).alias("_busy")))
+        busy = busy.select(F.col(side).alias("_busy"))  # at most HOT_GROUPS rows
         salt = F.when(F.col("_busy").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS))).cast("int")
         out = out.join(F.broadcast(busy), F.col(side) == F.col("_busy"), "left").withColumn("_salt", salt).drop("_busy")
         copies = busy.withColumn("_salts", F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -292,15 +303,16 @@ def _met(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree enough."""
+    """The pairs whose signatures agree enough, with the number of coordinates that do."""
 
     def agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-            keep = pa.array(np.flatnonzero((x == y).sum(1) >= AGREE))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+            same = (x == y).sum(1)
+            keep = pa.array(np.flatnonzero(same >= AGREE))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(same).take(keep)], names=["a", "b", "same"])
 
-    return _met(pairs, nodes, "sig").mapInArrow(agree, "a binary, b binary")
+    return _met(pairs, nodes, "sig").mapInArrow(agree, "a binary, b binary, same long")
 
 
 def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) -> DataFrame:
@@ -319,24 +331,33 @@ def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) ->
     return cut(_met(likely, texts, "text").mapInArrow(check, "a binary, b binary, similarity double"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of nodes of different classes."""
+    n, out = found.count(), pairs
+    for side in ("a", "b"):
+        named = found.select(F.col("node").alias("_of"), F.col("root").alias(f"_r{side}"))
+        out = attached(out, side, named, "_of", n, BROADCAST_NODES)
+    return out.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
+
+
 def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """node -> root (its class's smallest node), for the nodes of classes of two and more texts."""
     nodes = _nodes(docs, text_col)
-    pairs, large = candidate_pairs(nodes)
-    large = cut(large)
-    links = _checked(docs, text_col, cut(_likely(pairs, nodes)), least)
+    likely = cut(_likely(candidate_pairs(nodes), nodes))
+    # maxima are combined before the exchange, so a node with many candidates isn't gathered
+    near = [likely.groupBy(x).agg(F.max(F.struct("same", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
+    links = _checked(docs, text_col, cut(near[0].union(near[1]).distinct()), least)
     found = components(links)
+    rest = cut(_apart(likely, found))
+    if not rest.isEmpty():
+        links = links.unionByName(_checked(docs, text_col, rest, least))
+        found = components(links)
     for nearest in (NEAREST, NEAREST, None):
-        named = large.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        sums = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
-        large = cut(named.join(sums, "key"))
-        if large.isEmpty():
-            break
-        likely = cut(_open_pairs(large, nodes, nearest))
-        large = large.select("key", "node")
-        if likely.isEmpty():
-            break  # no pair of different classes agrees enough, so the last round has none either
-        links = cut(links.select("a", "b").unionByName(_checked(docs, text_col, likely, least).select("a", "b")))
+        rows = _open_rows(nodes, found)
+        more = cut(_open_pairs(rows, nearest))
+        if more.isEmpty():
+            break  # no pair of different classes agrees enough, so no later round has one either
+        links = links.unionByName(_checked(docs, text_col, more, least))
         found = components(links)
     return found
 
