@@ -22,7 +22,8 @@ inside a class can't change it.  Large buckets that hold several classes then ar
 compared in full, by blocks of about ``BLOCK`` nodes: every node outside the bucket's
 largest class with every node of another class, two rounds for its ``NEAREST`` nodes,
 a last one for all.  Nodes with many candidates are salted before their texts are
-joined.  Signatures travel as one byte for each coordinate; that can only make
+joined; pairs of two such nodes are checked by blocks of about ``CHECK_BLOCK`` nodes, so
+that a text travels once for each block and not for each pair.  Signatures travel as one byte for each coordinate; that can only make
 pairs agree more.
 
 Defined cases: null and empty texts and texts without words have no shingles;
@@ -57,8 +58,11 @@ AGREE = 79
 #: rows of a broadcast table of nodes, of at most about 100 bytes each
 BROADCAST_NODES = 200_000
 #: candidates of a node from which on they are salted, and salts
-BUSY = 128
+BUSY = 64
 SALTS = 64
+#: busy nodes of a block whose texts are checked together, and shingles of a block at once
+CHECK_BLOCK = 48
+COLUMNS = 1 << 14
 #: shingles that are worked on at once
 AT_ONCE = 1 << 19
 
@@ -247,9 +251,9 @@ def agreeing(sa: np.ndarray, sb: np.ndarray, ra: np.ndarray, rb: np.ndarray, nea
 
 
 def _open_rows(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Nodes of the buckets over ``SMALL`` that hold several classes: key, node, sig, root, major (the largest class), n, few (nodes outside it)."""
+    """Nodes of the buckets over ``SMALL`` that hold several classes: key, node, sig, bands, band (the key's), root, major (the largest class), n, few (nodes outside it)."""
     rooted = attached(nodes, "node", found.withColumnRenamed("node", "_of"), "_of", found.count(), BROADCAST_NODES)
-    rooted = rooted.select("node", "sig", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("key"))
+    rooted = rooted.select("node", "sig", F.coalesce("root", "node").alias("root"), "bands", F.posexplode("bands").alias("band", "key"))
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
     opened = shares.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
     opened = opened.where((F.col("n") > SMALL) & (F.col("classes") > 1)).select(F.col("key").cast("string").alias("_key"), "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
@@ -262,13 +266,14 @@ def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     """Agreeing pairs of different classes of open rows.
 
     Every node is in one block; nodes outside the largest class are dealt into
-    parts too, and every part meets every block.
+    parts too, and every part meets every block.  Without ``nearest``, a pair is
+    given by the first band only that it shares.
     """
     blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("few") / BLOCK).cast("int")
     block, part = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.greatest(count, F.lit(1))).cast("int") for seed, count in ((1, blocks), (2, parts)))
     every = lambda count: F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)
-    as_row = rows.select("key", block.alias("i"), F.explode(every(parts)).alias("j"), F.lit(False).alias("asks"), "node", "root", "sig")
-    asking = rows.where("root != major").select("key", F.explode(every(blocks)).alias("i"), part.alias("j"), F.lit(True).alias("asks"), "node", "root", "sig")
+    as_row = rows.select("key", block.alias("i"), F.explode(every(parts)).alias("j"), F.lit(False).alias("asks"), "node", "root", "sig", "bands", "band")
+    asking = rows.where("root != major").select("key", F.explode(every(blocks)).alias("i"), part.alias("j"), F.lit(True).alias("asks"), "node", "root", "sig", "bands", "band")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         node, asks = t.column("node").combine_chunks(), t.column("asks").to_numpy()
@@ -276,6 +281,11 @@ def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         u, v = np.flatnonzero(asks), np.flatnonzero(~asks)
         x, y = agreeing(sig[u], sig[v], root[u], root[v], nearest)
+        if nearest is None and len(x):
+            before = int(t.column("band")[0].as_py())
+            bands = np.array(t.column("bands").to_pylist(), np.int64)[:, :before]
+            first = ~np.concatenate([(bands[u[x[k : k + 65536]]] == bands[v[y[k : k + 65536]]]).any(1) for k in range(0, len(x), 65536)])
+            x, y = x[first], y[first]
         return pa.table({"a": node.take(pa.array(u[x])), "b": node.take(pa.array(v[y]))})
 
     found = as_row.unionByName(asking).groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
@@ -315,12 +325,54 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _met(pairs, nodes, "sig").mapInArrow(agree, "a binary, b binary, same long")
 
 
+def block_similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Similarity of every text of ``a`` with every one of ``b``, as ``weighted_jaccard`` has it."""
+    both, sides = np.zeros((len(a), len(b))), []
+    for col in (a, b):
+        found = [elements(h, row) for h, row in (shingles(data, offsets) for _, _, data, offsets in batches(col, 0))]  # text by text
+        sides.append((np.concatenate([np.zeros(0, np.uint64), *found]), np.repeat(np.arange(len(col)), [len(x) for x in found]), np.array([len(x) for x in found])))
+    parts = max(1, -(-(len(sides[0][0]) + len(sides[1][0])) // COLUMNS))
+    for part in range(parts):
+        (ea, ra), (eb, rb) = ((e, r) if parts == 1 else (e[own], r[own]) for e, r, own in ((e, r, e % np.uint64(parts) == part) for e, r, _ in sides))
+        seen, at = np.unique(np.concatenate([ea, eb]), return_inverse=True)
+        has = np.zeros((len(a), len(seen)), np.float32), np.zeros((len(b), len(seen)), np.float32)
+        has[0][ra, at[: len(ea)]] = 1
+        has[1][rb, at[len(ea) :]] = 1
+        both += has[0] @ has[1].T
+    return both / np.maximum(sides[0][2][:, None] + sides[1][2] - both, 1)
+
+
+def _checked_blocks(texts: DataFrame, pairs: DataFrame, n_busy: int, least: float) -> DataFrame:
+    """The pairs of busy nodes whose texts have similarity ``least`` or more."""
+    blocks = max(1, -(-n_busy // CHECK_BLOCK))
+    of = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
+    swap = of("a") > of("b")
+    dealt = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    dealt = dealt.select(of("a").alias("i"), of("b").alias("j"), "a", "b")
+    wanted = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("_w")).distinct()
+    sides = wanted.join(texts, F.col("_w") == F.col("node")).select(F.col("i").alias("i"), F.col("j").alias("j"), "node", "text")
+
+    def run(p: pa.Table, t: pa.Table) -> pa.Table:
+        place = {x: k for k, x in enumerate(t.column("node").to_pylist())}
+        x, y = (np.array([place[v] for v in p.column(side).to_pylist()], np.int64) for side in ("a", "b"))
+        u, x = np.unique(x, return_inverse=True)
+        v, y = np.unique(y, return_inverse=True)
+        text = t.column("text").combine_chunks()
+        sim = block_similarities(text.take(pa.array(u)), text.take(pa.array(v)))[x, y]
+        keep = np.flatnonzero(sim >= least - 1e-12)
+        return pa.table({"a": p.column("a").take(pa.array(keep)), "b": p.column("b").take(pa.array(keep)), "similarity": sim[keep]})
+
+    return dealt.groupBy("i", "j").cogroup(sides.groupBy("i", "j")).applyInArrow(run, "a binary, b binary, similarity double")
+
+
 def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts have similarity ``least`` or more."""
-    wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("_want")).distinct())
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("_want")).groupBy("_want").agg(F.count(F.lit(1)).alias("_pairs"))
+    wanted = cut(wanted)
+    n, n_busy = wanted.agg(F.count(F.lit(1)), F.count(F.when(F.col("_pairs") > BUSY, 1))).first()
     texts = docs.select(node_of(quoted(text_col)).alias("node"), quoted(text_col).alias("text"))
-    texts = attached(texts, "node", wanted.withColumn("_in", F.lit(True)), "_want", wanted.count(), BROADCAST_NODES).where("_in")
-    texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = attached(texts, "node", wanted, "_want", n, BROADCAST_NODES).where("_pairs is not null")
+    texts = texts.groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("_pairs").alias("_pairs"))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -328,7 +380,17 @@ def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) ->
             keep = pa.array(np.flatnonzero(sim >= least - 1e-12))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(sim[keep.to_numpy()])], names=["a", "b", "similarity"])
 
-    return cut(_met(likely, texts, "text").mapInArrow(check, "a binary, b binary, similarity double"))
+    pairs, found = likely.select("a", "b"), None
+    if n_busy:
+        busy = wanted.where(F.col("_pairs") > BUSY)
+        for side in ("a", "b"):
+            named = busy.select(F.col("_want").alias("_of"), F.lit(True).alias(f"_busy_{side}"))
+            pairs = attached(pairs, side, named, "_of", n_busy, BROADCAST_NODES)
+        pairs = cut(pairs.select("a", "b", F.coalesce(F.col("_busy_a") & F.col("_busy_b"), F.lit(False)).alias("_both")))
+        found = _checked_blocks(texts.where(F.col("_pairs") > BUSY), pairs.where("_both").select("a", "b"), n_busy, least)
+        pairs = pairs.where("not _both").select("a", "b")
+    one = _met(pairs, texts, "text").mapInArrow(check, "a binary, b binary, similarity double")
+    return cut(one if found is None else one.unionByName(found))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
