@@ -20,8 +20,8 @@ similarity ``least`` or more are merged into classes: first each node's nearest
 candidate, then the candidates that still are of different classes, since a pair
 inside a class can't change it.  Large buckets that hold several classes then are
 compared in full, by blocks of about ``BLOCK`` nodes: every node outside the bucket's
-largest class with every node of another class, two rounds for its ``NEAREST`` nodes,
-a last one for all.  Nodes with many candidates are salted before their texts are
+largest class with every node of another class, once for its ``NEAREST`` nodes, then
+for all.  Nodes with many candidates are salted before their texts are
 joined; pairs of two such nodes are checked by blocks of about ``CHECK_BLOCK`` nodes, so
 that a text travels once for each block and not for each pair.  Signatures travel as one byte for each coordinate; that can only make
 pairs agree more.
@@ -258,8 +258,8 @@ def _open_rows(nodes: DataFrame, found: DataFrame) -> DataFrame:
     opened = shares.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
     opened = opened.where((F.col("n") > SMALL) & (F.col("classes") > 1)).select(F.col("key").cast("string").alias("_key"), "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
     opened = cut(opened)
-    rows = rooted.withColumn("key", F.col("key").cast("string"))
-    return attached(rows, "key", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null")
+    rows = rooted.withColumn("_name", F.col("key").cast("string"))
+    return attached(rows, "_name", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null").drop("_name")
 
 
 def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
@@ -272,8 +272,12 @@ def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("few") / BLOCK).cast("int")
     block, part = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.greatest(count, F.lit(1))).cast("int") for seed, count in ((1, blocks), (2, parts)))
     every = lambda count: F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)
-    as_row = rows.select("key", block.alias("i"), F.explode(every(parts)).alias("j"), F.lit(False).alias("asks"), "node", "root", "sig", "bands", "band")
-    asking = rows.where("root != major").select("key", F.explode(every(blocks)).alias("i"), part.alias("j"), F.lit(True).alias("asks"), "node", "root", "sig", "bands", "band")
+    few = F.col("root") != F.col("major")
+    # bands by their lowest 31 bits; only the last round reads them
+    earlier = F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")) if nearest is None else F.lit(None).cast("array<int>")
+    values = [few.alias("few"), F.col("band").cast("short").alias("band"), F.col("node"), F.col("root"), F.col("sig"), earlier.alias("earlier")]
+    as_row = rows.select("key", block.alias("i"), F.explode(every(parts)).alias("j"), F.lit(False).alias("asks"), *values)
+    asking = rows.where(few).select("key", F.explode(every(blocks)).alias("i"), part.alias("j"), F.lit(True).alias("asks"), *values)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         node, asks = t.column("node").combine_chunks(), t.column("asks").to_numpy()
@@ -282,14 +286,21 @@ def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
         u, v = np.flatnonzero(asks), np.flatnonzero(~asks)
         x, y = agreeing(sig[u], sig[v], root[u], root[v], nearest)
         if nearest is None and len(x):
-            before = int(t.column("band")[0].as_py())
-            bands = np.array(t.column("bands").to_pylist(), np.int64)[:, :before]
-            first = ~np.concatenate([(bands[u[x[k : k + 65536]]] == bands[v[y[k : k + 65536]]]).any(1) for k in range(0, len(x), 65536)])
+            # of two nodes outside the largest class only one asks
+            name, order = node.to_pylist(), np.zeros(len(node), np.int64)
+            order[sorted(range(len(name)), key=name.__getitem__)] = np.arange(len(name))
+            few = t.column("few").to_numpy()[v]
+            one = ~few[y] | (order[u[x]] < order[v[y]])
+            x, y = x[one], y[one]
+            bands = np.array(t.column("earlier").to_pylist(), np.int32)[:, : int(t.column("band")[0].as_py())]
+            first = [~(bands[u[x[k : k + 65536]]] == bands[v[y[k : k + 65536]]]).any(1) for k in range(0, len(x), 65536)]
+            first = np.concatenate([np.zeros(0, bool), *first])
             x, y = x[first], y[first]
         return pa.table({"a": node.take(pa.array(u[x])), "b": node.take(pa.array(v[y]))})
 
     found = as_row.unionByName(asking).groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found if nearest is None else found.distinct()
 
 
 def _met(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
@@ -386,7 +397,7 @@ def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) ->
         for side in ("a", "b"):
             named = busy.select(F.col("_want").alias("_of"), F.lit(True).alias(f"_busy_{side}"))
             pairs = attached(pairs, side, named, "_of", n_busy, BROADCAST_NODES)
-        pairs = cut(pairs.select("a", "b", F.coalesce(F.col("_busy_a") & F.col("_busy_b"), F.lit(False)).alias("_both")))
+        pairs = pairs.select("a", "b", F.coalesce(F.col("_busy_a") & F.col("_busy_b"), F.lit(False)).alias("_both"))
         found = _checked_blocks(texts.where(F.col("_pairs") > BUSY), pairs.where("_both").select("a", "b"), n_busy, least)
         pairs = pairs.where("not _both").select("a", "b")
     one = _met(pairs, texts, "text").mapInArrow(check, "a binary, b binary, similarity double")
@@ -414,7 +425,7 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Da
     if not rest.isEmpty():
         links = links.unionByName(_checked(docs, text_col, rest, least))
         found = components(links)
-    for nearest in (NEAREST, NEAREST, None):
+    for nearest in (NEAREST, None):
         rows = _open_rows(nodes, found)
         more = cut(_open_pairs(rows, nearest))
         if more.isEmpty():
