@@ -5,27 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.session import cut
+from spanloom.session import written
 
 
 def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 60) -> DataFrame:
-    """node -> smallest node of its component.
+    """node -> root, the smallest node of its component, for all nodes of edges.
 
-    Every round each label becomes the smallest among its neighbours' labels and
-    then that label's own label (pointer jumping); rounds are cut by checkpoints.
+    Large-star and small-star steps in turn on the edge table: every step links the
+    neighbours of a node to the smallest of them, so paths shrink by half and more.
+    Each round is written and read again, so that the planner knows its size; few
+    edges go to few files.  Fails where ``rounds`` don't suffice.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
-    label = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).select(F.col("u").alias("node"), "root"))
+    def kept(df: DataFrame, n: int) -> DataFrame:
+        return written(df.coalesce(max(1, n // 500_000)), "edges")
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    ends = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "edges")
+    n = ends.count()
+    e = kept(ends.where("u != v").distinct(), n)
+    before = state(e)
     for _ in range(rounds):
-        near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
-        step = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = label.select(F.col("node").alias("j"), F.col("root").alias("jr"))
-        nxt = cut(step.join(jump, F.col("root") == F.col("j"), "left").select("node", "old", F.least("root", F.coalesce("jr", "root")).alias("root")))
-        changed = not nxt.where("old != root").isEmpty()
-        label = nxt.select("node", "root")
-        if not changed:
+        if not before[0]:
+            break
+        near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        e = kept(small.select("x.u", "x.v").where("u != v").distinct(), before[0])
+        now = state(e)
+        if now == before:
             break
-    return label
+        before = now
+    else:
+        raise RuntimeError(f"components not merged in {rounds} rounds")
+    alone = ends.where("u = v")
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    roots = roots.unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("root")))
+    return kept(roots.groupBy("node").agg(F.min("root").alias("root")), max(n, before[0]))
 
 
 def linkage_clusters(df: DataFrame, distance: int, keys: list[str], id_col: str = "id") -> DataFrame:
@@ -42,19 +61,19 @@ def linkage_clusters(df: DataFrame, distance: int, keys: list[str], id_col: str
 
 def dag_paths(spark, edges: DataFrame, starts: DataFrame, ends: DataFrame, max_level: int = 100) -> DataFrame:
     """All paths from starts; a path ends at its first end node.  Acyclic graphs only."""
-    edges.createOrReplaceTempView("_edges")
-    starts.createOrReplaceTempView("_starts")
-    ends.createOrReplaceTempView("_ends")
-    return spark.sql(f"""
+    return spark.sql(
+        f"""
         WITH RECURSIVE step(node, path, hops) MAX RECURSION LEVEL {max_level} AS (
-          SELECT node, cast(node AS string), 0 FROM _starts
+          SELECT node, cast(node AS string), 0 FROM {{starts}}
           UNION ALL
           SELECT e.dst, concat(s.path, '-', e.dst), s.hops + 1
-          FROM step s JOIN _edges e ON s.node = e.src
-          WHERE s.node NOT IN (SELECT node FROM _ends)
+          FROM step s JOIN {{edges}} e ON s.node = e.src
+          WHERE s.node NOT IN (SELECT node FROM {{ends}})
         )
-        SELECT path, hops FROM step WHERE node IN (SELECT node FROM _ends)
-    """)
+        SELECT path, hops FROM step WHERE node IN (SELECT node FROM {{ends}})
+        """,
+        edges=edges, starts=starts, ends=ends,
+    )
 
 
 def exon_edges(exons: DataFrame, introns: DataFrame) -> DataFrame:

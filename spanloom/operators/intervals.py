@@ -49,9 +49,13 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 64, how: str =
     if how == "inner":
         first = F.greatest(F.expr(f"start div {width}"), F.expr(f"r_start div {width}")) == F.col("_bin")
         return _bins(left, width).join(rb, on & first).drop("_bin", "_rbin", "r_contig", "r_strand")
-    # a row meets nothing exactly if none of its bins does
-    hit = _bins(left, width).join(rb, on, "left_semi").drop("_bin").distinct()
-    return hit if how == "left_semi" else left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
+    # a row meets nothing exactly if none of its bins does; equal rows are rows of their own
+    own = left.withColumn("_own", F.monotonically_increasing_id())
+    hit = _bins(own, width).join(rb, on, "left_semi").dropDuplicates(["_own"]).drop("_bin", "_own")
+    if how == "left_semi":
+        return hit
+    hit = hit.distinct()
+    return left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
 
 
 def contains_join(inner: DataFrame, outer: DataFrame, width: int = 64) -> DataFrame:

@@ -43,56 +43,59 @@ def null_moments(n: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.maximum((mass * value * value).sum(1) - mean * mean, 0)
 
 
-def _significant(signal, control, mu, var, n: int, lo: int, hi: int, alpha: float) -> bool:
-    s = signal[lo:hi]
-    if s.sum() > n:
-        return True
-    m, v = -(mu[lo:hi].sum() + 1), var[lo:hi].sum() + 1
-    if m <= 0:
-        return False
-    lhd = float((s * np.log(control[lo:hi])).sum() - sum(math.lgamma(1 + x) for x in s))
-    return lhd < -gamma_isf(alpha, m * m / v, v / m)
+def _weakest(signal: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+    """Where to split inside [lo, hi): the first longest run of zeros, else the first least place (an empty cut)."""
+    inner = signal[lo:hi]
+    if not len(inner):
+        return lo, lo
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inner == 0, [False]]).astype(np.int8)))
+    if not len(edges):
+        return (lo + int(inner.argmin()),) * 2
+    begins, ends = edges[::2], edges[1::2]
+    k = int((ends - begins).argmax())
+    return lo + int(begins[k]), lo + int(ends[k])
 
 
 def noise_regions(signal, control, noise_frac: float, rules: PeakRules) -> np.ndarray:
-    """Mask of noise: recursive bisection until pieces aren't significant or too short."""
-    size = len(signal)
-    noise = np.zeros(size, bool)
-    on = np.flatnonzero(signal)
+    """Mask of noise: what no significant piece covers.
+
+    Level by level, significant pieces are split at their weakest place, and the
+    halves that are significant themselves take the piece's place.  A piece whose
+    halves aren't, or that is too short to split, stays whole.  Sums of any piece
+    are differences of prefix sums.
+    """
+    size, on = len(signal), np.flatnonzero(signal)
+    noise = np.ones(size, bool)
     if not len(on):
-        return ~noise
+        return noise
     n = int(noise_frac * signal.sum()) + 1
     one, back = np.unique(control, return_inverse=True)
     parts = [null_moments(n, one[k : k + 256]) for k in range(0, len(one), 256)]
     mu, var = (np.concatenate([x[k] for x in parts])[back] for k in (0, 1))
+    counts, nth = np.unique(signal, return_inverse=True)
+    ways = np.array([math.lgamma(1 + x) for x in counts])[nth]
+    terms = np.stack([signal, mu, var, signal * np.log(control) - ways])
+    sums = np.concatenate([np.zeros((4, 1)), np.cumsum(terms, 1)], 1)
     alpha = rules.alpha / (2 * size)
-    test = lambda a, b: _significant(signal, control, mu, var, n, a, b, alpha)
-    lo, hi = int(on[0]), int(on[-1]) + 1
-    noise[:lo] = noise[hi:] = True
-    if not test(lo, hi):
-        return np.ones(size, bool)
-    queue = [(lo, hi)]
-    while queue:
-        a, b = queue.pop()
-        if b - a < 2 * rules.min_size:
-            continue
-        x, y = a + rules.min_size, b - rules.min_size
-        zero = np.flatnonzero(np.diff(np.r_[0, (signal[x:y] == 0).astype(int), 0])).reshape(-1, 2)
-        if len(zero):
-            k = int(np.argmax(zero[:, 1] - zero[:, 0]))
-            left, right = x + int(zero[k, 0]), x + int(zero[k, 1])
-        else:
-            left = right = x + int(np.argmin(signal[x:y])) if y > x else x
-        halves = [(a, left), (right, b)]
-        good = [h for h in halves if h[1] > h[0] and test(*h)]
-        if not good:
-            continue
-        noise[left:right] = True
-        for h in halves:
-            if h in good:
-                queue.append(h)
-            else:
-                noise[h[0] : h[1]] = True
+
+    def significant(lo: int, hi: int) -> bool:
+        total, m, v, likelihood = sums[:, hi] - sums[:, lo]
+        m, v = -(m + 1), v + 1
+        return total > n or (m > 0 and likelihood < -gamma_isf(alpha, m * m / v, v / m))
+
+    level = [(int(on[0]), int(on[-1]) + 1)]
+    level = [piece for piece in level if significant(*piece)]
+    while level:
+        halves = []
+        for lo, hi in level:
+            noise[lo:hi] = False
+            if hi - lo < 2 * rules.min_size:
+                continue
+            left, right = _weakest(signal, lo + rules.min_size, hi - rules.min_size)
+            kept = [(a, b) for a, b in ((lo, left), (right, hi)) if a < b and significant(a, b)]
+            noise[lo:hi] = bool(kept)  # the halves kept are cleared in their turn
+            halves += kept
+        level = halves
     return noise
 
 

@@ -76,26 +76,3 @@ def estimate(bins: DataFrame, gene: str = "gene") -> DataFrame:
         return pd.DataFrame({gene: key[0], "transcript": e.columns, "freq": mle(m, o)})
 
     return bins.groupBy(gene).applyInPandas(run, f"{gene} {kinds[gene]}, transcript {kinds['transcript']}, freq double")
-
-
-def expected_pair(first: list[int], second: list[int], gap: int, read: int, density: dict[int, float], least: int = 1) -> float:
-    """Expected placements of a mate pair: sum over starts of the mass of the fragment lengths that fit.
-
-    first and second are the lengths of the segments that the mates cover; gap is
-    the length from the first mate's first segment to the second mate's first.
-    """
-    lo_fl, hi_fl = min(density), max(density)
-    cdf, run = {lo_fl - 1: 0.0}, 0.0
-    for n in range(lo_fl, hi_fl + 1):
-        run += density.get(n, 0.0)
-        cdf[n] = run
-    s_lo = max(0, sum(first[:-1]) + least - read, gap + read - hi_fl)
-    s_hi = min(first[0] - least, sum(first) - read)
-    e_lo0 = max(gap + read, gap + sum(second[:-1]) + least)
-    e_hi = min(gap + sum(second), gap + second[0] - least + read, e_lo0 - least + second[-1])
-    total = 0.0
-    for s in range(s_lo, s_hi + 1):
-        a, b = max(max(e_lo0, s_lo + read) - s, lo_fl), min(e_hi - s, hi_fl)
-        if b >= a:
-            total += cdf[b] - cdf[a - 1]
-    return total

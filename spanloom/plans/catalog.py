@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import seq
 from spanloom.operators import graph, intervals, peaks, quant, reads
+from spanloom.session import written
 from spanloom.streaming.incremental import session_islands
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,7 +352,7 @@ DAG = "e AS (SELECT DISTINCT p_size AS src, p_size + 1 + CAST(p_partkey % 9 AS I
 @query(f"WITH RECURSIVE {DAG}, walk(node, path, hops) AS (SELECT DISTINCT src, CAST(src AS VARCHAR), 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, walk.path || '-' || e.dst, walk.hops + 1 FROM walk JOIN e ON e.src = walk.node) SELECT path, CAST(hops AS INTEGER) AS hops FROM walk WHERE node NOT IN (SELECT src FROM e)")
 def paths_dag(spark, d):
     e = t(spark, d, "part").where("p_partkey % 13 = 0 and p_size < 12").select(F.col("p_size").alias("src"), (F.col("p_size") + 1 + (F.col("p_partkey") % 9).cast("int")).alias("dst")).distinct()
-    e = graph.cut(e)
+    e = written(e, "edges")
     src, dst = e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct()
     return graph.dag_paths(spark, e, src.join(dst, "node", "left_anti"), dst.join(src, "node", "left_anti"))
 

@@ -69,10 +69,6 @@ def test_statistics():
     assert x == pytest.approx([2, 0]) and r == pytest.approx(1)
 
 
-def test_expected_pairs_equal_enumeration():
-    assert quant.expected_pair([100], [100], 0, 50, {100: 1.0}) == pytest.approx(1.0)
-
-
 def test_mle_and_bounds():
     e = np.array([[0.7, 0.2], [0.3, 0.8]])
     f = quant.mle(e, e @ np.array([0.25, 0.75]) * 1000)
@@ -112,3 +108,16 @@ def test_entry_runs(spark):
 
     assert not __spark_entry__.entry(spark).isEmpty()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_components_of_a_long_path(spark):
+    e = spark.range(20_000).selectExpr("id as src", "id + 1 as dst").unionByName(spark.sql("select 30000L src, 30000L dst"))
+    got = graph.components(e)
+    assert got.count() == 20_002 and {r.root for r in got.select("root").distinct().collect()} == {0, 30000}
+
+
+def test_semi_join_keeps_repeated_rows(spark):
+    a = spark.createDataFrame([("c", "+", 1, 500), ("c", "+", 1, 500), ("c", "+", 900, 950)], "contig string, strand string, start long, stop long")
+    b = spark.createDataFrame([("c", "+", 100, 400), ("c", "+", 450, 460)], "contig string, strand string, start long, stop long")
+    assert [tuple(r) for r in intervals.overlap_join(a, b, how="left_semi").collect()] == [("c", "+", 1, 500)] * 2
+    assert [tuple(r) for r in intervals.overlap_join(a, b, how="left_anti").collect()] == [("c", "+", 900, 950)]
