@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.graph import components
+
 from ._bytes import batches, mix, word_rows
 from ._common import HOT_GROUPS, attached, bound_batches, cut, once, quoted, rowed, unrowed
 
@@ -420,51 +422,22 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Da
     # maxima are combined before the exchange, so a node with many candidates isn't gathered
     near = [likely.groupBy(x).agg(F.max(F.struct("same", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
     links = _checked(docs, text_col, cut(near[0].union(near[1]).distinct()), least)
-    found = components(links)
-    rest = cut(_apart(likely, found))
-    if not rest.isEmpty():
-        links = links.unionByName(_checked(docs, text_col, rest, least))
-        found = components(links)
+    found = components(links, "a", "b")
+    rest = _apart(likely, found)
     for nearest in (NEAREST, None):
-        rows = _open_rows(nodes, found)
-        more = cut(_open_pairs(rows, nearest))
+        more = _open_pairs(_open_rows(nodes, found), nearest)
+        if nearest is not None:
+            more = more.unionByName(rest).distinct()
+        more = cut(more)
         if more.isEmpty():
-            break  # no pair of different classes agrees enough, so no later round has one either
-        links = links.unionByName(_checked(docs, text_col, more, least))
-        found = components(links)
+            break  # no pair of different classes agrees enough, so the last round has none either
+        checked = _checked(docs, text_col, more, least)
+        if not checked.isEmpty():
+            links = links.unionByName(checked)
+            found = components(links, "a", "b")
     return found
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node -> root (its component's smallest node), for nodes with an edge.
-
-    Alternates large-star and small-star steps on the edge table; each step is
-    an aggregate and a join, cut by a checkpoint.  Fails where ``rounds`` don't suffice.
-    """
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u != v").distinct())
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components not merged in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, carry: bool = False) -> DataFrame:
     """Every row with _id, _class (smallest id of its class), _size, _kept, and all its columns in ``_row`` where ``carry``."""
     found = classes(docs, text_col, least)
