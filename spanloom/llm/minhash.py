@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from spanloom.operators.graph import components
 
 from ._bytes import batches, mix, word_rows
-from ._common import HOT_GROUPS, attached, bound_batches, cut, once, quoted, rowed, unrowed
+from ._common import HOT_GROUPS, attached, bound_batches, once, quoted, rowed, unrowed, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -209,7 +209,7 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     src = docs.select(node_of(quoted(text_col)).alias("node"), quoted(text_col).alias("_text"))
     rows = src.mapInArrow(run, "node binary, bands array<long>, sig binary")
-    return cut(rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
+    return written(rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "near")
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def _open_rows(nodes: DataFrame, found: DataFrame) -> DataFrame:
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
     opened = shares.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
     opened = opened.where((F.col("n") > SMALL) & (F.col("classes") > 1)).select(F.col("key").cast("string").alias("_key"), "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
-    opened = cut(opened)
+    opened = written(opened, "near")
     rows = rooted.withColumn("_name", F.col("key").cast("string"))
     return attached(rows, "_name", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null").drop("_name")
 
@@ -381,7 +381,7 @@ def _checked_blocks(texts: DataFrame, pairs: DataFrame, n_busy: int, least: floa
 def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts have similarity ``least`` or more."""
     wanted = likely.select(F.explode(F.array("a", "b")).alias("_want")).groupBy("_want").agg(F.count(F.lit(1)).alias("_pairs"))
-    wanted = cut(wanted)
+    wanted = written(wanted, "near")
     n, n_busy = wanted.agg(F.count(F.lit(1)), F.count(F.when(F.col("_pairs") > BUSY, 1))).first()
     texts = docs.select(node_of(quoted(text_col)).alias("node"), quoted(text_col).alias("text"))
     texts = attached(texts, "node", wanted, "_want", n, BROADCAST_NODES).where("_pairs is not null")
@@ -403,7 +403,7 @@ def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) ->
         found = _checked_blocks(texts.where(F.col("_pairs") > BUSY), pairs.where("_both").select("a", "b"), n_busy, least)
         pairs = pairs.where("not _both").select("a", "b")
     one = _met(pairs, texts, "text").mapInArrow(check, "a binary, b binary, similarity double")
-    return cut(one if found is None else one.unionByName(found))
+    return written(one if found is None else one.unionByName(found), "near")
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -418,17 +418,17 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """node -> root (its class's smallest node), for the nodes of classes of two and more texts."""
     nodes = _nodes(docs, text_col)
-    likely = cut(_likely(candidate_pairs(nodes), nodes))
+    likely = written(_likely(candidate_pairs(nodes), nodes), "near")
     # maxima are combined before the exchange, so a node with many candidates isn't gathered
     near = [likely.groupBy(x).agg(F.max(F.struct("same", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
-    links = _checked(docs, text_col, cut(near[0].union(near[1]).distinct()), least)
+    links = _checked(docs, text_col, written(near[0].union(near[1]).distinct(), "near"), least)
     found = components(links, "a", "b")
     rest = _apart(likely, found)
     for nearest in (NEAREST, None):
         more = _open_pairs(_open_rows(nodes, found), nearest)
         if nearest is not None:
             more = more.unionByName(rest).distinct()
-        more = cut(more)
+        more = written(more, "near")
         if more.isEmpty():
             break  # no pair of different classes agrees enough, so the last round has none either
         checked = _checked(docs, text_col, more, least)
@@ -445,10 +445,10 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     # light: one row for each text, then for each text of a class of several rows
     texts = rows.groupBy("_node").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_size"))
     texts = texts.join(found, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
-    texts = cut(texts.where("root is not null or _size > 1").select(F.col("_node").alias("_of"), "_root", "_class", "_size"))
+    texts = written(texts.where("root is not null or _size > 1").select(F.col("_node").alias("_of"), "_root", "_class", "_size"), "near")
     sums = texts.groupBy("_root").agg(F.min("_class").alias("_class"), F.sum("_size").alias("_size")).withColumnRenamed("_root", "_sum")
-    sums = cut(sums)
-    table = cut(attached(texts.select("_of", "_root"), "_root", sums, "_sum", sums.count(), BROADCAST_NODES))
+    sums = written(sums, "near")
+    table = written(attached(texts.select("_of", "_root"), "_root", sums, "_sum", sums.count(), BROADCAST_NODES), "near")
     repeated = not rows.groupBy("_id").count().where("count > 1").isEmpty()
     out = attached(rows, "_node", table, "_of", table.count(), BROADCAST_NODES)
     out = out.withColumn("_class", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_class")))
