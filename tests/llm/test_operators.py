@@ -231,3 +231,56 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def test_chunks_of_one_hash_keep_their_ids():
+    """Two texts that any polynomial hash modulo 2**64 confuses."""
+    x = "a"
+    while len(x) < 2048:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    texts = [x, y, f"{x} {y}", " ".join([x, y, "hi there"] * 400), "", "z" * 3_000_000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = ChunkEncoder(P.path(name))
+        got = [i[o[k] : o[k + 1]].tolist() for lo, hi, i, o in e.encode(pa.array(texts[:5])) for k in range(hi - lo)]
+        assert got == [e.library.encode(t, add_special_tokens=False).ids for t in texts[:5]]
+
+
+def test_codec_is_smaller_than_zlib_on_its_blocks(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    e = ChunkEncoder(P.path("word_bpe_49k.json"))
+    ids = np.concatenate([i for _, _, i, _ in e.encode(pa.array(texts))]).astype(np.uint32)
+    own = len(codec.pack_segment(ids, np.array([len(ids)])))
+    other = sum(len(zlib.compress(ids[k : k + codec.BLOCK].astype("<u2").tobytes(), 9)) for k in range(0, len(ids), codec.BLOCK))
+    assert own < 0.85 * other
+
+
+def test_token_digest_equals_the_library(odd):
+    library = ChunkEncoder(P.path("word_bpe_49k.json")).library
+    want = sorted(zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in ODD)
+    assert sorted(r.ids_crc32 for r in codec.token_file_digest(odd, P.path("word_bpe_49k.json")).collect()) == want
+
+
+def test_noisy_or_of_many_clean_sentences():
+    rows = np.repeat([0, 1, 2], [100_000, 3, 2])
+    z = np.concatenate([np.full(100_000, -5.0), [-5.0, 3.0, -9.0], [0.0, 0.0]])
+    p = np.maximum(1 / (1 + np.exp(-z)) - toxicity.FLOOR, 0) / (1 - toxicity.FLOOR)
+    plain = [1 - np.prod(1 - p[rows == k]) for k in range(3)]
+    got = toxicity.noisy_or(z, rows, 3)
+    assert got == pytest.approx(plain) and got[0] == 0 and got[1] > 0.9
+
+
+def test_top_k_fails_on_what_a_long_cannot_hold(spark):
+    for v in ([1e30], [3e9]):
+        df = spark.createDataFrame([(0, v), (1, v), (20, [0.5])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="over 64 bits"):
+            topk.top_k(df).collect()
+
+
+def test_stages_carry_clashing_names(spark):
+    names = ["_id", "_row", "_text", "_score", "_lang", "_kept", "_digest", "_size", "_keep", "a.b"]
+    rows = [(k, "you and me and the others there" if k < 3 else f"text number {k}", "en", *range(len(names))) for k in range(5)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    for out, n in ((exact_dedup.drop_exact_copies(docs), 3), (minhash.drop_near_copies(docs), 3), (toxicity.keep_clean(docs, labels), 5), (langid.keep_identified(docs), 5)):
+        assert out.columns == docs.columns and out.count() == n
