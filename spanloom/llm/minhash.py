@@ -14,8 +14,11 @@ about k ln k darts and not k hashes for each element.
 Joining: equal texts are one node.  Nodes that share a band of ``ROWS`` coordinates
 are candidates (a pair of similarity 0.8 shares none with a chance of 5 in 100,000).
 In buckets of up to ``SMALL`` nodes all pairs are candidates, in larger ones first
-each node and the bucket's first.  Candidates whose signatures agree enough are
-checked on the shingles of their whole texts (as 64-bit hashes), and links of
+each node and the bucket's first.  Candidates whose signatures agree enough, and
+whose bound allows the similarity, are checked on the shingles of their whole texts
+(as 64-bit hashes).  The bound is exact: a text's shingles are counted in ``SKETCH``
+classes of their hashes, and two texts share at most the sum of the classes' minima.
+Links of
 similarity ``least`` or more are merged into classes: first each node's nearest
 candidate, then the candidates that still are of different classes, since a pair
 inside a class can't change it.  Large buckets that hold several classes then are
@@ -23,8 +26,8 @@ compared in full, by blocks of about ``BLOCK`` nodes: every node outside the buc
 largest class with every node of another class, once for its ``NEAREST`` nodes, then
 for all.  Nodes with many candidates are salted before their texts are
 joined; pairs of two such nodes are checked by blocks of about ``CHECK_BLOCK`` nodes, so
-that a text travels once for each block and not for each pair.  Signatures travel as one byte for each coordinate; that can only make
-pairs agree more.
+that a text travels once for each block and not for each pair.  Signatures travel
+as one byte for each coordinate; that can only make pairs agree more.
 
 Defined cases: null and empty texts and texts without words have no shingles;
 they form a class only with equal texts (null equals empty); null ids are larger
@@ -55,8 +58,9 @@ SMALL = 16
 #: nodes of a block of a large bucket, and nodes of other classes that each node is checked with in the first rounds
 BLOCK = 4096
 NEAREST = 4
-#: agreeing coordinates of 128 under which a pair isn't checked: five deviations under 0.8
-AGREE = 79
+#: classes of shingles that are counted for the bound, at most 255 of each, and bytes of a signature with counts and weight
+SKETCH = 128
+WIDTH = COORDINATES + SKETCH + 8
 #: rows of a broadcast table of nodes, of at most about 100 bytes each
 BROADCAST_NODES = 200_000
 #: candidates of a node from which on they are salted, and salts
@@ -138,14 +142,41 @@ def darts(element: np.ndarray, row: np.ndarray, n_rows: int, k: int = COORDINATE
     return (best & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n_rows, k)
 
 
-def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Signature matrix and the number of shingles of each text."""
-    out, count = [np.zeros((0, COORDINATES), np.uint32)], [np.zeros(0, np.int64)]
+def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature matrix, the number of shingles of each text, and their numbers by class (at most 255)."""
+    out, count, classes = [np.zeros((0, COORDINATES), np.uint32)], [np.zeros(0, np.int64)], [np.zeros((0, SKETCH), np.uint8)]
     for lo, hi, data, offsets in batches(column, 1 << 20):
         h, row = shingles(data, offsets)
         out.append(darts(elements(h, row), row, hi - lo))
         count.append(np.bincount(row, minlength=hi - lo))
-    return np.concatenate(out), np.concatenate(count)
+        by_class = np.bincount(row.astype(np.int64) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), minlength=(hi - lo) * SKETCH)
+        classes.append(np.minimum(by_class, 255).astype(np.uint8).reshape(-1, SKETCH))
+    return np.concatenate(out), np.concatenate(count), np.concatenate(classes)
+
+
+def agreement(least: float) -> int:
+    """Agreeing coordinates under which a pair isn't checked: five deviations under ``least``."""
+    return max(1, int(COORDINATES * least - 5 * np.sqrt(COORDINATES * least * (1 - least))))
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, numbers by class, and weights."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+    weight = np.ascontiguousarray(raw[:, COORDINATES + SKETCH :]).view("<i8").ravel()
+    return raw[:, :COORDINATES], raw[:, COORDINATES : COORDINATES + SKETCH], weight
+
+
+def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows ``x`` of ``a`` and ``y`` of ``b``, (numbers by class, weights), can have similarity ``least``.
+
+    What a class counts beyond 255 is common to both texts as far as both have such a rest.
+    """
+    out, rests = [np.zeros(0, bool)], [w - c.sum(1, dtype=np.int64) for c, w in (a, b)]
+    for at in range(0, len(x), 1 << 16):
+        u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        both = np.minimum(a[0][u], b[0][v]).sum(1, dtype=np.int64) + np.minimum(rests[0][u], rests[1][v])
+        out.append(both >= (least - 1e-9) * (a[1][u] + b[1][v] - both))
+    return np.concatenate(out)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -195,15 +226,15 @@ def node_of(text: Column) -> Column:
 
 
 def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row for each different text with shingles: node, bands, signature (its lowest bytes)."""
+    """One row for each different text with shingles: node, bands, signature (its lowest bytes, numbers by class, weight)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sig, count = signatures(b.column(1))
+            sig, count, by_class = signatures(b.column(1))
             some = np.flatnonzero(count > 0)
             keys = band_keys(sig[some])
             bands = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel()))
-            raw = [row.tobytes() for row in sig[some].astype(np.uint8)]
+            raw = [row.tobytes() for row in np.hstack([sig[some].astype(np.uint8), by_class[some], count[some].astype("<i8")[:, None].view(np.uint8)])]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), bands, pa.array(raw, pa.binary())], names=["node", "bands", "sig"])
 
     bound_batches(docs.sparkSession)
@@ -212,38 +243,53 @@ def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
     return written(rows.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "near")
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """(key, node) -> pairs (a, b): all of buckets of up to ``SMALL`` nodes, each with the first node of larger ones.
+def _members(nodes: DataFrame, *carried: str) -> DataFrame:
+    """A row for each node and band: key, node, band, and what is carried."""
+    rows = nodes.select("node", *carried, F.posexplode("bands").alias("band", "key"))
+    return rows.withColumn("key", F.col("key").cast("string"))
+
+
+def _large(nodes: DataFrame) -> DataFrame:
+    """Buckets of more than ``SMALL`` nodes: _key, n."""
+    sums = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return written(sums.where(F.col("n") > SMALL).select(F.col("key").cast("string").alias("_key"), "n"), "near")
+
 
-    Sizes and first nodes are aggregated before the join, so a large bucket is
-    never gathered: its rows only meet one row of sums.
+def candidate_pairs(nodes: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
+    """Pairs (a, b) to check first: all of buckets of up to ``SMALL`` nodes, each with the first node of larger ones.
+
+    Sizes and first nodes are aggregated before rows meet them, so a large bucket
+    is never gathered.
     """
-    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    met = members.join(sums, "key")
-    small = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))
+    met = attached(_members(nodes).select("key", "node"), "key", large, "_key", n_large, BROADCAST_NODES)
+    small = met.where("n is null").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all")).where("size(all) > 1")
     small = small.select(F.explode(F.expr("transform(sequence(1, size(all) - 1), i -> struct(all[i] as b, slice(all, 1, i) as before))")).alias("x"))
     small = small.select(F.explode("x.before").alias("a"), F.col("x.b").alias("b"))
-    return small.unionByName(met.where(F.col("n") > SMALL).select(F.col("first").alias("a"), F.col("node").alias("b")))
-
+    in_large = met.where("n is not null").select("key", "node")
+    first = written(in_large.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("first")), "near")
+    star = attached(in_large, "key", first, "_key", n_large, BROADCAST_NODES).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return small.unionByName(star).where("a != b").distinct()
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) to check first."""
-    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node").select("key", "node")
-    return _bucket_pairs(members).where("a != b").distinct()
 
+def agreeing(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], ra: np.ndarray, rb: np.ndarray, nearest: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different classes that agree enough and can have similarity ``least``: all, or each row's ``nearest``.
 
-def agreeing(sa: np.ndarray, sb: np.ndarray, ra: np.ndarray, rb: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of different classes that agree enough: all, or each row's ``nearest``."""
+    a, b: signatures, numbers by class, weights.
+    """
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    (sa, sb), enough = (a[0], b[0]), agreement(least)
     ta, tb = np.ascontiguousarray(sa.T), np.ascontiguousarray(sb.T)
     for lo in range(0, len(sa), 128):
         same = np.zeros((len(sa[lo : lo + 128]), len(sb)), np.uint8)
         for k in range(COORDINATES):
             same += ta[k, lo : lo + 128, None] == tb[k]
-        same[(same < AGREE) | (ra[lo : lo + 128, None] == rb)] = 0
+        same[(same < enough) | (ra[lo : lo + 128, None] == rb)] = 0
+        x, y = np.nonzero(same)
+        can = possible(a[1:], b[1:], x + lo, y, least)
         if nearest is None or nearest >= len(sb):
-            x, y = np.nonzero(same)
+            x, y = x[can], y[can]
         else:
+            same[x[~can], y[~can]] = 0
             best = np.argpartition(same, len(sb) - nearest, axis=1)[:, -nearest:]
             x, n = np.nonzero(np.take_along_axis(same, best, 1))
             y = best[x, n]
@@ -252,19 +298,19 @@ def agreeing(sa: np.ndarray, sb: np.ndarray, ra: np.ndarray, rb: np.ndarray, nea
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def _open_rows(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Nodes of the buckets over ``SMALL`` that hold several classes: key, node, sig, bands, band (the key's), root, major (the largest class), n, few (nodes outside it)."""
+def _open_rows(nodes: DataFrame, found: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
+    """Nodes of the large buckets that hold several classes: key, node, sig, bands, band (the key's), root, major (the largest class), n, few (nodes outside it)."""
     rooted = attached(nodes, "node", found.withColumnRenamed("node", "_of"), "_of", found.count(), BROADCAST_NODES)
-    rooted = rooted.select("node", "sig", F.coalesce("root", "node").alias("root"), "bands", F.posexplode("bands").alias("band", "key"))
+    rooted = _members(rooted.withColumn("root", F.coalesce("root", "node")), "sig", "root", "bands")
+    rooted = attached(rooted, "key", large, "_key", n_large, BROADCAST_NODES).where("n is not null").drop("n")
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
-    opened = shares.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
-    opened = opened.where((F.col("n") > SMALL) & (F.col("classes") > 1)).select(F.col("key").cast("string").alias("_key"), "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
+    opened = shares.groupBy(F.col("key").alias("_key")).agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    opened = opened.where("classes > 1").select("_key", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
     opened = written(opened, "near")
-    rows = rooted.withColumn("_name", F.col("key").cast("string"))
-    return attached(rows, "_name", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null").drop("_name")
+    return attached(rooted, "key", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null")
 
 
-def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
+def _open_pairs(rows: DataFrame, nearest: int | None, least: float) -> DataFrame:
     """Agreeing pairs of different classes of open rows.
 
     Every node is in one block; nodes outside the largest class are dealt into
@@ -284,9 +330,9 @@ def _open_pairs(rows: DataFrame, nearest: int | None) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         node, asks = t.column("node").combine_chunks(), t.column("asks").to_numpy()
         root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        sig = _unpacked(t.column("sig"))
         u, v = np.flatnonzero(asks), np.flatnonzero(~asks)
-        x, y = agreeing(sig[u], sig[v], root[u], root[v], nearest)
+        x, y = agreeing(tuple(c[u] for c in sig), tuple(c[v] for c in sig), root[u], root[v], nearest, least)
         if nearest is None and len(x):
             # of two nodes outside the largest class only one asks
             name, order = node.to_pylist(), np.zeros(len(node), np.int64)
@@ -325,14 +371,15 @@ def _met(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return out.select("a", "b", "_va", "_vb")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree enough, with the number of coordinates that do."""
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree enough and whose bound allows ``least``, with the number of coordinates that agree."""
+    enough = agreement(least)
 
     def agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
-            same = (x == y).sum(1)
-            keep = pa.array(np.flatnonzero(same >= AGREE))
+            x, y = _unpacked(b.column(2)), _unpacked(b.column(3))
+            same, every = (x[0] == y[0]).sum(1), np.arange(len(x[0]))
+            keep = pa.array(np.flatnonzero((same >= enough) & possible(x[1:], y[1:], every, every, least)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(same).take(keep)], names=["a", "b", "same"])
 
     return _met(pairs, nodes, "sig").mapInArrow(agree, "a binary, b binary, same long")
@@ -418,14 +465,16 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """node -> root (its class's smallest node), for the nodes of classes of two and more texts."""
     nodes = _nodes(docs, text_col)
-    likely = written(_likely(candidate_pairs(nodes), nodes), "near")
+    large = _large(nodes)
+    n_large = large.count()
+    likely = written(_likely(candidate_pairs(nodes, large, n_large), nodes, least), "near")
     # maxima are combined before the exchange, so a node with many candidates isn't gathered
     near = [likely.groupBy(x).agg(F.max(F.struct("same", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
     links = _checked(docs, text_col, written(near[0].union(near[1]).distinct(), "near"), least)
     found = components(links, "a", "b")
     rest = _apart(likely, found)
     for nearest in (NEAREST, None):
-        more = _open_pairs(_open_rows(nodes, found), nearest)
+        more = _open_pairs(_open_rows(nodes, found, large, n_large), nearest, least)
         if nearest is not None:
             more = more.unionByName(rest).distinct()
         more = written(more, "near")

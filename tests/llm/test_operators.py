@@ -156,6 +156,20 @@ def test_near_dedup(spark, odd, empty):
     assert minhash.near_dedup(empty).isEmpty()
 
 
+def test_bound_never_drops_a_pair():
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = [" ".join(words[: 5 * k]) for k in range(1, 80, 3)]
+    # shingles that repeat over 255 times, and texts shorter than a shingle
+    texts += [" ".join(["a"] * n) for n in (1, 3, 300, 380, 400, 900)] + ["b c " * n for n in (1, 250, 300, 350)]
+    sig, count, by_class = minhash.signatures(pa.array(texts))
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    exact = minhash.weighted_jaccard(pa.array([texts[k] for k in x]), pa.array([texts[k] for k in y]))
+    for least in (0.5, 0.8, 0.95):
+        can = minhash.possible((by_class, count), (by_class, count), x, y, least)
+        assert can[exact >= least].all() and not can[exact < least / 2].all()
+
+
 def brute_classes(texts):
     """Each text's class by all pairs: the first place of its component at similarity 0.8."""
     grams = []
@@ -197,7 +211,7 @@ def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     a = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 800))
     b = " ".join([*a.split()[:700], *(f"x{x}" for x in rng.integers(0, 10**6, 100))])
-    sig, _ = minhash.signatures(pa.array([a, b]))
+    sig, _, _ = minhash.signatures(pa.array([a, b]))
     exact = minhash.weighted_jaccard(pa.array([a]), pa.array([b]))[0]
     assert exact == pytest.approx(696 / 896, abs=1e-9) and abs((sig[0] == sig[1]).mean() - exact) < 0.2
 
