@@ -52,11 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again; for heavy tables."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table in the shared folder and read it again.
+
+    ``rows``, at most so many light rows, go to files of about 500,000.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // 500_000)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -252,7 +252,7 @@ def _members(nodes: DataFrame, *carried: str) -> DataFrame:
 def _large(nodes: DataFrame) -> DataFrame:
     """Buckets of more than ``SMALL`` nodes: _key, n."""
     sums = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return written(sums.where(F.col("n") > SMALL).select(F.col("key").cast("string").alias("_key"), "n"), "near")
+    return written(sums.where(F.col("n") > SMALL).select(F.col("key").cast("string").alias("_key"), "n"), "near", nodes.count() * (COORDINATES // ROWS))
 
 
 def candidate_pairs(nodes: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
@@ -266,7 +266,7 @@ def candidate_pairs(nodes: DataFrame, large: DataFrame, n_large: int) -> DataFra
     small = small.select(F.explode(F.expr("transform(sequence(1, size(all) - 1), i -> struct(all[i] as b, slice(all, 1, i) as before))")).alias("x"))
     small = small.select(F.explode("x.before").alias("a"), F.col("x.b").alias("b"))
     in_large = met.where("n is not null").select("key", "node")
-    first = written(in_large.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("first")), "near")
+    first = written(in_large.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("first")), "near", n_large)
     star = attached(in_large, "key", first, "_key", n_large, BROADCAST_NODES).select(F.col("first").alias("a"), F.col("node").alias("b"))
     return small.unionByName(star).where("a != b").distinct()
 
@@ -306,7 +306,7 @@ def _open_rows(nodes: DataFrame, found: DataFrame, large: DataFrame, n_large: in
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
     opened = shares.groupBy(F.col("key").alias("_key")).agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
     opened = opened.where("classes > 1").select("_key", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
-    opened = written(opened, "near")
+    opened = written(opened, "near", n_large)
     return attached(rooted, "key", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null")
 
 
@@ -428,7 +428,7 @@ def _checked_blocks(texts: DataFrame, pairs: DataFrame, n_busy: int, least: floa
 def _checked(docs: DataFrame, text_col: str, likely: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts have similarity ``least`` or more."""
     wanted = likely.select(F.explode(F.array("a", "b")).alias("_want")).groupBy("_want").agg(F.count(F.lit(1)).alias("_pairs"))
-    wanted = written(wanted, "near")
+    wanted = written(wanted, "near", 2 * likely.count())
     n, n_busy = wanted.agg(F.count(F.lit(1)), F.count(F.when(F.col("_pairs") > BUSY, 1))).first()
     texts = docs.select(node_of(quoted(text_col)).alias("node"), quoted(text_col).alias("text"))
     texts = attached(texts, "node", wanted, "_want", n, BROADCAST_NODES).where("_pairs is not null")
@@ -470,7 +470,7 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Da
     likely = written(_likely(candidate_pairs(nodes, large, n_large), nodes, least), "near")
     # maxima are combined before the exchange, so a node with many candidates isn't gathered
     near = [likely.groupBy(x).agg(F.max(F.struct("same", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
-    links = _checked(docs, text_col, written(near[0].union(near[1]).distinct(), "near"), least)
+    links = _checked(docs, text_col, written(near[0].union(near[1]).distinct(), "near", 2 * likely.count()), least)
     found = components(links, "a", "b")
     rest = _apart(likely, found)
     for nearest in (NEAREST, None):
@@ -496,8 +496,9 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     texts = texts.join(found, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
     texts = written(texts.where("root is not null or _size > 1").select(F.col("_node").alias("_of"), "_root", "_class", "_size"), "near")
     sums = texts.groupBy("_root").agg(F.min("_class").alias("_class"), F.sum("_size").alias("_size")).withColumnRenamed("_root", "_sum")
-    sums = written(sums, "near")
-    table = written(attached(texts.select("_of", "_root"), "_root", sums, "_sum", sums.count(), BROADCAST_NODES), "near")
+    n = texts.count()
+    sums = written(sums, "near", n)
+    table = written(attached(texts.select("_of", "_root"), "_root", sums, "_sum", sums.count(), BROADCAST_NODES), "near", n)
     repeated = not rows.groupBy("_id").count().where("count > 1").isEmpty()
     out = attached(rows, "_node", table, "_of", table.count(), BROADCAST_NODES)
     out = out.withColumn("_class", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_class")))
