@@ -59,7 +59,7 @@ SMALL = 16
 BLOCK = 4096
 NEAREST = 4
 #: classes of shingles that are counted for the bound, at most 255 of each, and bytes of a signature with counts and weight
-SKETCH = 128
+SKETCH = 512
 WIDTH = COORDINATES + SKETCH + 8
 #: rows of a broadcast table of nodes, of at most about 100 bytes each
 BROADCAST_NODES = 200_000
@@ -172,8 +172,8 @@ def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     What a class counts beyond 255 is common to both texts as far as both have such a rest.
     """
     out, rests = [np.zeros(0, bool)], [w - c.sum(1, dtype=np.int64) for c, w in (a, b)]
-    for at in range(0, len(x), 1 << 16):
-        u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+    for at in range(0, len(x), 1 << 14):
+        u, v = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
         both = np.minimum(a[0][u], b[0][v]).sum(1, dtype=np.int64) + np.minimum(rests[0][u], rests[1][v])
         out.append(both >= (least - 1e-9) * (a[1][u] + b[1][v] - both))
     return np.concatenate(out)
