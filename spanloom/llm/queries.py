@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, codec, exact_dedup, langid, minhash, packing, periodic, phrases, quality, sharding, topk, toxicity
+from . import bpe, codec, exact_dedup, html_text, langid, minhash, packing, periodic, phrases, quality, sharding, topk, toxicity
 from ._common import table
 
 
@@ -59,10 +59,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text_of(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_sharding, op2_language_id, op3_best_fit_packing, op4_exact_top_k, op5_toxicity, op6_minhash_near_dedup, op7_exact_dedup, op8_token_files, op9_byte_bpe, op10_quality,
-        op11_phrase_mining, op12_periodic_runs,
+        op11_phrase_mining, op12_periodic_runs, op13_html_main_text,
     )
     return {f.__name__: f for f in own}
 
