@@ -1,14 +1,14 @@
 """Toxicity: multiple-instance learning over sentences.
 
-A document is a bag of sentences.  A sentence scores sigmoid(bias + sum of the
+A document is a bag of sentences.  A sentence scores p = sigmoid(bias + sum of the
 weights of its words and of their beginnings of ``BEGINNINGS`` bytes, so that
-inflected and compound forms share weights), less what any sentence scores: p
-counts as (p - ``FLOOR``) / (1 - ``FLOOR``), and as 0 under ``FLOOR``.  So thousands of clean
-sentences don't add up, and a long text scores by its sentences, not by its
-length.  The document's score is the noisy-or, 1 - prod(1 - score).  Weights
-are learned from document labels only, by Adam with soft thresholding on the
-likelihood of the plain noisy-or, over a bounded sample: at most ``SAMPLE`` labelled
-rows of each label with texts of at most ``SAMPLE_BYTES``, taken by a hash of the id.
+inflected and compound forms share weights).  The document's score is the noisy-or,
+1 - prod(1 - p), in training and in scoring.  Weights are learned from document labels
+only, by Adam with soft thresholding on the likelihood of that noisy-or, over a bounded
+sample: at most ``SAMPLE`` labelled rows of each label with texts of at most
+``SAMPLE_BYTES``, taken by a hash of the id.  A clean bag's likelihood is a product
+over its sentences, so a clean text that counts ``CLEAN`` times stands for bags so many
+times longer: that keeps the many sentences of long clean texts from adding up.
 Only features in ``MIN_DOCS`` sample documents get a weight.  Scoring reads whole
 texts, long ones in pieces; ``offending`` returns the sentences that carry a
 document's score.
@@ -38,7 +38,7 @@ SALTS = 8
 SAMPLE_BYTES = 16_384
 MIN_DOCS = 4
 BEGINNINGS = (4, 5, 6)
-FLOOR = 0.1
+CLEAN = 256
 
 _ends = np.zeros(256, bool)
 _ends[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
@@ -121,6 +121,7 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = 200, rate: float = 0.
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     n_docs = len(toxic)
     share = np.where(toxic == 1, 0.5 / max((toxic == 1).sum(), 1), 0.5 / max((toxic == 0).sum(), 1)) * 0.5 + 0.5 / n_docs
+    share = np.where(toxic == 1, share, CLEAN * share)
     for step in range(1, steps + 1):
         z = bias + np.bincount(s, weights[w], n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -163,9 +164,8 @@ def sentence_odds(bag: WordBag, data: np.ndarray, offsets: np.ndarray) -> tuple[
 
 
 def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Scores of n bags from their sentences' log odds, less the floor."""
-    p = np.maximum(1 / (1 + np.exp(-np.clip(z, -60, 60))) - FLOOR, 0) / (1 - FLOOR)
-    return np.clip(0.0 - np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), n)), 0, 1)
+    """Scores of n bags from their sentences' log odds."""
+    return 0.0 - np.expm1(np.bincount(row, _log_safe(z), n))
 
 
 def document_scores(bag: WordBag, text: pa.Array) -> np.ndarray:

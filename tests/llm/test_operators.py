@@ -275,13 +275,31 @@ def test_token_digest_equals_the_library(odd):
     assert sorted(r.ids_crc32 for r in codec.token_file_digest(odd, P.path("word_bpe_49k.json")).collect()) == want
 
 
-def test_noisy_or_of_many_clean_sentences():
+def test_noisy_or_of_many_sentences():
     rows = np.repeat([0, 1, 2], [100_000, 3, 2])
-    z = np.concatenate([np.full(100_000, -5.0), [-5.0, 3.0, -9.0], [0.0, 0.0]])
-    p = np.maximum(1 / (1 + np.exp(-z)) - toxicity.FLOOR, 0) / (1 - toxicity.FLOOR)
+    z = np.concatenate([np.full(100_000, -14.0), [-5.0, 3.0, -9.0], [0.0, 0.0]])
+    p = 1 / (1 + np.exp(-z))
     plain = [1 - np.prod(1 - p[rows == k]) for k in range(3)]
     got = toxicity.noisy_or(z, rows, 3)
-    assert got == pytest.approx(plain) and got[0] == 0 and got[1] > 0.9
+    assert got == pytest.approx(plain) and got[0] < 0.1 and got[1] > 0.9 and got[2] == pytest.approx(0.75)
+    assert toxicity.noisy_or(np.full(1000, -2.2), np.zeros(1000, int), 1)[0] > 0.99  # weak signs in many sentences add up
+
+
+def _auc(y, score):
+    pairs = [(a > b) + 0.5 * (a == b) for a in score[y == 1] for b in score[y == 0]]
+    return sum(pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("sf, plain", [("sf0.01", 0.974), ("sf0.1", 0.9805)])
+def test_toxicity_held_out(spark, sf, plain):
+    """Ranks held-out texts no worse than a noisy-or without weights for clean bags (``plain``); long clean texts stay clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    bag = toxicity.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0 and toxic is not null").orderBy("doc_id").select("text", "toxic").toPandas()
+    score, y = toxicity.document_scores(bag, pa.array(held.text.tolist())), held.toxic.to_numpy()
+    assert _auc(y, score) >= plain and ((score >= 0.5) == y).mean() > 0.95
+    clean = held.text[(y == 0) & (score < 0.1)].tolist()[:100]
+    assert toxicity.document_scores(bag, pa.array(["\n".join(clean)]))[0] < 0.5
 
 
 def test_top_k_fails_on_what_a_long_cannot_hold(spark):
