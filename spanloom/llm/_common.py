@@ -55,11 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a table in the shared folder and read it again.
 
-    ``rows``, at most so many light rows, go to files of about 500,000.
+    ``rows``, at most so many light rows, go to files of about 500,000; they are
+    moved for it, so that an aggregate before them keeps all its tasks.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // 500_000)))).write.parquet(path)
+    (df if rows is None else df.repartition(max(1, -(-rows // 500_000)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -255,7 +255,13 @@ def _large(nodes: DataFrame) -> DataFrame:
     return written(sums.where(F.col("n") > SMALL).select(F.col("key").cast("string").alias("_key"), "n"), "near", nodes.count() * (COORDINATES // ROWS))
 
 
-def candidate_pairs(nodes: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
+def _in_large(nodes: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
+    """The rows of large buckets, narrow: key, node, band.  Written once, since every later step starts from them."""
+    met = attached(_members(nodes), "key", large, "_key", n_large, BROADCAST_NODES)
+    return written(met.where("n is not null").select("key", "node", "band"), "near")
+
+
+def candidate_pairs(nodes: DataFrame, large: DataFrame, n_large: int, in_large: DataFrame) -> DataFrame:
     """Pairs (a, b) to check first: all of buckets of up to ``SMALL`` nodes, each with the first node of larger ones.
 
     Sizes and first nodes are aggregated before rows meet them, so a large bucket
@@ -265,9 +271,8 @@ def candidate_pairs(nodes: DataFrame, large: DataFrame, n_large: int) -> DataFra
     small = met.where("n is null").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all")).where("size(all) > 1")
     small = small.select(F.explode(F.expr("transform(sequence(1, size(all) - 1), i -> struct(all[i] as b, slice(all, 1, i) as before))")).alias("x"))
     small = small.select(F.explode("x.before").alias("a"), F.col("x.b").alias("b"))
-    in_large = met.where("n is not null").select("key", "node")
     first = written(in_large.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("first")), "near", n_large)
-    star = attached(in_large, "key", first, "_key", n_large, BROADCAST_NODES).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    star = attached(in_large.select("key", "node"), "key", first, "_key", n_large, BROADCAST_NODES).select(F.col("first").alias("a"), F.col("node").alias("b"))
     return small.unionByName(star).where("a != b").distinct()
 
 
@@ -298,16 +303,24 @@ def agreeing(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], ra: np.ndarra
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def _open_rows(nodes: DataFrame, found: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
-    """Nodes of the large buckets that hold several classes: key, node, sig, bands, band (the key's), root, major (the largest class), n, few (nodes outside it)."""
-    rooted = attached(nodes, "node", found.withColumnRenamed("node", "_of"), "_of", found.count(), BROADCAST_NODES)
-    rooted = _members(rooted.withColumn("root", F.coalesce("root", "node")), "sig", "root", "bands")
-    rooted = attached(rooted, "key", large, "_key", n_large, BROADCAST_NODES).where("n is not null").drop("n")
+def _open_rows(nodes: DataFrame, found: DataFrame, in_large: DataFrame, n_large: int, last: bool) -> DataFrame:
+    """Nodes of the large buckets that hold several classes: key, node, sig, band (the key's), root, major (the largest class), n, few (nodes outside it); in the ``last`` round bands too.
+
+    Which buckets those are is found on keys and classes alone; signatures are
+    fetched once for each node that remains.
+    """
+    rooted = attached(in_large, "node", found.withColumnRenamed("node", "_of"), "_of", found.count(), BROADCAST_NODES)
+    rooted = written(rooted.withColumn("root", F.coalesce("root", "node")), "near")
     shares = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
     opened = shares.groupBy(F.col("key").alias("_key")).agg(F.sum("own").alias("n"), F.max(F.struct("own", "root")).alias("most"), F.count(F.lit(1)).alias("classes"))
     opened = opened.where("classes > 1").select("_key", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.own")).alias("few"))
     opened = written(opened, "near", n_large)
-    return attached(rooted, "key", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null")
+    rows = attached(rooted, "key", opened, "_key", opened.count(), BROADCAST_NODES).where("n is not null")
+    # at most one place for each band, so a node's list is short
+    of = written(rows.groupBy(F.col("node").alias("_of")).agg(F.any_value("root").alias("root"), F.collect_list(F.struct("key", "band", "major", "n", "few")).alias("places")), "near")
+    held = nodes.select("node", "sig", "bands") if last else nodes.select("node", "sig")
+    held = attached(held, "node", of, "_of", of.count(), BROADCAST_NODES).where("places is not null")
+    return written(held.withColumn("_p", F.explode("places")).select(*held.drop("places").columns, "_p.*"), "near")
 
 
 def _open_pairs(rows: DataFrame, nearest: int | None, least: float) -> DataFrame:
@@ -467,14 +480,15 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Da
     nodes = _nodes(docs, text_col)
     large = _large(nodes)
     n_large = large.count()
-    likely = written(_likely(candidate_pairs(nodes, large, n_large), nodes, least), "near")
+    in_large = _in_large(nodes, large, n_large)
+    likely = written(_likely(candidate_pairs(nodes, large, n_large, in_large), nodes, least), "near")
     # maxima are combined before the exchange, so a node with many candidates isn't gathered
     near = [likely.groupBy(x).agg(F.max(F.struct("same", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
     links = _checked(docs, text_col, written(near[0].union(near[1]).distinct(), "near", 2 * likely.count()), least)
     found = components(links, "a", "b")
     rest = _apart(likely, found)
     for nearest in (NEAREST, None):
-        more = _open_pairs(_open_rows(nodes, found, large, n_large), nearest, least)
+        more = _open_pairs(_open_rows(nodes, found, in_large, n_large, nearest is None), nearest, least)
         if nearest is not None:
             more = more.unionByName(rest).distinct()
         more = written(more, "near")
