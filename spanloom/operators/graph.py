@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import written
@@ -84,14 +84,41 @@ def exon_edges(exons: DataFrame, introns: DataFrame) -> DataFrame:
     return left.join(jn, ["contig", "strand", "l_stop"]).join(right, ["contig", "strand", "r_start"])
 
 
+def running_least(rows: DataFrame, keys: list[str], opens: Column, closes: Column, of_first: list[str], of_last: list[str]) -> DataFrame:
+    """Runs of consecutive ``nth`` from a row that opens to one that closes, with the least ``value`` of each.
+
+    Rows of an island without a gap in nth get the least of their next 1, 2, 4, ...
+    rows, each from the one before, so the least of a run is that of two overlapping
+    stretches: the work is in proportion to rows x log(island) and runs.  Result: keys,
+    first, last, least, and the named columns as first_... and last_...
+    """
+    w = Window.partitionBy(*keys).orderBy("nth")
+    rows = written(rows.withColumn("island", F.col("nth") - F.row_number().over(w)), "islands")
+    longest = rows.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    along = Window.partitionBy(*keys, "island").orderBy("nth")
+    # _k holds the least of 2 ** k rows from here on; shorter ones at an island's end aren't asked for
+    steps = rows.withColumn("_0", F.col("value"))
+    levels = max(0, int(longest - 1).bit_length() - 1) + 1
+    for k in range(1, levels):
+        steps = steps.withColumn(f"_{k}", F.least(f"_{k - 1}", F.lead(f"_{k - 1}", 1 << (k - 1)).over(along)))
+    steps = written(steps.select(*keys, "island", "nth", F.array(*[f"_{k}" for k in range(levels)]).alias("_least"), opens.alias("_opens"), closes.alias("_closes"), *sorted({*of_first, *of_last})), "least")
+    first = steps.where("_opens").select(*keys, "island", F.col("nth").alias("first"), F.col("_least").alias("_from"), *[F.col(c).alias(f"first_{c}") for c in of_first])
+    last = steps.where("_closes").select(*keys, "island", F.col("nth").alias("last"), *[F.col(c).alias(f"last_{c}") for c in of_last])
+    runs = first.join(last, [*keys, "island"]).where("last >= first")
+    runs = runs.withColumn("_k", F.floor(F.log2(F.col("last") - F.col("first") + 1) + 1e-9).cast("int"))
+    # the second stretch begins 2 ** k rows before the end
+    runs = runs.withColumn("_second", F.col("last") + 1 - F.expr("cast(shiftleft(1, _k) as long)"))
+    second = steps.select(*keys, F.col("nth").alias("_second"), F.col("_least").alias("_to"))
+    runs = runs.join(second, [*keys, "_second"])
+    least = F.least(F.element_at("_from", F.col("_k") + 1), F.element_at("_to", F.col("_k") + 1))
+    return runs.select(*keys, "first", "last", least.alias("least"), *[f"first_{c}" for c in of_first], *[f"last_{c}" for c in of_last])
+
+
 def exon_runs(segments: DataFrame, floor: float, keys: list[str]) -> DataFrame:
     """From each segment that opens, the runs that stay at ``floor`` or more up to a segment that closes.
 
     segments: keys, nth, value, opens, closes; only a segment under the floor or a gap in nth ends a run.
+    A null value ends no run and counts for nothing; a run of nulls alone isn't one.
     """
-    run = Window.partitionBy(*keys, "first").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    high = segments.where(F.coalesce(F.col("value") >= floor, F.lit(True)))
-    high = high.withColumn("island", F.col("nth") - F.row_number().over(Window.partitionBy(*keys).orderBy("nth")))
-    heads = high.where("opens").select(*keys, "island", F.col("nth").alias("first"))
-    path = heads.join(high, [*keys, "island"]).where("nth >= first").withColumn("least", F.min("value").over(run))
-    return path.where((F.col("least") >= floor) & F.col("closes")).select(*keys, "first", F.col("nth").alias("last"), "least")
+    high = segments.where(F.coalesce(F.col("value") >= floor, F.lit(True))).select(*keys, "nth", "value", "opens", "closes")
+    return running_least(high, keys, F.col("opens"), F.col("closes"), [], []).where(F.col("least") >= floor)

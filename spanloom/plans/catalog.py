@@ -360,7 +360,7 @@ def paths_dag(spark, d):
 RUNS = "s AS (SELECT o_custkey AS contig, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS nth, o_totalprice AS value, o_orderstatus = 'F' AS opens, o_orderstatus = 'O' AS closes FROM orders)"
 
 
-@query(f"WITH {RUNS}, w AS (SELECT a.contig, a.nth AS first, b.nth AS last, b.closes, min(c.value) AS least FROM s a JOIN s b ON a.contig = b.contig AND b.nth BETWEEN a.nth AND a.nth + 7 JOIN s c ON c.contig = a.contig AND c.nth BETWEEN a.nth AND b.nth WHERE a.opens GROUP BY ALL) SELECT contig, first, last, least FROM w WHERE closes AND least >= 20000")
+@query(f"WITH {RUNS}, w AS (SELECT a.contig, a.nth AS first, b.nth AS last, b.closes, min(c.value) AS least FROM s a JOIN s b ON a.contig = b.contig AND b.nth >= a.nth JOIN s c ON c.contig = a.contig AND c.nth BETWEEN a.nth AND b.nth WHERE a.opens GROUP BY ALL) SELECT contig, first, last, least FROM w WHERE closes AND least >= 20000")
 def exon_runs(spark, d):
     o = t(spark, d, "orders")
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
