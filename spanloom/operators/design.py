@@ -11,7 +11,7 @@ twice cumulated density.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import quant
@@ -105,23 +105,28 @@ def observed(blocks: DataFrame, segs: DataFrame, paired: bool = True, width: int
     return reads.groupBy("gene", F.col("_key").alias("bin")).agg(F.count(F.lit(1)).alias("observed"))
 
 
-def quantify(blocks: DataFrame, exons: DataFrame, density: dict[int, float], read: int, paired: bool = True) -> DataFrame:
-    """gene, transcript, share of the gene's fragments, effective length, FPKM.
+def quantify(blocks: DataFrame, exons: DataFrame, density: dict[int, float], read: int, paired: bool = True, with_bounds: bool = False, alpha: float = 0.025) -> DataFrame:
+    """gene, transcript, share of the gene's fragments, effective length, FPKM; where asked its bounds, and whether the transcript is identifiable.
 
     FPKM takes the share of all fragments in bins of the design: a gene's share
     times the transcript's within it.  Fragments in bins that no transcript of
     the gene can give are out of the gene and not counted.  Transcripts too short
-    for any fragment get no row.
+    for any fragment get no row.  A gene without fragments has null shares and an FPKM of 0.
     """
     segs = segments(exons)
     m = design(segs, density, read, paired)
     seen = observed(blocks, segs, paired)
     seen = seen.join(m.select("gene", "bin").distinct(), ["gene", "bin"])
     matrix = m.join(seen, ["gene", "bin"], "left").fillna(0, ["observed"])
-    freq = quant.estimate(matrix, "gene")
+    freq = quant.estimate(matrix, "gene", with_bounds, alpha)
     size = m.groupBy("gene", "transcript").agg(F.sum("expected").alias("effective"))
     gene = seen.groupBy("gene").agg(F.sum("observed").alias("fragments"))
     total = seen.agg(F.sum("observed").alias("_all"))  # one row
     out = freq.join(size, ["gene", "transcript"]).join(gene, "gene", "left").fillna(0, ["fragments"]).crossJoin(F.broadcast(total))
-    share = F.when(F.col("_all") > 0, F.col("fragments") / F.col("_all") * F.col("freq")).otherwise(0.0)
-    return out.select("gene", "transcript", "freq", "effective", "fragments", quant.fpkm(share, F.col("effective")).alias("fpkm"))
+
+    def scaled(share: str, name: str) -> Column:
+        part = F.when(F.col("fragments") > 0, F.col("fragments") / F.col("_all") * F.col(share)).otherwise(0.0)
+        return quant.fpkm(part, F.col("effective")).alias(name)
+
+    more = [scaled("lower", "fpkm_lo"), scaled("upper", "fpkm_hi"), F.col("identifiable")] if with_bounds else []
+    return out.select("gene", "transcript", "freq", "effective", "fragments", scaled("freq", "fpkm"), *more)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import intervals, splice
+from spanloom.operators import intervals, quant, splice
 from spanloom.plans.catalog import query, t
 from spanloom.session import written
 
@@ -153,3 +153,32 @@ def polya_match(spark, d):
     tr = _transcripts(spark, d)
     out = [splice.match_polyas(tr.where(F.col("strand") == s), both.where(F.col("side") == s)) for s in "+-"]
     return out[0].unionByName(out[1]).select("gene", "transcript", *_known("polya_start", "polya_stop"))
+
+
+#: half of the 97.5 % quantile of chi squared with one degree of freedom
+HALF_CHI2 = 2.5119431
+#: log likelihood at f of a list of (observed, first, second expected share)
+LL = "list_sum(list_transform(v, lambda x: x.o * ln({f} * x.a + (1 - {f}) * x.c)))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT l_partkey AS gene, l_linenumber AS bin, sum(l_quantity) AS o, CAST(1 + l_linenumber % 5 AS DOUBLE) AS a, CAST(1 + (l_linenumber * l_linenumber) % 4 AS DOUBLE) AS c FROM lineitem GROUP BY l_partkey, l_linenumber),
+  n AS (SELECT gene, bin, o, a / sum(a) OVER (PARTITION BY gene) AS a, c / sum(c) OVER (PARTITION BY gene) AS c FROM b),
+  l AS (SELECT gene, list({{'o': o, 'a': a, 'c': c}} ORDER BY bin) AS v FROM n GROUP BY gene),
+  it(gene, v, lo, hi, k) AS (SELECT gene, v, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), 0 FROM l
+    UNION ALL SELECT gene, v, CASE WHEN d > 0 THEN m ELSE lo END, CASE WHEN d > 0 THEN hi ELSE m END, k + 1
+    FROM (SELECT *, list_sum(list_transform(v, lambda x: x.o * (x.a - x.c) / (m * x.a + (1 - m) * x.c))) AS d FROM (SELECT *, (lo + hi) / 2 AS m FROM it WHERE k < 50))),
+  f AS (SELECT gene, v, list_max(list_transform(v, lambda x: abs(x.a - x.c))) < 1e-9 AS flat, CASE WHEN flat THEN 0.5 WHEN lo = 0 THEN 0 WHEN hi = 1 THEN 1 ELSE (lo + hi) / 2 END AS f FROM it WHERE k = 50),
+  g AS (SELECT *, {LL.format(f='f')} - {HALF_CHI2} AS least FROM f),
+  dn(gene, v, least, f, flat, good, bad, k) AS (SELECT gene, v, least, f, flat, f, CAST(0 AS DOUBLE), 0 FROM g
+    UNION ALL SELECT gene, v, least, f, flat, CASE WHEN {LL.format(f='m')} >= least THEN m ELSE good END, CASE WHEN {LL.format(f='m')} >= least THEN bad ELSE m END, k + 1 FROM (SELECT *, (good + bad) / 2 AS m FROM dn WHERE k < 45)),
+  up(gene, v, least, f, flat, good, bad, k) AS (SELECT gene, v, least, f, flat, f, CAST(1 AS DOUBLE), 0 FROM g
+    UNION ALL SELECT gene, v, least, f, flat, CASE WHEN {LL.format(f='m')} >= least THEN m ELSE good END, CASE WHEN {LL.format(f='m')} >= least THEN bad ELSE m END, k + 1 FROM (SELECT *, (good + bad) / 2 AS m FROM up WHERE k < 45))
+  SELECT dn.gene, round(dn.f, 3) AS freq, round(dn.good, 3) AS lower, round(up.good, 3) AS upper, NOT dn.flat AS identifiable FROM dn JOIN up ON dn.gene = up.gene WHERE dn.k = 45 AND up.k = 45""")
+def mle_bounds(spark, d):
+    """A part is a gene of two transcripts, its line numbers are bins; estimate and bounds of the first transcript."""
+    n = F.col("bin")
+    b = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("gene"), F.col("l_linenumber").alias("bin")).agg(F.sum("l_quantity").alias("observed"))
+    two = F.array(F.struct(F.lit(0).alias("transcript"), (1 + n % 5).alias("expected")), F.struct(F.lit(1).alias("transcript"), (1 + n * n % 4).alias("expected")))
+    cells = b.select("gene", "bin", "observed", F.explode(two).alias("x")).select("gene", "bin", "observed", "x.transcript", F.col("x.expected").cast("double").alias("expected"))
+    out = quant.estimate(cells, with_bounds=True).where("transcript = 0")
+    return out.select("gene", *[F.round(c, 3).alias(c) for c in ("freq", "lower", "upper")], "identifiable")
