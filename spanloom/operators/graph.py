@@ -50,13 +50,36 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 6
 def linkage_clusters(df: DataFrame, distance: int, keys: list[str], id_col: str = "id") -> DataFrame:
     """Single linkage under the larger of the start and stop differences: id -> cluster (smallest id).
 
-    Candidates meet by cells of ``distance`` + 1 in start, so only neighbours are compared.
+    Points lie in square cells of side ``distance`` + 1, so all of one cell are linked: each
+    gets one link, to the cell's smallest id.  Two cells that touch get at most one link
+    too, if any two of their points are close enough.  Side by side only the outermost
+    points matter; corner to corner a running least (or greatest) stop along starts finds
+    a pair.  So links and work are in proportion to the points, however dense.
     """
-    cell = F.expr(f"start div {distance + 1}")
-    left = df.select(*keys, F.col(id_col).alias("u"), F.col("start").alias("us"), F.col("stop").alias("ue"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-    right = df.select(*keys, F.col(id_col).alias("v"), F.col("start").alias("vs"), F.col("stop").alias("ve"), cell.alias("_cell"))
-    near = left.join(right, [*keys, "_cell"]).where(f"u <= v and abs(us - vs) <= {distance} and abs(ue - ve) <= {distance}")
-    return components(near.select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()).select(F.col("node").alias(id_col), F.col("root").alias("cluster"))
+    side = distance + 1
+    points = written(df.select(*keys, F.col(id_col).alias("id"), "start", "stop", *[F.expr(f"({c} - pmod({c}, {side})) div {side}").alias(n) for c, n in (("start", "cx"), ("stop", "cy"))]), "points")
+    cell = [*keys, "cx", "cy"]
+    by = lambda f, c: f(F.struct(c, "id"))
+    ends = written(points.groupBy(*cell).agg(F.min("id").alias("least"), *[by(f, c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("start", "stop")]), "cells")
+    links = points.join(ends.select(*cell, "least"), cell).select(F.col("id").alias("src"), F.col("least").alias("dst"))
+    for c, at in (("start", "cx"), ("stop", "cy")):
+        there = ends.select(*[F.col(k) - 1 if k == at else F.col(k) for k in cell], F.col(f"lo_{c}").alias("_q")).toDF(*cell, "_q")
+        pair = ends.select(*cell, F.col(f"hi_{c}").alias("_p")).join(there, cell).where(F.col("_q")[c] - F.col("_p")[c] <= distance)
+        links = links.unionByName(pair.select(F.col("_p.id").alias("src"), F.col("_q.id").alias("dst")))
+    for up, best in ((1, F.min), (-1, F.max)):
+        # cells at the next corner, by the place of the cell that asks
+        here = points.select(*cell, (F.col("start") + distance).alias("_at"), F.lit(1).alias("_asks"), "id", "stop", F.lit(None).cast(_struct(points)).alias("_q"))
+        there = points.select(*keys, (F.col("cx") - 1).alias("cx"), (F.col("cy") - up).alias("cy"), F.col("start").alias("_at"), F.lit(0).alias("_asks"), "id", "stop", F.struct("stop", "id").alias("_q"))
+        w = Window.partitionBy(*cell).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+        seen = here.unionByName(there).withColumn("_best", best("_q").over(w)).where("_asks = 1")
+        close = seen.where((F.col("_best.stop") - F.col("stop")) * up <= distance)
+        one = close.groupBy(*cell).agg(F.min(F.struct("id", F.col("_best.id").alias("other"))).alias("x"))
+        links = links.unionByName(one.select(F.col("x.id").alias("src"), F.col("x.other").alias("dst")))
+    return components(links).select(F.col("node").alias(id_col), F.col("root").alias("cluster"))
+
+
+def _struct(points: DataFrame):
+    return points.select(F.struct("stop", "id").alias("x")).schema["x"].dataType
 
 
 def dag_paths(spark, edges: DataFrame, starts: DataFrame, ends: DataFrame, max_level: int = 100) -> DataFrame:

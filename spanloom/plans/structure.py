@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import intervals, quant, splice
+from spanloom.operators import annotations, intervals, quant, splice
 from spanloom.plans.catalog import query, t
 from spanloom.session import written
 
@@ -182,3 +182,70 @@ def mle_bounds(spark, d):
     cells = b.select("gene", "bin", "observed", F.explode(two).alias("x")).select("gene", "bin", "observed", "x.transcript", F.col("x.expected").cast("double").alias("expected"))
     out = quant.estimate(cells, with_bounds=True).where("transcript = 0")
     return out.select("gene", *[F.round(c, 3).alias(c) for c in ("freq", "lower", "upper")], "identifiable")
+
+
+#: transcripts of orders: a line number is an exon; 64 orders share a contig; status F is the reference
+T_SQL = """WITH RECURSIVE e AS (SELECT l_orderkey AS tr, l_linenumber AS ln, 100 * l_linenumber + 10 * (min(l_suppkey) % 2) AS s, 100 * l_linenumber + 40 + 5 * (max(CAST(l_quantity AS BIGINT)) % 3) AS e FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  a AS (SELECT e.*, o_orderkey // 64 AS contig, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderstatus = 'F' AS ref, row_number() OVER w AS i, count(*) OVER (PARTITION BY tr) AS n, lead(s) OVER w - 1 AS nx, min(s) OVER (PARTITION BY tr) AS lo, max(e) OVER (PARTITION BY tr) AS hi FROM e JOIN orders ON o_orderkey = tr WINDOW w AS (PARTITION BY tr ORDER BY ln)),
+  ch AS (SELECT tr, contig, strand, ref, lo, hi, n, coalesce(string_agg(CASE WHEN nx IS NOT NULL THEN (e + 1) || '-' || nx END, ',' ORDER BY ln), '') AS chain FROM a GROUP BY ALL)"""
+
+
+def annotation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(reference, other) transcripts."""
+    e = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("transcript"), F.col("l_linenumber").alias("ln")).agg(F.min("l_suppkey").alias("s"), F.max(F.col("l_quantity").cast("long")).alias("q"))
+    exon = F.struct((100 * F.col("ln") + 10 * (F.col("s") % 2)).alias("start"), (100 * F.col("ln") + 40 + 5 * (F.col("q") % 3)).alias("stop"))
+    tr = e.groupBy("transcript").agg(F.array_sort(F.collect_list(exon)).alias("exons"))
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("transcript"), F.expr("o_orderkey div 64").alias("contig"), F.when(F.col("o_custkey") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("o_orderstatus") == "F").alias("ref"))
+    both = written(tr.join(o, "transcript"), "transcripts")
+    return both.where("ref").drop("ref"), both.where("not ref").drop("ref")
+
+
+@query(f"""{T_SQL}, el AS (SELECT DISTINCT ref, contig, strand, CASE WHEN n = 1 THEN 'Single Exon' WHEN i = 1 THEN CASE WHEN strand = '+' THEN 'TSS Exon' ELSE 'TES Exon' END WHEN i = n THEN CASE WHEN strand = '+' THEN 'TES Exon' ELSE 'TSS Exon' END ELSE 'Internal Exon' END AS class,
+    CASE WHEN n > 1 AND i = 1 THEN e ELSE s END AS inn, CASE WHEN n > 1 AND i = 1 THEN s ELSE e END AS outer_ FROM a UNION SELECT ref, contig, strand, 'Intron', e + 1, nx FROM a WHERE nx IS NOT NULL),
+  m AS (SELECT r.class, EXISTS (SELECT 1 FROM el x WHERE NOT x.ref AND x.class = r.class AND x.contig = r.contig AND x.strand = r.strand AND CASE WHEN r.class IN ('TSS Exon', 'TES Exon') THEN x.inn = r.inn AND abs(x.outer_ - r.outer_) < 10 WHEN r.class = 'Single Exon' THEN x.inn < r.inn + 10 AND x.outer_ + 10 > r.outer_ ELSE x.inn = r.inn AND x.outer_ = r.outer_ END) AS ok FROM el r WHERE r.ref),
+  c AS (SELECT class, CAST(count(*) FILTER (WHERE ref) AS BIGINT) AS n_ref, CAST(count(*) FILTER (WHERE NOT ref) AS BIGINT) AS n_new FROM el GROUP BY class),
+  f AS (SELECT c.class, n_ref, n_new, CAST((SELECT count(*) FROM m WHERE m.class = c.class AND ok) AS BIGINT) AS matched FROM c),
+  g AS (SELECT * FROM f UNION ALL SELECT 'Exon', CAST(sum(n_ref) AS BIGINT), CAST(sum(n_new) AS BIGINT), CAST(sum(matched) AS BIGINT) FROM f WHERE class IN ('Internal Exon', 'TSS Exon', 'TES Exon'))
+  SELECT class, n_ref, n_new, matched, round(matched / n_ref, 6) AS recall, round(matched / n_new, 6) AS precision FROM g""")
+def compare_elements(spark, d):
+    out = annotations.compare_elements(*annotation(spark, d), distance=10)
+    return out.select("class", "n_ref", "n_new", "matched", *[F.round(c, 6).alias(c) for c in ("recall", "precision")])
+
+
+@query(f"""{T_SQL}, p AS (SELECT l.tr, r.tr AS other FROM ch l JOIN ch r ON NOT l.ref AND r.ref AND l.contig = r.contig AND l.strand = r.strand AND l.chain = r.chain AND abs(l.lo - r.lo) < 10 AND abs(l.hi - r.hi) < 10),
+  eq AS (SELECT tr, min(other) AS other FROM p GROUP BY tr),
+  sh AS (SELECT l.tr, r.tr AS other, count(*) AS k FROM a l JOIN a r ON NOT l.ref AND r.ref AND l.contig = r.contig AND l.strand = r.strand AND l.e = r.e AND l.nx = r.nx GROUP BY ALL),
+  rk AS (SELECT sh.tr, sh.other, CASE WHEN y.n > x.n AND contains(',' || y.chain || ',', ',' || x.chain || ',') THEN 0 ELSE 1 END AS c, CASE WHEN c = 0 THEN y.n ELSE -k END AS v FROM sh JOIN ch x ON x.tr = sh.tr JOIN ch y ON y.tr = sh.other),
+  b AS (SELECT *, row_number() OVER (PARTITION BY tr ORDER BY c, v, other) AS nth FROM rk)
+  SELECT ch.tr AS transcript, CASE WHEN eq.tr IS NOT NULL THEN '=' WHEN b.c = 0 THEN 'c' WHEN b.c = 1 THEN 'j' ELSE 'u' END AS class, CAST(coalesce(eq.other, b.other, -1) AS BIGINT) AS match
+  FROM ch LEFT JOIN eq ON eq.tr = ch.tr LEFT JOIN b ON b.tr = ch.tr AND b.nth = 1 WHERE NOT ch.ref""")
+def transcript_classes(spark, d):
+    ref, new = annotation(spark, d)
+    return annotations.match_classes(new, ref, distance=10, partial=True).select("transcript", "class", *_known("match"))
+
+
+@query(f"""{T_SQL}, eq AS (SELECT ref, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM ch r WHERE r.ref <> l.ref AND l.contig = r.contig AND l.strand = r.strand AND l.chain = r.chain AND abs(l.lo - r.lo) < 10 AND abs(l.hi - r.hi) < 10)) AS m FROM ch l GROUP BY ref)
+  SELECT CAST(a.n AS BIGINT) AS n_ref, CAST(b.n AS BIGINT) AS n_new, CAST(a.m AS BIGINT) AS matched_ref, CAST(b.m AS BIGINT) AS matched_new, round(a.m / a.n, 6) AS recall, round(b.m / b.n, 6) AS precision FROM eq a JOIN eq b ON a.ref AND NOT b.ref""")
+def compare_transcripts(spark, d):
+    out = annotations.compare_transcripts(*annotation(spark, d), distance=10)
+    return out.select("n_ref", "n_new", "matched_ref", "matched_new", *[F.round(c, 6).alias(c) for c in ("recall", "precision")])
+
+
+@query(f"""{T_SQL}, ov AS (SELECT l.tr, r.tr AS ref, l.n AS ln, r.n AS rn, abs(l.lo - r.lo) + abs(l.hi - r.hi) AS off FROM ch l JOIN ch r ON NOT l.ref AND r.ref AND l.contig = r.contig AND l.strand = r.strand AND l.lo <= r.hi AND l.hi >= r.lo),
+  sh AS (SELECT l.tr, r.tr AS ref, count(*) AS k FROM a l JOIN a r ON NOT l.ref AND r.ref AND l.contig = r.contig AND l.strand = r.strand AND l.e = r.e AND l.nx = r.nx GROUP BY ALL),
+  b AS (SELECT ov.*, coalesce(k, 0) AS k, row_number() OVER (PARTITION BY ov.tr ORDER BY coalesce(k, 0) DESC, off, ov.ref) AS nth FROM ov LEFT JOIN sh ON sh.tr = ov.tr AND sh.ref = ov.ref)
+  SELECT tr AS transcript, ref, CASE WHEN ln = rn AND k = ln - 1 THEN '=' WHEN k = ln - 1 AND rn > ln THEN 'c' WHEN k > 0 THEN 'j' ELSE 'o' END AS code, CAST(k AS INTEGER) AS shared, CAST(off AS BIGINT) AS "offset" FROM b WHERE nth = 1""")
+def best_references(spark, d):
+    ref, new = annotation(spark, d)
+    return annotations.best_references(new, ref)
+
+
+@query(f"""{T_SQL}, nb AS (SELECT l.tr AS a, r.tr AS b FROM ch l JOIN ch r ON l.contig = r.contig AND l.strand = r.strand AND l.chain = r.chain AND abs(l.lo - r.lo) <= 5 AND abs(l.hi - r.hi) <= 5),
+  wk(id, root) AS (SELECT a, a FROM nb UNION SELECT nb.b, wk.root FROM wk JOIN nb ON nb.a = wk.id),
+  cl AS (SELECT id, min(root) AS cluster FROM wk GROUP BY id), bd AS (SELECT cluster, min(lo) AS lo, max(hi) AS hi, count(*) AS members FROM ch JOIN cl ON cl.id = ch.tr GROUP BY cluster)
+  SELECT cluster AS transcript, contig, strand, CAST(bd.lo AS BIGINT) AS start, CAST(bd.hi AS BIGINT) AS stop, chain, CAST(members AS BIGINT) AS members FROM bd JOIN ch ON ch.tr = bd.cluster""")
+def merged_transcripts(spark, d):
+    ref, new = annotation(spark, d)
+    out, _ = annotations.merged_transcripts(ref.unionByName(new), gap=5)
+    ends = [F.element_at("exons", 1)["start"].alias("start"), F.element_at("exons", -1)["stop"].alias("stop")]
+    return out.select("transcript", "contig", "strand", *ends, annotations.internal_key().alias("chain"), "members")
