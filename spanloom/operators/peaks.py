@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.stats import gamma_isf
+from spanloom.operators.intervals import overlap_join
+from spanloom.session import written
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,7 @@ def call_peaks(signal: np.ndarray, control: np.ndarray, rules: PeakRules = PeakR
     top, top_mean = max(c for *_, c in out), max(c / (b - a + 1) for a, b, c in out)
     return [
         (a, b, c) for a, b, c in out
-        if c >= rules.min_reads and rules.min_size <= b - a + 1 <= rules.max_size and c / top >= rules.min_share and c / (b - a + 1) / top_mean >= rules.min_share
+        if c >= rules.min_reads and rules.min_size <= b - a + 1 <= rules.max_size and c / top > rules.min_share and c / (b - a + 1) / top_mean > rules.min_share
     ]
 
 
@@ -159,3 +161,88 @@ def peaks_by_gene(signal: DataFrame, keys: list[str], rules: PeakRules = PeakRul
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start long, stop long, count double"
     return signal.groupBy(*keys).applyInPandas(run, schema)
+
+
+def per_base(runs: DataFrame, regions: DataFrame, width: int = 1024) -> DataFrame:
+    """(contig, strand, start, stop, value) runs over (gene, contig, strand, start, stop) regions -> gene, region, pos, value.
+
+    A row for every base of the regions; values that meet at a base add up, bases without one have 0.
+    """
+    bases = regions.select("gene", F.col("start").alias("region"), F.explode(F.sequence("start", "stop")).alias("pos"))
+    hit = overlap_join(regions.select("gene", "contig", "strand", "start", "stop"), runs.select("contig", "strand", "start", "stop", "value"), width)
+    hit = hit.select("gene", F.explode(F.sequence(F.greatest("start", "r_start"), F.least("stop", "r_stop"))).alias("pos"), F.col("r_value").cast("double").alias("value"))
+    return bases.join(hit.groupBy("gene", "pos").agg(F.sum("value").alias("value")), ["gene", "pos"], "left").fillna(0.0, ["value"]).select("gene", "region", "pos", "value")
+
+
+def smoothed(bases: DataFrame, keys: list[str], window: int = 10, flat_under: float | None = None) -> DataFrame:
+    """Moving mean of ``value`` inside each piece, zero beyond its ends; a piece of at most ``window`` bases, or with a
+    mean under ``flat_under``, gets its mean throughout."""
+    w = Window.partitionBy(*keys)
+    mean, n = F.avg("value").over(w), F.count(F.lit(1)).over(w)
+    flat = (n <= window) if flat_under is None else (n <= window) | (mean < flat_under)
+    return bases.withColumn("value", F.when(flat, mean).otherwise(moving_mean(keys, "pos", "value", window // 2, window - 1 - window // 2)))
+
+
+def _shares(bases: DataFrame, genes: DataFrame) -> DataFrame:
+    """Values as shares of their gene's sum, with a trace for every base from the gene's first to its last."""
+    size = genes.groupBy("gene").agg((F.max("stop") - F.min("start") + 1).alias("_n"))
+    total = bases.groupBy("gene").agg(F.sum("value").alias("_sum")).join(size, "gene")
+    return bases.join(total, "gene").select("gene", "pos", ((F.col("value") + 1e-12) / (F.col("_sum") + 1e-12 * F.col("_n"))).alias("control"))
+
+
+def region_control(coverage: DataFrame, regions: DataFrame, window: int = 10) -> DataFrame:
+    """gene, pos, control: read depth, smoothed inside each region of a gene, as shares of the gene's."""
+    return _shares(smoothed(per_base(coverage, regions), ["gene", "region"], window), regions)
+
+
+def end_control(fragments: DataFrame, segments: DataFrame, kind: str = "5p", window: int = 10, background: float = 0.01) -> DataFrame:
+    """gene, pos, control from the ends of RNA fragments: ``1 - background`` of them and a uniform rest.
+
+    fragments: gene, start, stop (of both mates together), weight; segments: gene, strand,
+    start, stop, which tile the gene.  ``5p`` takes a fragment's first base in the direction
+    of transcription, so its last one on the minus strand; ``3p`` the other.  Segments of few
+    ends are flat, others smoothed inside themselves.
+    """
+    if kind not in ("5p", "3p"):
+        raise ValueError(kind)
+    genes = segments.groupBy("gene").agg(F.any_value("strand").alias("strand"), F.min("start").alias("lo"), F.max("stop").alias("hi"))
+    low = (F.col("strand") == "+") if kind == "5p" else (F.col("strand") != "+")
+    placed = fragments.join(genes, "gene").select("gene", F.when(low, F.col("start")).otherwise(F.col("stop")).alias("pos"), "weight", "lo", "hi")
+    ends = placed.where("pos between lo and hi").groupBy("gene", "pos").agg(F.sum("weight").alias("n"))
+    many = fragments.groupBy("gene").agg(F.count(F.lit(1)).alias("_f")).join(genes, "gene").select("gene", (F.col("_f") * background / (F.col("hi") - F.col("lo") + 1)).alias("_even"))
+    bases = segments.select("gene", F.col("start").alias("region"), F.explode(F.sequence("start", "stop")).alias("pos"))
+    bases = bases.join(ends, ["gene", "pos"], "left").join(many, "gene", "left").fillna(0.0, ["n", "_even"])
+    bases = bases.select("gene", "region", "pos", (F.col("n") * (1 - background) + F.col("_even")).alias("value"))
+    return _shares(smoothed(bases, ["gene", "region"], window, 1 / window), segments)
+
+
+def peak_inputs(signal: DataFrame, control: DataFrame) -> DataFrame:
+    """(gene, pos, signal) weights of the assay's reads and (gene, pos, control) -> what ``peaks_by_gene`` reads."""
+    own = signal.groupBy("gene", "pos").agg(F.sum("signal").cast("double").alias("signal"))
+    return control.join(own, ["gene", "pos"], "left").select("gene", "pos", F.coalesce("signal", F.lit(0.0)).alias("signal"), "control")
+
+
+def window_maxima(bases: DataFrame, window: int, least: float, share: float = 0.0, keys: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """(keys, pos, value) for every base -> keys, start, stop, score: windows of ``window`` bases, best first, none on another.
+
+    The same as taking windows by score (ties: the later one) and dropping what overlaps one that
+    was taken; windows under ``least``, or under ``share`` of their group's best, aren't taken.  Done in
+    rounds: every window that beats all it overlaps is taken, what it overlaps goes.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("pos")
+    score = F.sum("value").over(w.rangeBetween(0, window - 1))
+    whole = F.max("pos").over(Window.partitionBy(*keys)) - F.col("pos") + 1 >= window
+    live = bases.select(*keys, "pos", F.round(score, 9).alias("score"), whole.alias("_whole")).where("_whole").drop("_whole")
+    top = F.max("score").over(Window.partitionBy(*keys))
+    live = written(live.withColumn("_top", top).where((F.col("score") >= least) & (F.col("score") >= share * F.col("_top"))).drop("_top"), "windows")
+    taken = live.limit(0)
+    around = w.rangeBetween(-(window - 1), window - 1)
+    while not live.isEmpty():
+        best = F.max(F.struct("score", "pos")).over(around)
+        marked = live.withColumn("_wins", best["pos"] == F.col("pos"))
+        near = F.max(F.col("_wins")).over(around)
+        marked = written(marked.withColumn("_near", near), "windows")
+        taken = taken.unionByName(marked.where("_wins").drop("_wins", "_near"))
+        live = marked.where("not _near").drop("_wins", "_near")
+    return taken.select(*keys, F.col("pos").alias("start"), (F.col("pos") + window - 1).alias("stop"), "score")

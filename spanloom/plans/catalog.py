@@ -319,12 +319,12 @@ def peak_islands(spark, d):
     return _peaks(spark, d)
 
 
-@query(f"{PK}, v AS (SELECT *, max(cnt) OVER (PARTITION BY contig, strand) AS top, max(cnt / (stop - start + 1)) OVER (PARTITION BY contig, strand) AS top_mean FROM pk) SELECT contig, strand, start, stop, cnt FROM v WHERE cnt >= 5 AND stop - start + 1 BETWEEN 3 AND 1000 AND cnt / top >= 0.05 AND cnt / (stop - start + 1) / top_mean >= 0.05")
+@query(f"{PK}, v AS (SELECT *, max(cnt) OVER (PARTITION BY contig, strand) AS top, max(cnt / (stop - start + 1)) OVER (PARTITION BY contig, strand) AS top_mean FROM pk) SELECT contig, strand, start, stop, cnt FROM v WHERE cnt >= 5 AND stop - start + 1 BETWEEN 3 AND 1000 AND cnt / top > 0.05 AND cnt / (stop - start + 1) / top_mean > 0.05")
 def peak_filter(spark, d):
     w = Window.partitionBy(*P)
     mean = F.col("cnt") / (F.col("stop") - F.col("start") + 1)
     v = _peaks(spark, d).withColumn("mean", mean).withColumn("top", F.max("cnt").over(w)).withColumn("top_mean", F.max("mean").over(w))
-    return v.where("cnt >= 5 and stop - start + 1 between 3 and 1000 and cnt / top >= 0.05 and mean / top_mean >= 0.05").select(*P, "start", "stop", "cnt")
+    return v.where("cnt >= 5 and stop - start + 1 between 3 and 1000 and cnt / top > 0.05 and mean / top_mean > 0.05").select(*P, "start", "stop", "cnt")
 
 
 @query(f"WITH {R_SQL}, c AS (SELECT contig, start AS pos, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT contig, pos, sum(n) OVER (PARTITION BY contig ORDER BY pos) AS run, n, sum(n) OVER (PARTITION BY contig) AS total FROM c) SELECT contig, min(pos) AS start, max(pos) AS stop FROM s WHERE run > 0.05 * total AND run - n < 0.95 * total GROUP BY contig")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import annotations, intervals, quant, splice
+from spanloom.operators import annotations, intervals, peaks, quant, splice
 from spanloom.plans.catalog import query, t
 from spanloom.session import written
 
@@ -249,3 +249,62 @@ def merged_transcripts(spark, d):
     out, _ = annotations.merged_transcripts(ref.unionByName(new), gap=5)
     ends = [F.element_at("exons", 1)["start"].alias("start"), F.element_at("exons", -1)["stop"].alias("stop")]
     return out.select("transcript", "contig", "strand", *ends, annotations.internal_key().alias("chain"), "members")
+
+
+#: regions are stretches of rows of one supplier and strand; a supplier's strand is a gene
+PK_SQL = """WITH RECURSIVE r AS (SELECT l_suppkey AS contig, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) + CAST(l_quantity AS BIGINT) - 1 AS e, l_returnflag AS flag FROM lineitem),
+  ia AS (SELECT *, max(e) OVER (PARTITION BY contig, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+  ib AS (SELECT *, sum(CASE WHEN before IS NULL OR s - before > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM ia),
+  rg AS (SELECT contig || strand AS gene, contig, strand, min(s) AS start, max(e) AS stop FROM ib GROUP BY contig, strand, isl),
+  bs AS (SELECT gene, contig, strand, start AS region, unnest(generate_series(start, stop)) AS pos FROM rg)"""
+
+
+def _regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    strand = F.when(F.col("l_linestatus") == "O", "+").otherwise("-")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long")
+    x = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("contig"), strand.alias("strand"), day.alias("start"), (day + F.col("l_quantity").cast("long") - 1).alias("stop"), F.col("l_returnflag").alias("flag"))
+    return x, intervals.flatten(x).withColumn("gene", F.concat("contig", "strand"))
+
+
+@query(f"""{PK_SQL}, dp AS (SELECT contig, strand, pos, sum(d) OVER (PARTITION BY contig, strand ORDER BY pos) AS v FROM (SELECT contig, strand, pos, sum(d) AS d FROM (SELECT contig, strand, s AS pos, 1 AS d FROM r UNION ALL SELECT contig, strand, e + 1, -1 FROM r) GROUP BY ALL)),
+  vb AS (SELECT bs.gene, region, bs.pos, CAST(coalesce(dp.v, 0) AS DOUBLE) AS v FROM bs ASOF LEFT JOIN dp ON dp.contig = bs.contig AND dp.strand = bs.strand AND dp.pos <= bs.pos),
+  sm AS (SELECT gene, pos, CASE WHEN count(*) OVER p <= 10 THEN avg(v) OVER p ELSE sum(v) OVER (PARTITION BY gene, region ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 END AS v FROM vb WINDOW p AS (PARTITION BY gene, region)),
+  tt AS (SELECT gene, sum(v) AS total FROM sm GROUP BY gene), ln AS (SELECT gene, max(stop) - min(start) + 1 AS n FROM rg GROUP BY gene)
+  SELECT gene, pos, round((v + 1e-12) / (total + 1e-12 * n), 9) AS control FROM sm JOIN tt USING (gene) JOIN ln USING (gene)""")
+def peak_control_region(spark, d):
+    x, regions = _regions(spark, d)
+    depth = intervals.coverage(x).where("depth > 0").withColumnRenamed("depth", "value")
+    return peaks.region_control(depth, regions).withColumn("control", F.round("control", 9))
+
+
+@query(f"""{PK_SQL}, nd AS (SELECT contig || strand AS gene, CASE WHEN strand = '+' THEN s ELSE e END AS pos, count(*) AS n FROM r WHERE flag <> 'R' GROUP BY ALL), nf AS (SELECT gene, sum(n) AS f FROM nd GROUP BY gene),
+  ln AS (SELECT gene, max(stop) - min(start) + 1 AS n FROM rg GROUP BY gene),
+  vb AS (SELECT bs.gene, region, bs.pos, coalesce(nd.n, 0) * 0.99 + coalesce(f, 0) * 0.01 / ln.n AS v FROM bs JOIN ln USING (gene) LEFT JOIN nf USING (gene) LEFT JOIN nd ON nd.gene = bs.gene AND nd.pos = bs.pos),
+  sm AS (SELECT gene, pos, CASE WHEN count(*) OVER p <= 10 OR avg(v) OVER p < 0.1 THEN avg(v) OVER p ELSE sum(v) OVER (PARTITION BY gene, region ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 END AS v FROM vb WINDOW p AS (PARTITION BY gene, region)),
+  tt AS (SELECT gene, sum(v) AS total FROM sm GROUP BY gene)
+  SELECT gene, pos, round((v + 1e-12) / (total + 1e-12 * n), 9) AS control FROM sm JOIN tt USING (gene) JOIN ln USING (gene)""")
+def peak_control_ends(spark, d):
+    x, regions = _regions(spark, d)
+    fragments = x.where("flag <> 'R'").select(F.concat("contig", "strand").alias("gene"), "start", "stop", F.lit(1.0).alias("weight"))
+    return peaks.end_control(fragments, regions).withColumn("control", F.round("control", 9))
+
+
+@query()
+def peak_calls(spark, d):
+    """Where a text has unusually many digits: a document is a gene, 16 characters are a base, all its characters the control."""
+    n = F.ceil(F.length("text") / 16).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 16 + 1, F.lit(16)))
+    docs = t(spark, d, "documents").where("length(text) > 0").select("doc_id", F.posexplode(parts).alias("pos", "part"))
+    digits = F.length(F.regexp_replace("part", "[^0-9]", "")).cast("double")
+    bases = docs.select(F.col("doc_id").alias("gene"), F.col("pos").cast("long").alias("pos"), digits.alias("signal"), F.length("part").cast("double").alias("control"))
+    # genes without a signal have no peak
+    some = bases.groupBy("gene").agg(F.sum("signal").alias("n")).where("n > 0").select("gene")
+    return peaks.peaks_by_gene(bases.join(some, "gene", "left_semi"), ["gene"], peaks.PeakRules(min_size=1, merge_abs=2))
+
+
+#: windows of five days with the most rows of a supplier, none on another: the greedy choice is recursive, so SQL isn't given
+@query()
+def peak_windows(spark, d):
+    x, regions = _regions(spark, d)
+    starts = x.groupBy("contig", "strand", "start").agg(F.count(F.lit(1)).alias("value")).withColumn("stop", F.col("start"))
+    return peaks.window_maxima(peaks.per_base(starts, regions), 5, 3.0)
