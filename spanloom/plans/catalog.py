@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import seq
-from spanloom.operators import graph, intervals, peaks, quant, reads
+from spanloom.operators import coordinates, graph, intervals, peaks, quant, reads
 from spanloom.session import written
 from spanloom.streaming.incremental import session_islands
 
@@ -493,42 +493,42 @@ def sample_distinct(spark, d):
 DNA_SQL = "s AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS dna FROM documents)"
 
 
-def _dna(spark, d):
+def dna(spark, d):
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     return t(spark, d, "documents").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("dna"))
 
 
 @query(f"WITH {DNA_SQL} SELECT doc_id, md5(translate(reverse(dna), 'ACGTNacgtn', 'TGCANtgcan')) AS rc FROM s")
 def seq_revcomp(spark, d):
-    return _dna(spark, d).select("doc_id", F.md5(seq.reverse_complement(F.col("dna"))).alias("rc"))
+    return dna(spark, d).select("doc_id", F.md5(seq.reverse_complement(F.col("dna"))).alias("rc"))
 
 
 @query(f"WITH {DNA_SQL} SELECT doc_id, CAST(len(regexp_extract_all(dna, 'ATG')) AS INTEGER) AS atg, CAST(len(regexp_extract_all(dna, 'TA[AG]|TGA')) AS INTEGER) AS stops FROM s")
 def seq_find_all(spark, d):
-    return _dna(spark, d).select("doc_id", F.regexp_count("dna", F.lit("ATG")).alias("atg"), F.regexp_count("dna", F.lit("TA[AG]|TGA")).alias("stops"))
+    return dna(spark, d).select("doc_id", F.regexp_count("dna", F.lit("ATG")).alias("atg"), F.regexp_count("dna", F.lit("TA[AG]|TGA")).alias("stops"))
 
 
 @query(f"""WITH {DNA_SQL}, c AS (SELECT doc_id, dna, list_transform(range(0, len(dna) // 3), lambda i: dna[3 * i + 1 : 3 * i + 3]) AS codons FROM s)
   SELECT doc_id, md5(array_to_string(list_transform(codons, lambda c: 'FFLLSSSSYY__CC_WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[(instr('TCAG', c[1]) - 1) * 16 + (instr('TCAG', c[2]) - 1) * 4 + instr('TCAG', c[3])]), '')) AS protein FROM c""")
 def seq_translate(spark, d):
-    return _dna(spark, d).select("doc_id", F.md5(seq.translate(F.col("dna"))).alias("protein"))
+    return dna(spark, d).select("doc_id", F.md5(seq.translate(F.col("dna"))).alias("protein"))
 
 
-@query()
-def seq_orfs(spark, d):
-    def run(it):
-        import pandas as pd
+#: reading frames of sequences s(doc_id, dna): codons of each frame, cut at stops
+ORF_SQL = """fr AS (SELECT doc_id, k AS frame, list_transform(range(0, (len(dna) - k) // 3), lambda i: dna[3 * i + 1 + k : 3 * i + 3 + k]) AS codons FROM s, (SELECT unnest([0, 1, 2]) AS k)),
+  cd AS (SELECT doc_id, frame, unnest(range(len(codons))) AS i, unnest(codons) AS c FROM fr),
+  ru AS (SELECT *, count(*) FILTER (WHERE c IN ('TAG', 'TAA', 'TGA')) OVER (PARTITION BY doc_id, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM cd),
+  orf AS (SELECT doc_id, CAST(frame AS INTEGER) AS frame, CAST(frame + 3 * min(CASE WHEN c = 'ATG' THEN i END) AS BIGINT) AS start, CAST(frame + 3 * max(CASE WHEN c IN ('TAG', 'TAA', 'TGA') THEN i END) AS BIGINT) AS stop FROM ru GROUP BY doc_id, frame, run HAVING stop - start >= 60)"""
 
-        for pdf in it:
-            rows = [(i, *o) for i, s in zip(pdf.doc_id, pdf.dna) for o in seq.orfs(s, 20)]
-            yield pd.DataFrame(rows, columns=["doc_id", "frame", "start", "stop"])
 
-    return _dna(spark, d).mapInPandas(run, "doc_id long, frame int, start long, stop long")
+@query(f"WITH {DNA_SQL}, {ORF_SQL} SELECT * FROM orf")
+def seq_orfs(spark, d):
+    return coordinates.reading_frames(dna(spark, d), "doc_id", "dna", 20)
 
 
 @query(f"WITH {DNA_SQL} SELECT doc_id, CASE WHEN substr(dna, 1, 2) = 'GT' AND right(dna, 2) = 'AG' THEN '+' WHEN substr(dna, 1, 2) = 'CT' AND right(dna, 2) = 'AC' THEN '-' ELSE '.' END AS strand FROM s")
 def seq_splice_class(spark, d):
-    return _dna(spark, d).select("doc_id", seq.splice_class(F.substring("dna", 1, 2), F.expr("right(dna, 2)")).alias("strand"))
+    return dna(spark, d).select("doc_id", seq.splice_class(F.substring("dna", 1, 2), F.expr("right(dna, 2)")).alias("strand"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS INTEGER) AS n FROM events")

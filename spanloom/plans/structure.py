@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import annotations, intervals, peaks, quant, splice
-from spanloom.plans.catalog import query, t
+from spanloom.operators import annotations, coordinates, intervals, peaks, quant, splice
+from spanloom.plans.catalog import DNA_SQL, ORF_SQL, dna, query, t
 from spanloom.session import written
 
 DAY = "CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT)"
@@ -308,3 +308,43 @@ def peak_windows(spark, d):
     x, regions = _regions(spark, d)
     starts = x.groupBy("contig", "strand", "start").agg(F.count(F.lit(1)).alias("value")).withColumn("stop", F.col("start"))
     return peaks.window_maxima(peaks.per_base(starts, regions), 5, 3.0)
+
+
+CO_SQL = f"""{T_SQL}, cu AS (SELECT *, coalesce(sum(e - s + 1) OVER (PARTITION BY tr ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(e - s + 1) OVER (PARTITION BY tr) AS total FROM a),
+  pk AS (SELECT *, tr * 7 % total AS p, CASE WHEN strand = '-' THEN total - 1 - tr * 7 % total ELSE tr * 7 % total END AS q FROM cu)"""
+
+
+@query(f"{CO_SQL} SELECT tr AS transcript, CAST(total AS BIGINT) AS length, CAST(s + p - before AS BIGINT) AS genome, CAST(p AS BIGINT) AS back, CAST((SELECT x.s + x.q - x.before FROM pk x WHERE x.tr = pk.tr AND x.q BETWEEN x.before AND x.before + x.e - x.s) AS BIGINT) AS stranded FROM pk WHERE p BETWEEN before AND before + e - s")
+def coordinate_maps(spark, d):
+    """A spliced position of each transcript on the genome, and back, and read from the 5' end."""
+    ref, new = annotation(spark, d)
+    n = coordinates.spliced_length()
+    both = ref.unionByName(new).withColumn("length", n).withColumn("p", F.col("transcript") * 7 % F.col("length"))
+    out = both.withColumn("genome", coordinates.genome_position(F.col("p")))
+    return out.select("transcript", "length", "genome", coordinates.spliced_position(F.col("genome")).alias("back"), coordinates.genome_position(F.col("p"), "exons", F.col("strand")).alias("stranded"))
+
+
+@query(f"""{T_SQL}, cz AS (SELECT *, lo + 17 AS cs, hi - 23 AS ce FROM a), pc AS (SELECT *, lo AS a1 FROM cz),
+  pt AS (SELECT tr, strand, 'exon' AS feature, s AS start, e AS stop, -1 AS frame FROM pc
+    UNION ALL SELECT tr, strand, CASE WHEN strand = '+' THEN 'five_prime_UTR' ELSE 'three_prime_UTR' END, s, least(e, cs - 1), -1 FROM pc WHERE s < cs
+    UNION ALL SELECT tr, strand, CASE WHEN strand = '+' THEN 'three_prime_UTR' ELSE 'five_prime_UTR' END, greatest(s, ce + 1), e, -1 FROM pc WHERE e > ce
+    UNION ALL SELECT tr, strand, 'CDS', greatest(s, cs), least(e, ce), coalesce(sum(least(e, ce) - greatest(s, cs) + 1) OVER (PARTITION BY tr ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3 FROM pc WHERE e >= cs AND s <= ce)
+  SELECT tr AS transcript, strand, CAST(row_number() OVER (PARTITION BY tr ORDER BY CASE WHEN strand = '-' THEN -1 ELSE 1 END * CASE feature WHEN 'five_prime_UTR' THEN 2 WHEN 'exon' THEN 3 WHEN 'CDS' THEN 4 ELSE 5 END, -start) - 1 AS INTEGER) AS nth, feature, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CAST(frame AS INTEGER) AS frame FROM pt""")
+def annotation_lines(spark, d):
+    ref, new = annotation(spark, d)
+    first, last = F.element_at("exons", 1)["start"], F.element_at("exons", -1)["stop"]
+    coded = ref.unionByName(new).select("transcript", "strand", "exons", (first + 17).alias("cds_start"), (last - 23).alias("cds_stop"))
+    return coordinates.feature_rows(coded).withColumn("frame", F.coalesce("frame", F.lit(-1)))
+
+
+@query(f"""WITH {DNA_SQL}, {ORF_SQL}, ln AS (SELECT doc_id, len(dna) AS n FROM s), tp AS (SELECT orf.*, n, max(stop - start) OVER (PARTITION BY orf.doc_id) AS top FROM orf JOIN ln ON ln.doc_id = orf.doc_id),
+  nb AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS many, row_number() OVER (PARTITION BY doc_id ORDER BY frame, start) AS k FROM tp WHERE stop - start = top),
+  lp AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN n - 1 - (stop + 2) ELSE start END AS p, CASE WHEN doc_id % 2 = 1 THEN n - 1 - start ELSE stop + 2 END AS q FROM nb)
+  SELECT doc_id AS transcript, CASE WHEN many > 1 THEN doc_id || '_CDS' || k ELSE CAST(doc_id AS VARCHAR) END AS cds, frame, CAST(100 + p + CASE WHEN p >= n // 2 THEN 50 ELSE 0 END AS BIGINT) AS cds_start, CAST(100 + q + CASE WHEN q >= n // 2 THEN 50 ELSE 0 END AS BIGINT) AS cds_stop, CAST((stop - start) // 3 AS BIGINT) AS length FROM lp""")
+def orf_annotate(spark, d):
+    """Texts as spliced transcripts of two exons from position 100, with an intron of 50; odd ones on the minus strand."""
+    n = F.length("dna").cast("long")
+    half = F.expr("length(dna) div 2")
+    exons = F.array(F.struct(F.lit(100).cast("long").alias("start"), (99 + half).alias("stop")), F.struct((150 + half).alias("start"), (149 + n).alias("stop")))
+    tr = dna(spark, d).where("length(dna) > 1").select(F.col("doc_id").alias("transcript"), F.when(F.col("doc_id") % 2 == 1, "-").otherwise("+").alias("strand"), exons.alias("exons"), F.col("dna").alias("sequence"))
+    return coordinates.coding_regions(tr, 20, only_longest=True)
