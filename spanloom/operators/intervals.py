@@ -1,101 +1,195 @@
-"""Interval algebra on (contig, strand, start, stop), closed at both ends."""
+"""Interval algebra on (contig, strand, start, stop), closed at both ends.
+
+Whatever runs along a contig is done in two levels: positions fall in tiles of
+``TILE``, each tile is worked on by itself, and what it needs from the tiles before or
+behind it (a sum, a greatest stop, a last value) comes from a table of one row for each
+tile.  Rows are aggregated by position before that, so a task sorts at most the
+positions of a few tiles, however many rows a contig or a position has.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import written
+
 PLACE = ["contig", "strand"]
+TILE = 1 << 16
+#: ratio of neighbouring bin widths of the overlap join
+STEP = 8
+
+
+def _tiled(df: DataFrame, col: str, tile: int) -> DataFrame:
+    return df.withColumn("_tile", F.expr(f"({col} - pmod({col}, {tile})) div {tile}"))
+
+
+def _with(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join with a table of unique keys, where null equals null."""
+    named = table.toDF(*[f"_on_{c}" if c in on else c for c in table.columns])
+    cond = [rows[c].eqNullSafe(named[f"_on_{c}"]) for c in on]
+    return rows.join(named, cond, "left").drop(*[f"_on_{c}" for c in on])
+
+
+def _carry(rows: DataFrame, keys: list[str], before: dict[str, tuple[Column, str]] | None = None, behind: dict[str, Column] | None = None) -> DataFrame:
+    """rows with what all tiles before theirs (``max``, ``sum`` or ``last`` of an aggregate), or the next one, have."""
+    before, behind = before or {}, behind or {}
+    sums = rows.groupBy(*keys, "_tile").agg(*[agg.alias(n) for n, (agg, _) in before.items()], *[agg.alias(n) for n, agg in behind.items()])
+    w = Window.partitionBy(*keys).orderBy("_tile")
+    past, next_ = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    over = {"max": lambda n: F.max(n).over(past), "sum": lambda n: F.coalesce(F.sum(n).over(past), F.lit(0)), "last": lambda n: F.last(n, ignorenulls=True).over(past)}
+    cols = [over[how](n).alias(n) for n, (_, how) in before.items()] + [F.first(n, ignorenulls=True).over(next_).alias(n) for n in behind]
+    return _with(rows, sums.select(*keys, "_tile", *cols), [*keys, "_tile"])
 
 
-def islands(df: DataFrame, gap: int, keys: list[str] | None = None) -> DataFrame:
-    """Number the groups of intervals whose distance to the running end is at most ``gap``."""
+def _numbered(starts: DataFrame, gap: int, keys: list[str], tile: int) -> DataFrame:
+    """(keys, start, stop), one row for each start -> with the number of its island."""
+    t = _carry(_tiled(starts, "start", tile), keys, {"_far": (F.max("stop"), "max")})
+    w = Window.partitionBy(*keys, "_tile").orderBy("start")
+    before = F.greatest(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    t = t.withColumn("_new", F.when(before.isNull() | (F.col("start") - before > gap), 1).otherwise(0)).drop("_far")
+    t = _carry(t, keys, {"_all": (F.sum("_new"), "sum")})
+    running = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return t.withColumn("island", F.col("_all") + running).drop("_new", "_all", "_tile")
+
+
+def islands(df: DataFrame, gap: int, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """Number the groups of intervals whose distance to the running end is at most ``gap`` (0 or more).
+
+    Intervals of one start are always in one group, so starts are numbered and rows take their start's number.
+    """
     keys = keys or PLACE
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") - before > gap), 1).otherwise(0)
-    running = Window.partitionBy(*keys).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(running)).drop("_new")
+    numbers = _numbered(df.groupBy(*keys, "start").agg(F.max("stop").alias("stop")), gap, keys, tile)
+    return _with(df, numbers.select(*keys, "start", "island"), [*keys, "start"])
 
 
-def merge_gaps(df: DataFrame, gap: int, keys: list[str] | None = None) -> DataFrame:
+def merge_gaps(df: DataFrame, gap: int, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """One interval for each island, with the number of its members."""
     keys = keys or PLACE
-    out = islands(df, gap, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("members"))
+    starts = df.groupBy(*keys, "start").agg(F.max("stop").alias("stop"), F.count(F.lit(1)).alias("_n"))
+    out = _numbered(starts, gap, keys, tile).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("_n").alias("members"))
     return out.drop("island")
 
 
-def flatten(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def flatten(df: DataFrame, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Union of overlapping or adjacent intervals."""
-    return merge_gaps(df, 1, keys)
+    return merge_gaps(df, 1, keys, tile)
+
+
+def _levels(left: DataFrame, right: DataFrame, width: int) -> tuple[int, int]:
+    """Greatest level of either side; level k has bins of ``width`` * ``STEP`` ** k, and intervals of at most that length."""
+    size = lambda df: df.agg(F.max(F.col("stop") - F.col("start")).alias("m"))
+    found = size(left).withColumn("s", F.lit(0)).unionByName(size(right).withColumn("s", F.lit(1))).collect()  # two rows
+    out = [0, 0]
+    for r in found:
+        k = 0
+        while r.m is not None and r.m >= width * STEP**k:
+            k += 1
+        out[r.s] = k
+    return out[0], out[1]
+
+
+def _binned(df: DataFrame, start: str, stop: str, width: int, top: int, other: int) -> DataFrame:
+    """One row for each bin of an interval at its own level and at all higher ones up to the other side's greatest."""
+    size = F.col(stop) - F.col(start)
+    own = F.lit(top)
+    for k in range(top - 1, -1, -1):
+        own = F.when(size < width * STEP**k, F.lit(k)).otherwise(own)
 
+    def cells(k: int) -> Column:
+        wide = width * STEP**k
+        live = (own == k) | ((own < k) & F.lit(k <= other))
+        every = F.sequence(*[F.expr(f"({c} - pmod({c}, {wide})) div {wide}") for c in (start, stop)])
+        return F.when(live, F.transform(every, lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"), (own == k).alias("own"))))
 
-def _bins(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"stop div {width}"))))
+    each = [cells(k) for k in range(max(top, other) + 1)]
+    none = F.array().cast("array<struct<level:int,bin:bigint,own:boolean>>")
+    every = F.concat(*[F.coalesce(x.cast("array<struct<level:int,bin:bigint,own:boolean>>"), none) for x in each]) if len(each) > 1 else each[0]
+    return df.withColumn("_b", F.explode(every))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int = 64, how: str = "inner", extra: Column | None = None) -> DataFrame:
-    """Range join by fixed bins: an equi-join on (contig, strand, bin), then the overlap test.
+    """Range join by bins: an equi-join on (contig, strand, level, bin), then the overlap test.
 
-    A pair that shares several bins is kept in its first one only.  Columns of
-    the right side get the prefix ``r_``.  ``how`` may be inner, left_semi or left_anti.
+    An interval lies in bins as wide as itself, two at most, at the level of its size, and two
+    at each higher level that the other side has: a pair meets at the level of its longer one.
+    So a long interval isn't cut in many bins.  A pair that shares several bins is kept
+    in its first one only.  Columns of the right side get the prefix ``r_``.  ``how`` may be inner,
+    left_semi or left_anti.
     """
+    top, other = _levels(left, right, width)
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    rb = r.withColumn("_rbin", F.explode(F.sequence(F.expr(f"r_start div {width}"), F.expr(f"r_stop div {width}"))))
+    rb = _binned(r, "r_start", "r_stop", width, other, top).withColumnRenamed("_b", "_rb")
     meets = (F.col("start") <= F.col("r_stop")) & (F.col("stop") >= F.col("r_start"))
     if extra is not None:
         meets = meets & extra
-    on = (F.col("contig") == F.col("r_contig")) & (F.col("strand") == F.col("r_strand")) & (F.col("_bin") == F.col("_rbin")) & meets
+    on = (F.col("contig") == F.col("r_contig")) & (F.col("strand") == F.col("r_strand")) & (F.col("_b.level") == F.col("_rb.level")) & (F.col("_b.bin") == F.col("_rb.bin"))
+    on = on & (F.col("_b.own") | F.col("_rb.own")) & meets
     if how == "inner":
-        first = F.greatest(F.expr(f"start div {width}"), F.expr(f"r_start div {width}")) == F.col("_bin")
-        return _bins(left, width).join(rb, on & first).drop("_bin", "_rbin", "r_contig", "r_strand")
+        wide = F.lit(width).cast("long") * F.pow(F.lit(STEP), F.col("_b.level")).cast("long")
+        later = F.greatest("start", "r_start")
+        first = F.col("_b.bin") * wide <= later
+        first = first & (later < (F.col("_b.bin") + 1) * wide)
+        return _binned(left, "start", "stop", width, top, other).join(rb, on & first).drop("_b", "_rb", "r_contig", "r_strand")
     # a row meets nothing exactly if none of its bins does; equal rows are rows of their own
     own = left.withColumn("_own", F.monotonically_increasing_id())
-    hit = _bins(own, width).join(rb, on, "left_semi").dropDuplicates(["_own"]).drop("_bin", "_own")
     if how == "left_semi":
-        return hit
-    hit = hit.distinct()
-    return left.join(hit, [left[c].eqNullSafe(hit[c]) for c in left.columns], "left_anti")
+        return _binned(own, "start", "stop", width, top, other).join(rb, on, "left_semi").dropDuplicates(["_own"]).drop("_b", "_own")
+    own = written(own, "left")  # the numbers must be the same in both uses
+    hit = _binned(own, "start", "stop", width, top, other).join(rb, on, "left_semi").select("_own").distinct()
+    return own.join(hit, "_own", "left_anti").select(*left.columns)
 
 
 def contains_join(inner: DataFrame, outer: DataFrame, width: int = 64) -> DataFrame:
     return overlap_join(inner, outer, width, extra=(F.col("start") >= F.col("r_start")) & (F.col("stop") <= F.col("r_stop")))
 
 
-def locate(points: DataFrame, segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """As-of: for each point (``pos``) the last segment start at or before it."""
+def locate(points: DataFrame, segments: DataFrame, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """As-of: for each point (``pos``, ``id``) the last segment start at or before it, null where there is none."""
     keys = keys or PLACE
-    marks = segments.select(*keys, F.col("start").alias("pos"), F.col("start").alias("segment"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("id"))
-    probes = points.select(*keys, "pos", F.lit(None).cast("long").alias("segment"), F.lit(1).alias("_side"), "id")
-    w = Window.partitionBy(*keys).orderBy("pos", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(probes).withColumn("segment", F.last("segment", ignorenulls=True).over(w))
-    return both.where("_side = 1").drop("_side")
+    marks = segments.select(*keys, F.col("start").alias("pos"), F.col("start").alias("segment"))
+    both = marks.unionByName(points.select(*keys, "pos").withColumn("segment", F.lit(None).cast(marks.schema["segment"].dataType)))
+    # one row for each position: it is its own mark, or has none
+    both = _tiled(both.groupBy(*keys, "pos").agg(F.max("segment").alias("segment")), "pos", tile)
+    both = _carry(both, keys, {"_past": (F.max("segment"), "max")})
+    w = Window.partitionBy(*keys, "_tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = both.select(*keys, "pos", F.coalesce(F.max("segment").over(w), F.col("_past")).alias("segment"))
+    return _with(points.select(*keys, "pos", "id"), at, [*keys, "pos"]).select(*keys, "pos", "segment", "id")
 
 
-def tiles(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def tiles(df: DataFrame, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Cut at every boundary: consecutive segments between distinct starts and ends."""
     keys = keys or PLACE
     cuts = df.select(*keys, F.explode(F.array(F.col("start"), F.col("stop") + 1)).alias("start")).distinct()
-    nxt = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
-    return cuts.withColumn("stop", nxt - 1).where("stop is not null")
+    cuts = _carry(_tiled(cuts, "start", tile), keys, behind={"_next": F.min("start")})
+    nxt = F.coalesce(F.lead("start").over(Window.partitionBy(*keys, "_tile").orderBy("start")), F.col("_next"))
+    return cuts.withColumn("stop", nxt - 1).where("stop is not null").drop("_tile", "_next")
 
 
-def coverage(df: DataFrame, weight: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+def coverage(df: DataFrame, weight: Column | None = None, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Sweep line: runs of constant depth, from +1 at each start and -1 behind each stop."""
     keys = keys or PLACE
     one = weight if weight is not None else F.lit(1).cast("long")
     steps = df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), one.alias("d")), F.struct((F.col("stop") + 1).alias("pos"), (-one).alias("d")))).alias("s"))
     steps = steps.groupBy(*keys, F.col("s.pos").alias("start")).agg(F.sum("s.d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("start")
-    out = steps.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stop", F.lead("start").over(w) - 1)
+    steps = _carry(_tiled(steps, "start", tile), keys, {"_past": (F.sum("d"), "sum")}, {"_next": F.min("start")})
+    w = Window.partitionBy(*keys, "_tile").orderBy("start")
+    depth = F.col("_past") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = steps.withColumn("depth", depth.cast(steps.schema["d"].dataType)).withColumn("stop", F.coalesce(F.lead("start").over(w), F.col("_next")) - 1)
     return out.where("stop is not null").select(*keys, "start", "stop", "depth")
 
 
-def run_lengths(runs: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Join neighbouring runs of equal value."""
+def run_lengths(runs: DataFrame, value: str, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """Join neighbouring runs of equal value; runs don't overlap."""
     keys = keys or PLACE
-    w = Window.partitionBy(*keys).orderBy("start")
-    same = F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.lag("stop").over(w) + 1 == F.col("start"))
-    marked = runs.withColumn("_new", F.when(same, 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max(F.struct(F.col("start").alias("s"), F.col("stop").alias("e"), F.col(value).alias("v")))
+    r = _carry(_tiled(runs, "start", tile), keys, {"_past": (last, "last")})
+    w = Window.partitionBy(*keys, "_tile").orderBy("start")
+    inside = F.lag("start").over(w).isNotNull()
+    v = F.when(inside, F.lag(value).over(w)).otherwise(F.col("_past.v"))
+    e = F.when(inside, F.lag("stop").over(w)).otherwise(F.col("_past.e"))
+    same = v.eqNullSafe(F.col(value)) & F.coalesce(e + 1 == F.col("start"), F.lit(False))
+    marked = r.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_past")
+    marked = _carry(marked, keys, {"_all": (F.sum("_new"), "sum")})
+    marked = marked.withColumn("_run", F.col("_all") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first(value).alias(value)).drop("_run")
