@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.stats import gamma_isf
+from spanloom.functions.stats import gammainc
 from spanloom.operators.intervals import overlap_join
 from spanloom.session import written
 
@@ -83,7 +83,8 @@ def noise_regions(signal, control, noise_frac: float, rules: PeakRules) -> np.nd
     def significant(lo: int, hi: int) -> bool:
         total, m, v, likelihood = sums[:, hi] - sums[:, lo]
         m, v = -(m + 1), v + 1
-        return total > n or (m > 0 and likelihood < -gamma_isf(alpha, m * m / v, v / m))
+        # under its quantile exactly where the tail behind it is smaller than alpha
+        return total > n or (m > 0 > likelihood and 1 - float(gammainc(m * m / v, -likelihood * m / v)) < alpha)
 
     level = [(int(on[0]), int(on[-1]) + 1)]
     level = [piece for piece in level if significant(*piece)]

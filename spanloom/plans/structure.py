@@ -297,9 +297,10 @@ def peak_calls(spark, d):
     docs = t(spark, d, "documents").where("length(text) > 0").select("doc_id", F.posexplode(parts).alias("pos", "part"))
     digits = F.length(F.regexp_replace("part", "[^0-9]", "")).cast("double")
     bases = docs.select(F.col("doc_id").alias("gene"), F.col("pos").cast("long").alias("pos"), digits.alias("signal"), F.length("part").cast("double").alias("control"))
-    # genes without a signal have no peak
-    some = bases.groupBy("gene").agg(F.sum("signal").alias("n")).where("n > 0").select("gene")
-    return peaks.peaks_by_gene(bases.join(some, "gene", "left_semi"), ["gene"], peaks.PeakRules(min_size=1, merge_abs=2))
+    # a peak has so many digits at least, so a text with fewer has none
+    rules = peaks.PeakRules(min_size=1, merge_abs=2)
+    some = bases.groupBy("gene").agg(F.sum("signal").alias("n")).where(F.col("n") >= rules.min_reads).select("gene")
+    return peaks.peaks_by_gene(bases.join(some, "gene", "left_semi"), ["gene"], rules)
 
 
 #: windows of five days with the most rows of a supplier, none on another: the greedy choice is recursive, so SQL isn't given
