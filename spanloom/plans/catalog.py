@@ -480,8 +480,7 @@ def pair_vote(spark, d):
 
 @query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', '*')")
 def sample_sheet_select(spark, d):
-    t(spark, d, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM _orders WHERE o_orderpriority = :a AND o_orderstatus IN (:s, '*')", args={"a": "1-URGENT", "s": "F"})
+    return spark.sql("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM {orders} WHERE o_orderpriority = :a AND o_orderstatus IN (:s, '*')", args={"a": "1-URGENT", "s": "F"}, orders=t(spark, d, "orders"))
 
 
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority <> '*'")

@@ -104,8 +104,7 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 def select_samples(spark: SparkSession, sheet: DataFrame, assay: str, sample_type: str, rep_id: str) -> DataFrame:
     """Rows of an assay for a sample and replicate; '*' in the sheet stands for all."""
-    sheet.createOrReplaceTempView("_sheet")
-    return spark.sql("SELECT * FROM _sheet WHERE assay = :a AND sample_type IN (:s, '*') AND rep_id IN (:r, '*')", args={"a": assay, "s": sample_type, "r": rep_id})
+    return spark.sql("SELECT * FROM {sheet} WHERE assay = :a AND sample_type IN (:s, '*') AND rep_id IN (:r, '*')", args={"a": assay, "s": sample_type, "r": rep_id}, sheet=sheet)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
