@@ -292,15 +292,13 @@ def peak_control_ends(spark, d):
 @query()
 def peak_calls(spark, d):
     """Where a text has unusually many digits: a document is a gene, 16 characters are a base, all its characters the control."""
-    n = F.ceil(F.length("text") / 16).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 16 + 1, F.lit(16)))
-    docs = t(spark, d, "documents").where("length(text) > 0").select("doc_id", F.posexplode(parts).alias("pos", "part"))
-    digits = F.length(F.regexp_replace("part", "[^0-9]", "")).cast("double")
-    bases = docs.select(F.col("doc_id").alias("gene"), F.col("pos").cast("long").alias("pos"), digits.alias("signal"), F.length("part").cast("double").alias("control"))
-    # a peak has so many digits at least, so a text with fewer has none
     rules = peaks.PeakRules(min_size=1, merge_abs=2)
-    some = bases.groupBy("gene").agg(F.sum("signal").alias("n")).where(F.col("n") >= rules.min_reads).select("gene")
-    return peaks.peaks_by_gene(bases.join(some, "gene", "left_semi"), ["gene"], rules)
+    digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
+    # a peak has so many digits at least, so a text with fewer has none; pieces are cut in one pass over a text
+    some = t(spark, d, "documents").where(digits("text") >= rules.min_reads)
+    parts = some.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(.{1,16})"), 1)).alias("pos", "part"))
+    bases = parts.select(F.col("doc_id").alias("gene"), F.col("pos").cast("long").alias("pos"), digits("part").cast("double").alias("signal"), F.length("part").cast("double").alias("control"))
+    return peaks.peaks_by_gene(bases, ["gene"], rules)
 
 
 #: windows of five days with the most rows of a supplier, none on another: the greedy choice is recursive, so SQL isn't given
