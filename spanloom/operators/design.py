@@ -118,7 +118,11 @@ def quantify(blocks: DataFrame, exons: DataFrame, density: dict[int, float], rea
     seen = observed(blocks, segs, paired)
     seen = seen.join(m.select("gene", "bin").distinct(), ["gene", "bin"])
     matrix = m.join(seen, ["gene", "bin"], "left").fillna(0, ["observed"])
-    freq = quant.estimate(matrix, "gene", with_bounds, alpha)
+    return abundance(quant.estimate(matrix, "gene", with_bounds, alpha), m, seen, with_bounds)
+
+
+def abundance(freq: DataFrame, m: DataFrame, seen: DataFrame, with_bounds: bool) -> DataFrame:
+    """Frequencies within genes, design and observed counts -> the rows of ``quantify``."""
     size = m.groupBy("gene", "transcript").agg(F.sum("expected").alias("effective"))
     gene = seen.groupBy("gene").agg(F.sum("observed").alias("fragments"))
     total = seen.agg(F.sum("observed").alias("_all"))  # one row
