@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import design, quant
 from spanloom.operators.intervals import overlap_join
+from spanloom.session import written
 
 #: what each tile has beside its counts, so that no share is 0
 SMOOTH = 1e-6
@@ -31,10 +32,10 @@ def end_block(sites: DataFrame, ends: DataFrame) -> DataFrame:
     a tile of its region by the tile's share of the region's counts.  Bins are ``start-stop``.
     Sites that hold a null are left out; without counts a region's tiles are equally likely.
     """
-    pieces = design.segments(sites.select("gene", "contig", "strand", "transcript", "start", "stop").dropna())
+    pieces = written(design.segments(sites.select("gene", "contig", "strand", "transcript", "start", "stop").dropna()), "pieces")
     at = ends.groupBy("contig", "strand", F.col("pos").alias("start")).agg(F.sum("count").alias("count")).withColumn("stop", F.col("start"))
     tiles = pieces.select("gene", "contig", "strand", "seg", "start", "stop").distinct()
-    hit = overlap_join(at, tiles).groupBy(F.col("r_gene").alias("gene"), F.col("r_seg").alias("seg")).agg(F.sum("count").alias("observed"))
+    hit = overlap_join(at, tiles, 16).groupBy(F.col("r_gene").alias("gene"), F.col("r_seg").alias("seg")).agg(F.sum("count").alias("observed"))
     cells = pieces.join(hit, ["gene", "seg"], "left").fillna(0, ["observed"])
     whole = cells.groupBy("gene", "transcript").agg(F.sum(F.col("observed") + SMOOTH).alias("_whole"))
     name = F.concat_ws("-", F.col("start"), F.col("stop"))
@@ -73,7 +74,7 @@ def stack(blocks: dict[str, DataFrame], totals: DataFrame | None = None) -> Data
     observe what the block's total has beyond the gene's rows.
     """
     parts = [scaled(b).select(F.lit(k).alias("block"), "gene", "transcript", "bin", "expected", F.col("observed").cast("double").alias("observed")) for k, b in blocks.items()]
-    cells = reduce(DataFrame.unionByName, parts)
+    cells = written(reduce(DataFrame.unionByName, parts), "blocks")  # read four times
     seen = cells.select("gene", "transcript", "block").distinct()
     needs = seen.select("gene", "block").distinct().groupBy("gene").agg(F.count(F.lit(1)).alias("_needs"))
     has = seen.groupBy("gene", "transcript").agg(F.count(F.lit(1)).alias("_has")).join(needs, "gene").where("_has = _needs").select("gene", "transcript")
