@@ -1,4 +1,4 @@
-"""Queries over fragment length models, end blocks of the design matrix and motif scans.
+"""Queries over fragment length models, end blocks of the design matrix, motif scans and single assays.
 
 Mapping: fragments are mate pairs of orders, the first mate's stretch of 125 days is their read group; an order is a
 gene on contig order % 25, its line numbers are transcripts whose start region is the first
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import ends, fragments, motifs
+from spanloom.operators import assays, ends, fragments, motifs
 from spanloom.plans.catalog import DNA_SQL, FRAG, MATES, R_SQL, _mates, dna, query, t
-from spanloom.plans.structure import X_SQL, rows
+from spanloom.plans.structure import DAY, X_SQL, rows
 
 HIST = f"{R_SQL}, {MATES}, h AS (SELECT a.start // 125 AS grp, {FRAG} AS fl, count(*) AS cnt FROM a JOIN b ON a.qname = b.qname GROUP BY ALL)"
 
@@ -169,3 +169,57 @@ def reference_fetch(spark, d):
     regions = s.select("doc_id", F.expr("cast(length(dna) div 3 as bigint)").alias("start"), F.expr("cast(2 * length(dna) div 3 as bigint)").alias("stop"))
     out = motifs.fetch(motifs.chunked(s, "doc_id", 5, 4096, "dna"), regions, "doc_id", 4096)
     return out.select("doc_id", "start", "stop", F.md5("seq").alias("seq"))
+
+
+#: lineitem rows as aligned reads: reversed where the line status is F, paired where the quantity is even, odd line numbers are read 1
+READS_SQL = f"""x AS (SELECT l_suppkey AS contig, {DAY} AS pos, {DAY} + CAST(l_quantity AS BIGINT) AS aend, l_linestatus = 'F' AS rev, CAST(l_quantity AS BIGINT) % 2 = 0 AS paired, l_linenumber % 2 = 1 AS one,
+  CAST(round(l_tax * 100) AS BIGINT) AS mapq, 1.0 / (1 + l_linenumber % 3) AS weight FROM lineitem)"""
+
+
+def aligned(spark, d):
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long")
+    paired, one = F.col("l_quantity").cast("long") % 2 == 0, F.col("l_linenumber") % 2 == 1
+    flag = F.when(paired, 0x1).otherwise(0) + F.when(F.col("l_linestatus") == "F", 0x10).otherwise(0) + F.when(one, 0x40).otherwise(0x80)
+    return t(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("contig"), day.alias("pos"), (day + F.col("l_quantity").cast("long")).alias("aend"), flag.alias("flag"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("mapq"), F.lit(None).cast("double").alias("xp"), (1 + F.col("l_linenumber") % 3).alias("nh"),
+    )
+
+
+def _ends_sql(where: str, plus: str, at_plus: str, at_minus: str) -> str:
+    return f"WITH {READS_SQL} SELECT contig, CASE WHEN {plus} THEN '+' ELSE '-' END AS strand, CASE WHEN {plus} THEN {at_plus} ELSE {at_minus} END AS pos, round(sum(weight), 4) AS count FROM x WHERE {where} GROUP BY ALL"
+
+
+def _ends(df):
+    return df.withColumn("count", F.round("count", 4))
+
+
+@query(_ends_sql("mapq > 1", "NOT rev", "pos", "aend - 1"))
+def assay_cage(spark, d):
+    return _ends(assays.end_counts(aligned(spark, d), "cage"))
+
+
+@query(_ends_sql("mapq > 1 AND one", "rev", "pos", "aend - 1"))
+def assay_rampage(spark, d):
+    """Against the transcripts' strand."""
+    return _ends(assays.end_counts(aligned(spark, d), "rampage", flip=True))
+
+
+@query(_ends_sql("NOT (paired AND one)", "CASE WHEN paired THEN one <> rev ELSE NOT rev END", "aend - 1", "pos"))
+def assay_polya(spark, d):
+    return _ends(assays.end_counts(aligned(spark, d), "polya"))
+
+
+def _runs_sql(start: str, stop: str, depth: str) -> str:
+    return f"""WITH {READS_SQL}, f AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, {start} AS pos, 1 AS d FROM x UNION ALL SELECT contig, {stop}, -1 FROM x) GROUP BY contig, pos)
+  SELECT contig, start, stop, {depth} AS depth FROM (SELECT contig, pos AS start, lead(pos) OVER w - 1 AS stop, sum(d) OVER w AS n FROM f WINDOW w AS (PARTITION BY contig ORDER BY pos)) WHERE stop IS NOT NULL"""
+
+
+@query(_runs_sql("CASE WHEN rev THEN aend - 30 ELSE pos END", "CASE WHEN rev THEN aend ELSE pos + 30 END", "round(n / 31, 6)"))
+def assay_chip(spark, d):
+    return assays.chip_coverage(aligned(spark, d), 30).withColumn("depth", F.round("depth", 6))
+
+
+@query(_runs_sql("pos", "aend", "CAST(n AS BIGINT)"))
+def assay_dnase(spark, d):
+    return assays.dnase_coverage(aligned(spark, d))
