@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 READ_SCHEMA = "qname string, flag int, contig string, pos long, aend long, mapq int, cigar array<struct<op:int,len:int>>, rg string, nh int, xp double, read_len int"
 MIN_FLANK, MIN_INTRON, MAX_INTRON = 12, 40, 1_000_000
 
@@ -58,7 +60,7 @@ def junctions(df: DataFrame, flank: int = MIN_FLANK, intron: int = MIN_INTRON) -
 
 def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Shannon entropy (bits) of ``value`` within each group, and the group's count."""
-    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    n = spread(df.select(*keys, value), *keys).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     p = n.withColumn("_p", F.col("_n") / F.sum("_n").over(Window.partitionBy(*keys)))
     return p.groupBy(*keys).agg(F.sum("_n").alias("cnt"), F.greatest(F.lit(0.0), -F.sum(F.col("_p") * F.log2("_p"))).alias("entropy"))
 
