@@ -66,6 +66,7 @@ def expected_single(sizes: list[int], read: int, density: dict[int, float] | Non
 def segments(exons: DataFrame) -> DataFrame:
     """(gene, contig, strand, transcript, start, stop) exons -> the segments of each transcript, numbered within the gene."""
     places = ["gene", "contig", "strand"]
+    exons = exons.repartition("gene")  # all that follows is by gene
     bounds = exons.select(*places, F.explode(F.array("start", F.col("stop") + 1)).alias("start")).distinct()
     w = Window.partitionBy(*places).orderBy("start")
     tiles = bounds.withColumn("stop", F.lead("start").over(w) - 1).withColumn("seg", F.row_number().over(w)).where("stop is not null")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import design, quant
-from spanloom.operators.intervals import overlap_join
+from spanloom.operators.intervals import overlap_join, point_sums
 from spanloom.session import written
 
 #: what each tile has beside its counts, so that no share is 0
@@ -33,10 +33,14 @@ def end_block(sites: DataFrame, ends: DataFrame) -> DataFrame:
     Sites that hold a null are left out; without counts a region's tiles are equally likely.
     """
     pieces = written(design.segments(sites.select("gene", "contig", "strand", "transcript", "start", "stop").dropna()), "pieces")
-    at = ends.groupBy("contig", "strand", F.col("pos").alias("start")).agg(F.sum("count").alias("count")).withColumn("stop", F.col("start"))
-    tiles = pieces.select("gene", "contig", "strand", "seg", "start", "stop").distinct()
-    hit = overlap_join(at, tiles, 16).groupBy(F.col("r_gene").alias("gene"), F.col("r_seg").alias("seg")).agg(F.sum("count").alias("observed"))
-    cells = pieces.join(hit, ["gene", "seg"], "left").fillna(0, ["observed"])
+    at = ends.groupBy("contig", "strand", "pos").agg(F.sum("count").alias("count"))
+    if dict(at.dtypes)["count"] == "bigint":
+        cells = point_sums(pieces, at, "count").withColumnRenamed("count", "observed")
+    else:  # running sums of fractions aren't exact
+        tiles = pieces.select("gene", "contig", "strand", "seg", "start", "stop").distinct()
+        at = at.withColumnRenamed("pos", "start").withColumn("stop", F.col("start"))
+        hit = overlap_join(at, tiles, 16).groupBy(F.col("r_gene").alias("gene"), F.col("r_seg").alias("seg")).agg(F.sum("count").alias("observed"))
+        cells = pieces.join(hit, ["gene", "seg"], "left").fillna(0, ["observed"])
     whole = cells.groupBy("gene", "transcript").agg(F.sum(F.col("observed") + SMOOTH).alias("_whole"))
     name = F.concat_ws("-", F.col("start"), F.col("stop"))
     return cells.join(whole, ["gene", "transcript"]).select("gene", "transcript", name.alias("bin"), ((F.col("observed") + SMOOTH) / F.col("_whole")).alias("expected"), "observed")
