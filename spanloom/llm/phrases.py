@@ -8,10 +8,12 @@ again and get ids of their own: a pair of neighbouring pairs is a phrase of thre
 words, a pair of those one of four, and so on, since no phrase is more frequent than
 its parts.  Each task counts what it reads; Spark adds the tasks' counts.
 
-Ids are sent to the tasks for at most ``HEAD`` phrases of each length, the most
-frequent ones.  Phrases beyond that aren't lost: tasks get a bitmap of fixed size of
-their hashes, and longer phrases that may hold one of them are counted by their
-words in a pass over the texts, exactly, since the bitmap has no false negatives.
+Ids are sent to the tasks for at most ``HEAD`` words and ``LONGER`` times as many
+phrases of each greater length, the most frequent ones; of phrases only numbers are sent, 12 bytes for
+each, and they are spelled by joins.  Phrases beyond that aren't lost: tasks get a
+bitmap of fixed size of their hashes, and longer phrases that may hold one of them are
+counted by their words in a pass over the texts, exactly, since the bitmap has no false
+negatives.
 
 A phrase is scored by each of its cuts in two, first part and rest:
 floor(1000 * a * n / (l * r)), with the phrase's count a, the counts l and r of both
@@ -43,7 +45,8 @@ from ._common import bound_batches, quoted, written
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-HEAD = 1 << 18
+HEAD = 1 << 20
+LONGER = 4
 TILE_BITS = 10
 TILE = 1 << TILE_BITS
 DENSE = TILE * TILE // 16  # occurrences from which a tile is counted densely
@@ -80,14 +83,15 @@ def _key(lang: bytes, phrase: bytes) -> int:
 class Level:
     """Phrases of one length: ranked ones, and a bitmap of all others that are frequent."""
 
-    phrases: list[tuple[str, str]]  # (language, phrase) by rank
+    table: DataFrame | None = None  # rank, lang, phrase
+    words: tuple[list[str], list[str]] = ((), ())  # languages and words by rank, of single words only
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted pairs of parts' ids
     ranks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # their ids
     others: np.ndarray | None = None
 
     def ids(self) -> dict[bytes, dict[bytes, int]]:
         out: dict[bytes, dict[bytes, int]] = {}
-        for i, (lang, phrase) in enumerate(self.phrases):
+        for i, (lang, phrase) in enumerate(zip(*self.words)):
             out.setdefault(lang.encode(), {})[phrase.encode()] = i
         return out
 
@@ -200,7 +204,7 @@ def tile_counts(ids: DataFrame, between: list[Level]) -> DataFrame:
     def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s = np.concatenate(held)
         for codes, ranks in sent.value:
-            s = longer(s, Level([], codes, ranks))
+            s = longer(s, Level(codes=codes, ranks=ranks))
         if len(s) > 1:
             for code, n in count_tiles(s):
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "f"])
@@ -225,7 +229,7 @@ def tile_counts(ids: DataFrame, between: list[Level]) -> DataFrame:
 def tail_counts(texts: DataFrame, levels: list[Level]) -> DataFrame:
     """Counts of phrases of one word more than the last level's that may hold a frequent phrase without an id."""
     words = levels[0].ids()
-    sent = texts.sparkSession.sparkContext.broadcast((words, [Level([], x.codes, x.ranks, x.others) for x in levels]))
+    sent = texts.sparkSession.sparkContext.broadcast((words, [Level(codes=x.codes, ranks=x.ranks, others=x.others) for x in levels]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, known = sent.value
@@ -257,30 +261,54 @@ def tail_counts(texts: DataFrame, levels: list[Level]) -> DataFrame:
 
 def _spelled(pairs: DataFrame, parts: Level) -> DataFrame:
     """(code, f) with language and words: the first part and the last word of the second."""
-    sent = pairs.sparkSession.sparkContext.broadcast(parts.phrases)
+    first = parts.table.select(F.col("rank").alias("_a"), "lang", F.col("phrase").alias("_first"))
+    last = parts.table.select(F.col("rank").alias("_b"), F.element_at(F.split("phrase", " "), -1).alias("_last"))
+    both = pairs.select("code", "f", F.shiftright("code", 32).alias("_a"), F.expr("code & 4294967295L").alias("_b")).join(first, "_a").join(last, "_b")
+    return both.select("lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), "f", "code")
+
+
+def _ranks(found: DataFrame, level: Level) -> DataFrame:
+    """rank, lang and phrase of the phrases that have an id."""
+    ids = level.ids()
+    sent = found.sparkSession.sparkContext.broadcast((ids, level.codes, level.ranks))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, codes, ranks = sent.value
         for b in it:
-            codes = b.column(0).to_pylist()
-            first = [sent.value[c >> 32] for c in codes]
-            last = [sent.value[c & 0xFFFFFFFF][1].rpartition(" ")[2] for c in codes]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in first], pa.string()), pa.array([f"{x} {y}" for (_, x), y in zip(first, last)], pa.string()), b.column(1), b.column(0)], names=["lang", "phrase", "f", "code"]
-            )
+            if ids:  # words: a code is only a hash
+                rank = [ids[x.as_py().encode()][y.as_py().encode()] for x, y in zip(b.column(0), b.column(1))]
+            else:
+                rank = ranks[np.searchsorted(codes, b.column(2).to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int32()), b.column(0), b.column(1)], names=["rank", "lang", "phrase"])
 
-    return pairs.mapInArrow(run, "lang string, phrase string, f long, code long")
+    return found.select("lang", "phrase", "code").mapInArrow(run, "rank int, lang string, phrase string")
 
 
-def _level(found: DataFrame, head: int) -> Level:
-    """The ``head`` most frequent phrases that have a code get ids, all others a place in the bitmap."""
-    ranked = found.where("code is not null").orderBy(F.desc("f"), "lang", "phrase").limit(head).select("lang", "phrase", "code").toArrow()
+def _level(found: DataFrame, head: int, words: bool = False) -> Level:
+    """At most ``head`` phrases that have a code, the most frequent ones, get ids, all others a place in the bitmap.
+
+    Phrases of one frequency all get ids or none does, so the counts of frequencies say who does, and nothing is sorted.
+    """
+    often = found.where("code is not null").groupBy("f").count().toArrow()  # its rows are under the root of twice the words
+    f = often.column("f").to_numpy()
+    order = np.argsort(-f)
+    fits = np.flatnonzero(np.cumsum(often.column("count").to_numpy()[order]) <= head)
+    floor = int(f[order[fits[-1]]]) if len(fits) else 1 << 62
+    mine = F.col("code").isNotNull() & (F.col("f") >= floor)
+    columns = ["code", "f", "lang", "phrase"] if words else ["code", "f"]
+    ranked = found.where(mine).select(*columns).toArrow()  # at most head rows
     codes = ranked.column("code").to_numpy()
+    by_rank = np.lexsort((codes, -ranked.column("f").to_numpy()))
+    ranks = np.empty(len(codes), np.int32)
+    ranks[by_rank] = np.arange(len(codes), dtype=np.int32)
     order = np.argsort(codes)
-    level = Level(list(zip(ranked.column("lang").to_pylist(), ranked.column("phrase").to_pylist())), codes[order], order.astype(np.int32))
+    level = Level(codes=codes[order], ranks=ranks[order])
+    if words:
+        level.words = tuple(ranked.column(c).take(pa.array(by_rank)).to_pylist() for c in ("lang", "phrase"))
+    level.table = _ranks(found.where(mine), level)
     if found.count() > len(codes):
-        rest = found.join(F.broadcast(found.sparkSession.createDataFrame(ranked.select(["lang", "phrase"]))), ["lang", "phrase"], "left_anti")  # at most head rows
         cell = F.shiftrightunsigned(F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")), 32 - FILTER_BITS)
-        cells = rest.select(F.shiftright(cell, 6).alias("w"), cell.alias("c"))
+        cells = found.where(~mine).select(F.shiftright(cell, 6).alias("w"), cell.alias("c"))
         cells = cells.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("b")).toArrow()
         level.others = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         level.others[cells.column("w").to_numpy()] = cells.column("b").to_numpy().view(np.uint64)
@@ -294,7 +322,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = counts.where("phrase is null").select("lang", F.col("f").alias("n"))
     # words have no parts: their own hash stands for the code
     found = [counts.where("phrase is not null").withColumn("code", F.xxhash64("lang", "phrase"))]
-    levels = [_level(found[0], head)]
+    levels = [_level(found[0], head, words=True)]
     ids = written(word_ids(texts, levels[0]), "word-ids")
     for size in range(2, longest + 1):
         pairs = tile_counts(ids, levels[1:]).where(F.col("f") >= least)
@@ -303,8 +331,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             new = new.unionByName(tail_counts(texts, levels).where(F.col("f") >= least).withColumn("code", F.lit(None).cast("long")))
         found.append(written(new, f"phrases-{size}"))
         if size < longest:
-            levels.append(_level(found[-1], head))
-            if not levels[-1].phrases and levels[-1].others is None:
+            levels.append(_level(found[-1], LONGER * head))
+            if not len(levels[-1].codes) and levels[-1].others is None:
                 break
     everything = found[0].withColumn("size", F.lit(1))
     for size, more in enumerate(found[1:], 2):

@@ -172,3 +172,18 @@ def test_words_of_long_texts():
         words = periodic.Vocabulary()
         spelled = [list(words)[k] for k in periodic.word_numbers(raw, words, size)]
         assert spelled == raw.split()
+
+
+def test_more_phrases_than_words_get_ids(spark, monkeypatch):
+    rows = corpus(3)
+    docs = spark.createDataFrame([(g, t) for g, t in rows], "lang string, text string").repartition(5)
+    words = phrases.word_counts(phrases._texts(docs, "text", "lang")).where("phrase is not null and f >= 6").count()
+    pairs = phrases.frequent_phrases(docs, least=6, longest=2)[0].where("size = 2").count()
+    assert words < pairs  # so ids for as many pairs as words would leave some to the pass over the texts
+
+    def slow(*a):
+        raise AssertionError("phrases are counted by their words")
+
+    monkeypatch.setattr(phrases, "tail_counts", slow)
+    got = phrases.collocations(docs, least=6, top=40, head=words)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 6, 5, 40)
