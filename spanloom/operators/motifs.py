@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import bound_batches
+
 WIDTH = 65_536
+#: hits that a task holds before it hands them on
+HITS = 1 << 18
 BASES = "ACGT"
 
 
@@ -61,33 +65,45 @@ def scan(seqs: DataFrame, key: str, matrix: Sequence[Sequence[float]], least: fl
     """key, start (from 0), strand and score of all windows that score ``least`` or more; both cases of letters count alike.
 
     ``matrix`` has a row for each place with weights of A, C, G, T and, where given, all other
-    letters (otherwise the least of the four).  Chunks go through numpy; sequences of any length take the memory of chunks.
+    letters (otherwise the least of the four).  Chunks go through numpy; sequences of any length take the memory of
+    chunks, and ``HITS`` hits, with those of one chunk more, are held at once.
     """
     if not matrix:
         raise ValueError("a matrix has at least one place")
     full = [[*row[:4], row[4] if len(row) > 4 else min(row)] for row in matrix]
     strands = [("+", np.array(full, float))] + ([("-", np.array(reverse_matrix(full), float))] if both else [])
-    number = np.full(256, 4, np.int64)
+    number = np.full(256, 4, np.uint8)
     for i, b in enumerate(BASES):
         number[[ord(b), ord(b.lower())]] = i
     chunks = chunked(seqs, key, len(matrix) - 1, width, seq)
     kind = dict(chunks.dtypes)[key]
 
+    def hits(col: pa.Array, rows: list, starts: list, signs: list, found: list) -> pa.RecordBatch:
+        n = [len(x) for x in found]
+        taken = col.take(pa.array(np.repeat(np.array(rows, np.int64), n)))
+        sign = pa.DictionaryArray.from_arrays(np.repeat(np.array(signs, np.int8), n), [x for x, _ in strands]).cast(pa.string())
+        return pa.RecordBatch.from_arrays([taken, pa.array(np.concatenate(starts), pa.int64()), sign, pa.array(np.concatenate(found))], names=[key, "start", "strand", "score"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows, starts, signs, found = [], [], [], []
-            for i, (at, piece) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            held, n = ([], [], [], []), 0
+            for i in range(b.num_rows):
+                at = b.column(1)[i].as_py()
                 # one byte a letter; letters outside Latin-1 are others
-                codes = number[np.frombuffer(piece.encode("latin-1", "replace"), np.uint8)]
-                for sign, m in strands:
+                codes = number[np.frombuffer(b.column(2)[i].as_py().encode("latin-1", "replace"), np.uint8)]
+                for k, (_, m) in enumerate(strands):
                     s = scores(codes, m)[:width]
                     hit = np.flatnonzero(s >= least)
-                    rows.append(np.full(len(hit), i))
-                    starts.append(hit + at)
-                    signs.extend([sign] * len(hit))
-                    found.append(s[hit])
-            if signs:
-                which = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array(np.concatenate(starts), pa.int64()), pa.array(signs, pa.string()), pa.array(np.concatenate(found))], names=[key, "start", "strand", "score"])
-
+                    if not len(hit):
+                        continue
+                    for x, y in zip(held, (i, hit + at, k, s[hit])):
+                        x.append(y)
+                    n += len(hit)
+                if n >= HITS:
+                    yield hits(b.column(0), *held)
+                    held, n = ([], [], [], []), 0
+            if n:
+                yield hits(b.column(0), *held)
+
+    bound_batches(seqs.sparkSession)
     return chunks.mapInArrow(run, f"`{key}` {kind}, start long, strand string, score double")

@@ -60,3 +60,16 @@ def test_bounds_of_parameters(spark):
         motifs.chunked(df, "id", 5, 4)
     with pytest.raises(ValueError):
         motifs.scan(df, "id", [], 0)
+
+
+def test_hits_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(motifs, "HITS", 5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        df = spark.createDataFrame([(1, "AC" * 40), (2, "GGGG"), (3, None), (4, "CA" * 7)], "id long, seq string").coalesce(1)
+        got = motifs.scan(df, "id", [[1, 0, 0, 0], [0, 1, 0, 0]], 2, both=True, width=16)
+        assert sorted((r.id, r.start, r.strand) for r in got.collect()) == sorted([(1, k, "+") for k in range(0, 80, 2)] + [(4, k, "+") for k in range(1, 13, 2)])
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000  # so few chunks are in a task at once
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
