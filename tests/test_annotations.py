@@ -142,3 +142,13 @@ def test_expressed(spark):
     # thresholds 2.5 in both samples: b stays through sample 2 only
     assert sorted(r.transcript for r in A.expressed(df, 0.1, 4.0, 4.0).collect()) == ["a", "b"]
     assert sorted(r.transcript for r in A.expressed(df, 0.1, 1.5, 4.0).collect()) == ["a"]
+
+
+def test_best_references_sort_no_pairs(spark):
+    rows = [(k, 1, "+", [(10, 20 + k % 3), (30, 40), (50, 60 + k)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "transcript long, contig long, strand string, exons array<struct<start:long,stop:long>>")
+    out = A.best_references(df.where("transcript % 2 = 0"), df.where("transcript % 2 = 1"))
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
+    # the nearest end among those with both introns
+    want = {k: min((k % 3 != j % 3, abs(k - j), j) for j in range(1, 40, 2)) for k in range(0, 40, 2)}
+    assert {r.transcript: (r.shared, r.offset, r.ref, r.code) for r in out.collect()} == {k: (2 - far, d, j, "j" if far else "=") for k, (far, d, j) in want.items()}
