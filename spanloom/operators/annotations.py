@@ -119,13 +119,18 @@ def best_references(transcripts: DataFrame, refs: DataFrame, width: int = 4096)
     most introns, then the least offset of both ends, then the smallest id.
 
     Codes: ``=`` the same introns, ``c`` all of its introns and the reference has more, ``j`` some shared, ``o`` none.
-    Transcripts without a reference get no row.  Ids of references are longs from 0, offsets under 2 ** 31.
+    Transcripts without a reference get no row.  Offsets are under 2 ** 31.
+    Pairs are sorted only where ids aren't whole numbers.
     """
     r = _chains(refs).withColumnRenamed("transcript", "ref")
     both = overlap_join(_chains(transcripts), r, width)
     shared, n, m = F.size(F.array_intersect("introns", "r_introns")), F.size("introns"), F.size("r_introns")
     offset = F.abs(F.col("start") - F.col("r_start")) + F.abs(F.col("stop") - F.col("r_stop"))
     code = F.when((n == m) & (n == shared), 0).when((n == shared) & (m > shared), 1).when(shared > 0, 2).otherwise(3)
+    named = F.element_at(F.array(*map(F.lit, "=cjo")), F.col("_code") + 1)
+    if dict(r.dtypes)["ref"] not in ("int", "bigint"):
+        best = both.groupBy("transcript").agg(F.min(F.struct((-shared).alias("s"), offset.alias("offset"), F.col("r_ref").alias("ref"), code.alias("_code"))).alias("x"))
+        return best.select("transcript", "x.*").select("transcript", "ref", named.alias("code"), (-F.col("s")).alias("shared"), "offset")
     # one number for shared, offset and id, as in intervals.best_overlaps: a task reduces its pairs by a hash aggregate and sorts none
     number = f"cast({1 << 64} as decimal(20,0))"
     rank = (shared.cast("long") * (1 << 31) + ((1 << 31) - 1 - offset)).alias("_rank")
@@ -133,7 +138,6 @@ def best_references(transcripts: DataFrame, refs: DataFrame, width: int = 4096)
     whole = F.expr(f"cast(cast(_rank as decimal(19,0)) * {number} + _rest as decimal(38,0))")
     best = both.select("transcript", "_code", whole.alias("_best")).groupBy("transcript").agg(F.max("_best").alias("_best"), F.max_by("_code", "_best").alias("_code"))
     best = best.select("transcript", F.expr(f"cast(_best div {number} as long)").alias("_rank"), F.expr(f"cast({(1 << 63) - 1} - _best % {number} as long)").alias("ref"), "_code")
-    named = F.element_at(F.array(*map(F.lit, "=cjo")), F.col("_code") + 1)
     return best.select("transcript", "ref", named.alias("code"), F.expr(f"cast(_rank div {1 << 31} as int)").alias("shared"), (F.lit((1 << 31) - 1).cast("long") - F.expr(f"_rank % {1 << 31}")).alias("offset"))
 
 
