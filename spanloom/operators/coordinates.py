@@ -1,16 +1,33 @@
 """Transcript and genome coordinates, coding parts, inferred ends, and reading frames placed on the genome.
 
 Exons are an array of (start, stop), by start, closed; positions in a transcript count
-from 0 at its lowest base, or, where a strand is given, at its 5' end.  All of it is
-expressions on the exon array, so nothing is shuffled.
+from 0 at its lowest base, or, where a strand is given, at its 5' end.  Places are
+expressions on the exon array, frames are found in the tasks that have the sequences,
+so no sequence is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import seq
+from spanloom.session import bound_batches
+
+#: bases whose frames are found together
+BASES = 1 << 22
+_LETTERS = "TCAG"
+_NUMBER = np.full(256, 4, np.uint8)
+_NUMBER[[ord(x) for x in _LETTERS]] = range(4)
+#: by 25 i + 5 j + k for the numbers of a codon's bases: 1 for ATG, 2 for a stop
+_KINDS = np.zeros(125, np.uint8)
+for _codon, _kind in (("ATG", 1), *[(x, 2) for x in seq.STOPS]):
+    _KINDS[sum(_LETTERS.index(x) * 5 ** (2 - k) for k, x in enumerate(_codon))] = _kind
 
 
 def _array(exons: str | Column) -> Column:
@@ -113,22 +130,57 @@ def feature_rows(transcripts: DataFrame) -> DataFrame:
     return out.select(*rest, "nth", "_r.x.feature", "_r.x.start", "_r.x.stop", "_r.x.frame")
 
 
-def reading_frames(df: DataFrame, id_col: str, seq_col: str, min_aa: int = 100) -> DataFrame:
+def _open_frames(codes: np.ndarray, begins: np.ndarray, min_aa: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, frame, start, stop) of the open reading frames of base numbers (T, C, A, G, other: 0 to 4); sequence k is ``begins[k]`` to ``begins[k + 1]``."""
+    codons = codes[:-2] * np.uint8(25) + codes[1:-1] * np.uint8(5) + codes[2:]
+    kind = _KINDS[codons]
+    at = np.flatnonzero(kind)
+    of = np.searchsorted(begins, at, "right") - 1
+    whole = at + 2 < begins[of + 1]
+    at, of = at[whole], of[whole]
+    place = at - begins[of]
+    group = of * 3 + place % 3
+    order = np.argsort(group, kind="stable")
+    group, place, stop = group[order], place[order], kind[at][order] == 2
+    new = np.append(True, group[1:] != group[:-1])
+    # the first ATG of its frame, or behind a stop; later ones are inside
+    keep = stop | new | np.append(True, stop[:-1])
+    group, place, stop = group[keep], place[keep], stop[keep]
+    k = np.flatnonzero(~stop[:-1] & stop[1:] & (group[:-1] == group[1:])) if len(group) else np.zeros(0, np.int64)
+    k = k[place[k + 1] - place[k] >= 3 * min_aa]
+    return group[k] // 3, group[k] % 3, place[k], place[k + 1]
+
+
+def reading_frames(df: DataFrame, id_col: str, seq_col: str, min_aa: int = 100, keep: Sequence[str] = ()) -> DataFrame:
     """id, frame, start, stop: open reading frames from the first ATG behind a stop codon to the next stop, whose first base is ``stop``.
 
-    Each frame is translated and cut at its stops; a piece's place is the running length
-    of those before it in its own sequence.  Sequences without a frame give no row.
+    Sequences go through numpy, ``BASES`` bases or one sequence at a time, in the task that has them, so nothing is shuffled.
+    Sequences without a frame give no row; ``keep`` names columns that go with each row.
     """
-    s = df.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_s")).withColumn("_own", F.monotonically_increasing_id())
-    framed = s.select("_own", "_id", F.explode(F.array(*[F.struct(F.lit(k).alias("frame"), seq.translate(F.expr(f"substring(_s, {k + 1})")).alias("aa")) for k in range(3)])).alias("f"))
-    # a start is an M that came from ATG: it has no other codon
-    pieces = framed.select("_own", "_id", "f.frame", F.posexplode(F.split("f.aa", "_")).alias("nth", "piece"))
-    w = Window.partitionBy("_own", "frame").orderBy("nth")
-    at = F.coalesce(F.sum(F.length("piece") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.lead("nth").over(w).isNull()  # it has no stop behind it
-    out = pieces.select("_id", "frame", at.alias("at"), F.length("piece").alias("n"), F.instr("piece", "M").alias("m"), last.alias("last")).where("not last and m > 0")
-    out = out.where(F.col("n") - F.col("m") + 1 >= min_aa)
-    return out.select(F.col("_id").alias(id_col), "frame", (F.col("frame") + 3 * (F.col("at") + F.col("m") - 1)).cast("long").alias("start"), (F.col("frame") + 3 * (F.col("at") + F.col("n"))).cast("long").alias("stop"))
+    names = [id_col, *keep]
+    src = df.select(*names, F.col(seq_col).alias("_s")).where("_s is not null")
+    kinds = dict(src.dtypes)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(len(names))
+            sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), BASES, "right")) + lo)
+                # one byte a letter; letters outside Latin-1 are others
+                some = [x.encode("latin-1", "replace") for x in texts[lo:hi].to_pylist()]
+                begins = np.append(0, np.cumsum([len(x) for x in some]))
+                codes = _NUMBER[np.frombuffer(b"".join(some), np.uint8)]
+                if len(codes) > 2:
+                    of, frame, start, stop = _open_frames(codes, begins, min_aa)
+                    taken = pa.array(of + lo)
+                    yield pa.RecordBatch.from_arrays([*[b.column(k).take(taken) for k in range(len(names))], pa.array(frame, pa.int32()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=[*names, "frame", "start", "stop"])
+                lo = hi
+
+    bound_batches(df.sparkSession)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return src.mapInArrow(run, f"{schema}, frame int, start long, stop long")
 
 
 def coding_regions(transcripts: DataFrame, min_aa: int = 100, only_longest: bool = False, with_stop: bool = True) -> DataFrame:
@@ -138,12 +190,11 @@ def coding_regions(transcripts: DataFrame, min_aa: int = 100, only_longest: bool
     ``with_stop``.  Of several frames each gets a name with ``_CDS`` and its number by
     (frame, start); ``only_longest`` keeps all of the greatest length.
     """
-    found = reading_frames(transcripts, "transcript", "sequence", min_aa).withColumn("length", F.expr("(stop - start) div 3"))
+    found = reading_frames(transcripts, "transcript", "sequence", min_aa, ["strand", "exons"]).withColumn("length", F.expr("(stop - start) div 3"))
     own = Window.partitionBy("transcript")
     if only_longest:
         found = found.withColumn("_top", F.max("length").over(own)).where("length = _top").drop("_top")
-    found = found.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_k", F.row_number().over(own.orderBy("frame", "start")))
-    t = found.join(transcripts.select("transcript", "strand", "exons"), "transcript")
+    t = found.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_k", F.row_number().over(own.orderBy("frame", "start")))
     a = genome_position(F.col("start"), "exons", F.col("strand"))
     b = genome_position(F.col("stop") - 1 + (3 if with_stop else 0), "exons", F.col("strand"))
     name = F.when(F.col("_n") > 1, F.concat(F.col("transcript").cast("string"), F.lit("_CDS"), F.col("_k"))).otherwise(F.col("transcript").cast("string"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,31 @@ HITS = 1 << 18
 BASES = "ACGT"
 
 
+#: base of each lower-case letter, in turn A, C, G, T; 0 of all other bytes
+_BASE_OF = np.zeros(256, np.uint8)
+_BASE_OF[97:123] = [ord(BASES[k % 4]) for k in range(26)]
+
+
+def lettered(texts: DataFrame, key: str, text: str = "text", out: str = "seq") -> DataFrame:
+    """(key, text) -> key and the bases that the letters a to z of the text in lower case stand for; other letters are left out, a null stays one."""
+    src = texts.select(F.col(key), F.lower(text).alias("_text"))
+    kind = dict(src.dtypes)[key]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            col = b.column(1).cast(pa.string())
+            offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+            data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            # in UTF-8 all bytes of other letters are over 127
+            bases = _BASE_OF[data]
+            ends = np.append(np.int32(0), np.cumsum(bases > 0, dtype=np.int32))[offsets - offsets[0]]
+            found = pa.StringArray.from_buffers(len(col), pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(bases[bases > 0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.if_else(col.is_valid(), found, pa.scalar(None, pa.string()))], names=[key, out])
+
+    bound_batches(texts.sparkSession)
+    return src.mapInArrow(run, f"`{key}` {kind}, `{out}` string")
+
+
 def chunked(seqs: DataFrame, key: str, halo: int = 0, width: int = WIDTH, seq: str = "seq") -> DataFrame:
     """(key, seq) -> key, at, piece; a null or empty sequence has no chunk.  A sequence is cut in one pass."""
     if halo > width:
