@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import assays, ends, fragments, motifs
 from spanloom.plans.catalog import DNA_SQL, FRAG, MATES, R_SQL, _mates, dna, query, t
 from spanloom.plans.structure import DAY, X_SQL, rows
+from spanloom.session import written
 
 HIST = f"{R_SQL}, {MATES}, h AS (SELECT a.start // 125 AS grp, {FRAG} AS fl, count(*) AS cnt FROM a JOIN b ON a.qname = b.qname GROUP BY ALL)"
 
@@ -165,7 +166,7 @@ def motif_scan(spark, d):
 @query(f"WITH {DNA_SQL} SELECT doc_id, CAST(len(dna) // 3 AS BIGINT) AS start, CAST(2 * len(dna) // 3 AS BIGINT) AS stop, md5(dna[len(dna) // 3 + 1 : 2 * len(dna) // 3 + 1]) AS seq FROM s WHERE dna IS NOT NULL")
 def reference_fetch(spark, d):
     """The middle third of each sequence out of chunks of 4096 bases."""
-    s = dna(spark, d).where("dna is not null")
+    s = written(dna(spark, d).where("dna is not null"), "bases")  # read three times
     regions = s.select("doc_id", F.expr("cast(length(dna) div 3 as bigint)").alias("start"), F.expr("cast(2 * length(dna) div 3 as bigint)").alias("stop"))
     out = motifs.fetch(motifs.chunked(s, "doc_id", 5, 4096, "dna"), regions, "doc_id", 4096)
     return out.select("doc_id", "start", "stop", F.md5("seq").alias("seq"))
