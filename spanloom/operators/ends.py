@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import design, quant
@@ -59,15 +59,21 @@ def cluster_rows(block: DataFrame) -> DataFrame:
     and the number of rows in the cluster.  A row's key is an array of its transcripts only.
     """
     cells = scaled(block).where("expected > 0")
-    row = cells.groupBy("gene", "bin").agg(F.sum("expected").alias("_row"), F.max("observed").alias("_seen"))
-    part = F.floor(F.col("expected") * PROFILE / F.col("_row") + 0.5 + TIE)
-    profile = F.array_sort(F.collect_list(F.when(part > 0, F.struct("transcript", part.alias("part")))))
-    keyed = cells.join(row, ["gene", "bin"]).groupBy("gene", "bin").agg(profile.alias("_profile"), F.max("_seen").alias("_seen"))
-    # a gene of many equal rows is summed before it is shuffled; only ids meet their cluster's name
-    found = keyed.groupBy("gene", "_profile").agg(F.min("bin").alias("_first"), F.sum("_seen").alias("observed"), F.count(F.lit(1)).alias("rows"))
-    named = keyed.join(found, ["gene", "_profile"]).select("gene", "bin", "_first", "observed", "rows")
-    merged = cells.select("gene", "bin", "transcript", "expected").join(named, ["gene", "bin"])
-    return merged.groupBy("gene", "transcript", F.col("_first").alias("bin")).agg(F.sum("expected").alias("expected"), F.max("observed").alias("observed"), F.max("rows").alias("rows"))
+    row = cells.groupBy("gene", "bin").agg(F.array_sort(F.collect_list(F.struct("transcript", "expected"))).alias("_cells"), F.max("observed").alias("_seen"))
+    whole = F.aggregate("_cells", F.lit(0.0), lambda a, x: a + x["expected"])
+    row = row.withColumn("_row", whole)
+    parts = F.transform("_cells", lambda x: F.struct(x["transcript"].alias("transcript"), F.floor(x["expected"] * PROFILE / F.col("_row") + 0.5 + TIE).alias("part")))
+    row = row.withColumn("_profile", F.filter(parts, lambda x: x["part"] > 0))
+    # a cluster's own sums are those of one more cell of each row, whose expected is null; all are summed before they are shuffled
+    cell = "struct<transcript:{transcript},expected:double>".format(**dict(cells.dtypes))
+    every = row.select("gene", "bin", "_profile", "_seen", F.explode(F.concat("_cells", F.array(F.lit(None).cast(cell)))).alias("_x"))
+    own = F.col("_x").isNull()
+    sums = every.groupBy("gene", "_profile", own.alias("_own"), F.col("_x.transcript").alias("transcript")).agg(
+        F.sum("_x.expected").alias("expected"), F.min("bin").alias("_first"), F.sum("_seen").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    cluster = Window.partitionBy("gene", "_profile")
+    of = lambda c: F.max(F.when(F.col("_own"), F.col(c))).over(cluster)
+    out = sums.select("gene", "_own", "transcript", of("_first").alias("bin"), "expected", of("_all").alias("observed"), of("_n").alias("rows"))
+    return out.where("not _own").drop("_own")
 
 
 def stack(blocks: dict[str, DataFrame], totals: DataFrame | None = None) -> DataFrame:
