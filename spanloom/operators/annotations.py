@@ -23,8 +23,8 @@ def introns_of(exons: str | Column = "exons") -> Column:
     return F.zip_with(F.slice(e, 1, n), F.slice(e, 2, n), lambda a, b: F.struct((a["stop"] + 1).alias("start"), (b["start"] - 1).alias("stop")))
 
 
-def elements(transcripts: DataFrame) -> DataFrame:
-    """Distinct elements: class, contig, strand, inner, outer.
+def elements(ref: DataFrame, new: DataFrame) -> DataFrame:
+    """Distinct elements of both sides: class, contig, strand, inner, outer, and whether ``ref`` and ``new`` have it.
 
     Internal exons, introns and single exons are (start, stop); a first or last exon is its
     inner bound, where its intron is, and its outer end.
@@ -38,32 +38,35 @@ def elements(transcripts: DataFrame) -> DataFrame:
     ends = F.when(plus, F.array(low("TSS Exon"), high("TES Exon"))).otherwise(F.array(high("TSS Exon"), low("TES Exon")))
     several = F.concat(plain("Internal Exon", F.slice(e, 2, F.greatest(n - 2, F.lit(0)))), plain("Intron", introns_of()), ends)
     every = F.when(n == 1, plain("Single Exon", e)).when(n > 1, several)
-    return transcripts.select(*PLACE, F.explode(every).alias("x")).select(*PLACE, "x.*").distinct()
+    side = lambda df, k: df.select(F.lit(k).alias("_side"), *PLACE, F.explode(every).alias("x")).select("_side", *PLACE, "x.*")
+    both = side(ref, 0).unionByName(side(new, 1)).groupBy("class", *PLACE, "inner", "outer")
+    return both.agg((F.min("_side") == 0).alias("ref"), (F.max("_side") == 1).alias("new"))
 
 
-def _recovered(ref: DataFrame, new: DataFrame, distance: int) -> DataFrame:
-    """Elements of ``ref`` that ``new`` has: exactly, or with the outer end closer than ``distance``, or, of single exons, covered up to it."""
+def _recovered(both: DataFrame, distance: int) -> DataFrame:
+    """class of each element of ``ref`` that ``new`` has: exactly, or with the outer end closer than ``distance``, or, of single exons, covered up to it."""
     ends, single = ["TSS Exon", "TES Exon"], "Single Exon"
-    exact = ref.where(~F.col("class").isin(*ends, single)).join(new, ref.columns, "left_semi")
+    exact = both.where(~F.col("class").isin(*ends, single) & F.col("ref") & F.col("new"))
     # nearest neighbours on both sides of each end, within its key
-    both = ref.where(F.col("class").isin(ends)).withColumn("_new", F.lit(None).cast("long")).unionByName(new.where(F.col("class").isin(ends)).withColumn("_new", F.col("outer").cast("long")))
-    w = Window.partitionBy("class", *PLACE, "inner").orderBy("outer")
-    near = both.withColumn("_a", F.max("_new").over(w)).withColumn("_b", F.min("_new").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-    close = (F.col("outer") - F.col("_a") < distance) | (F.col("_b") - F.col("outer") < distance)
-    near = near.where(F.col("_new").isNull() & close).select(*ref.columns)
+    w = Window.partitionBy("class", *PLACE, "inner")
+    theirs = F.when(F.col("new"), F.col("outer").cast("long"))
+    near = both.where(F.col("class").isin(ends)).withColumn("_a", F.max(theirs).over(w.orderBy("outer"))).withColumn("_b", F.min(theirs).over(w.orderBy(F.desc("outer"))))
+    near = near.where(F.col("ref") & ((F.col("outer") - F.col("_a") < distance) | (F.col("_b") - F.col("outer") < distance)))
     # of all new ones that begin before start + distance, the one that ends last
-    probes = ref.where(F.col("class") == single).select(*ref.columns, (F.col("inner") + distance - 1).alias("_at"), F.lit(None).cast("long").alias("_end"))
-    marks = new.where(F.col("class") == single).select(*ref.columns, F.col("inner").alias("_at"), F.col("outer").cast("long").alias("_end"))
-    run = Window.partitionBy(*PLACE).orderBy("_at")
-    covered = probes.unionByName(marks).withColumn("_far", F.max("_end").over(run)).where(F.col("_end").isNull() & (F.col("_far") + distance > F.col("outer"))).select(*ref.columns)
-    return exact.unionByName(near).unionByName(covered)
+    one = both.where(F.col("class") == single)
+    mark = lambda at, end: F.struct((F.col("inner") + at).cast("long").alias("at"), end.alias("end"))
+    none = F.lit(None).cast("long")
+    marks = F.array_compact(F.array(F.when(F.col("ref"), mark(distance - 1, none)), F.when(F.col("new"), mark(0, F.col("outer").cast("long")))))
+    covered = one.select("class", *PLACE, "outer", F.explode(marks).alias("x")).withColumn("_far", F.max("x.end").over(Window.partitionBy(*PLACE).orderBy("x.at")))
+    covered = covered.where(F.col("x.end").isNull() & (F.col("_far") + distance > F.col("outer")))
+    return exact.select("class").unionByName(near.select("class")).unionByName(covered.select("class"))
 
 
 def compare_elements(ref: DataFrame, new: DataFrame, distance: int = 50) -> DataFrame:
     """class, n_ref, n_new, matched (elements of ref that new has), recall, precision; "Exon" sums its three kinds."""
-    r, n = elements(ref), elements(new)
-    sums = lambda df, name: df.groupBy("class").agg(F.count(F.lit(1)).alias(name))
-    each = sums(r, "n_ref").join(sums(n, "n_new"), "class", "full").join(sums(_recovered(r, n, distance), "matched"), "class", "left").fillna(0)
+    both = written(elements(ref, new), "elements")  # read four times
+    sums = both.groupBy("class").agg(F.count(F.when(F.col("ref"), 1)).alias("n_ref"), F.count(F.when(F.col("new"), 1)).alias("n_new"))
+    each = sums.join(_recovered(both, distance).groupBy("class").agg(F.count(F.lit(1)).alias("matched")), "class", "left").fillna(0)
     exons = each.where(F.col("class").isin("Internal Exon", "TSS Exon", "TES Exon")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_ref", "n_new", "matched")])
     out = each.unionByName(exons.withColumn("class", F.lit("Exon")))
     share = lambda c: F.when(F.col(c) > 0, F.col("matched") / F.col(c)).otherwise(0.0)
